@@ -27,6 +27,7 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.ones(256, bool)
 ALNUM[0x00:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
+_PIECE = 1 << 21
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -34,7 +35,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps = np.full(max(n, _PIECE + 64), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps, dtype=np.uint64)
     return _powers
@@ -49,6 +50,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    power, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    terms = _LETTERS[data]
+    terms *= power[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_keys(texts: list[bytes], table: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words of the texts, and where each text's words begin (one more entry than texts)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -57,11 +67,12 @@ def word_keys(texts: list[bytes], table: np.ndarray = NOT_SPACE) -> tuple[np.nda
     inside[np.cumsum(sizes + 1) - 1] = False  # the joints
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside))))
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_LETTERS[data] * power[: len(data)], out=sums[1:])
-    keys = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    keys = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # a few MB of bytes at a time, at word bounds
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _PIECE, "right")))
+        keys[a:b] = _hashed(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
+        a = b
     return keys, np.concatenate(([0], np.searchsorted(starts, np.cumsum(sizes + 1), "left")))
 
 
