@@ -29,3 +29,22 @@ def unpack_sorted(data: bytes, width: int = 8) -> np.ndarray:
 def runs(x: np.ndarray) -> np.ndarray:
     """Where each run of equal neighbours begins, and the length at the end."""
     return np.concatenate((np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))), [len(x)]))
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Several arrays of non-negative integers, each in as many bytes as its largest number needs."""
+    out = []
+    for x in arrays:
+        x = np.asarray(x).astype(np.uint64)
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        out += [len(x).to_bytes(7, "little") + bytes([width]), pack(x, width)]
+    return b"".join(out)
+
+
+def unbundle(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width = int.from_bytes(data[at : at + 7], "little"), data[at + 7]
+        out.append(unpack(data[at + 8 : at + 8 + n * width], width))
+        at += 8 + n * width
+    return out

@@ -75,7 +75,7 @@ def hit_windows(found: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, n_words, n_hit, items), (doc_id, item_id, start, width: the hit windows, in words)."""
+    """(one row per document: doc_id, n_words, n_hit, items), (doc_id, text_key, item_id, start, width: the hit windows, in words)."""
     windows = stored(item_windows(items, window, shingle).withColumn("sid", F.xxhash64("k", "s")), "windows")
     shingles = windows.select("k", "s", "sid").distinct()
     sizes = sorted(r[0] for r in shingles.select("k").distinct().collect()) or [shingle]  # at most `shingle` numbers
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
     base = found.where("first").select("doc", "n_words")
     rows = base.join(words, "doc", "left").join(names, "doc", "left")
     rows = rows.select(F.col("doc.doc_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return rows, hits.select(F.col("doc.doc_id").alias("doc_id"), "item_id", "start", "width")
+    return rows, hits.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "item_id", "start", "width")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,7 @@ def _blocks(parts: int, words: int):
     bounds = np.arange(parts, dtype=np.uint64) * np.uint64(step)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = TaskContext.get().partitionId() << 32  # and a number within the task: the same again if the task is run again
         for batch in batches:
             texts, known = encoded(batch["text"]), batch["doc_id"].notna().to_numpy()
             ids = batch["doc_id"].fillna(0).to_numpy(np.int64)
@@ -72,8 +74,6 @@ def _blocks(parts: int, words: int):
                 f1 = np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
                 f2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
                 own, ok = ids[at], known[at]
-                block = np.array([len(own)], np.uint64) + (mix(own.view(np.uint64) + f1) * (np.arange(len(own), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)
-                block = int(mix(block).view(np.int64)[0])
                 rows = [(block % parts, block, 1, own.tobytes() + ok.tobytes(), n.tobytes() + f1.tobytes() + f2.tobytes())]
                 if ok.any() and n[ok].any():
                     short = np.concatenate([x for x, y in zip(sets, ok, strict=True) if y]) >> np.uint64(64 - KEY_BITS)
@@ -83,6 +83,7 @@ def _blocks(parts: int, words: int):
                     cuts = np.append(np.searchsorted(short, bounds), len(short))
                     rows += [(p, block, 0, pack(docs[a:b].astype(np.uint64), 3), pack_sorted(short[a:b], 6)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
                 yield pd.DataFrame(rows, columns=["part", "block", "kind", "ids", "body"])
+                block += 1
 
     return run
 

@@ -17,11 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: a lost executor costs no recomputation before it."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: a lost executor costs no recomputation before it.
+
+    by: a column of few values by which the table is partitioned."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/netquarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
