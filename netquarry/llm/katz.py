@@ -34,7 +34,7 @@ from .shared import stored, table
 from .words import chunks, encoded, mix, word_keys
 
 K, RESERVED = 5, 1e-4
-BLOCK_BYTES, PART_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 HOT_WORDS, HOT_SHARE = 10_000, 4
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0x535441525421, 0x454E4421))
 BASE_ADD = 0.1
