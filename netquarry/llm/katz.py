@@ -34,7 +34,7 @@ from .shared import stored, table
 from .words import chunks, encoded, mix, word_keys
 
 K, RESERVED = 5, 1e-4
-BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 HOT_WORDS, HOT_SHARE = 10_000, 4
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0x535441525421, 0x454E4421))
 BASE_ADD = 0.1
@@ -193,19 +193,16 @@ def _merge(parts: int, uni: Unigrams):
         told = pdf[pdf["kind"] == "grams"]
         if not len(told):
             return pd.DataFrame(rows, columns=_COLUMNS)
-        part, blocks = int(told["target"].iloc[0]), told["block"].to_numpy()
-        w, h, train, per, doc, times = [], [], [], [], [], []
-        for x in told["body"]:
-            n_train, ws, wn, hs, hx, pe, do, ti = unbundle(x)
-            pe = pe.astype(np.int64)
+        part, blocks, bodies = int(told["target"].iloc[0]), told["block"].to_list(), told["body"].to_list()
+        del told, pdf
+        w, h, train = [], [], []
+        for x in bodies:
+            n_train, ws, wn, hs, hx, per, doc, times = unbundle(x)
             w.append(np.repeat(np.cumsum(ws, dtype=np.uint64), wn.astype(np.int64)))
             h.append(np.cumsum(hs, dtype=np.uint64)[hx.astype(np.int64)])
-            train.append(np.add.reduceat(np.where(do < n_train[0], ti, np.uint64(0)), np.concatenate(([0], np.cumsum(pe)[:-1]))).astype(np.int64))
-            per.append(pe)
-            doc.append(do.astype(np.int64))
-            times.append(ti.astype(np.int64))
-        row = np.repeat(np.arange(len(doc), dtype=np.int64), [len(x) for x in doc])
-        w, h, train, per, doc, times = (np.concatenate(x) for x in (w, h, train, per, doc, times))
+            train.append(np.add.reduceat(np.where(doc < n_train[0], times, np.uint64(0)), np.concatenate(([0], np.cumsum(per.astype(np.int64))[:-1]))).astype(np.int64))
+        message = np.cumsum([0] + [len(x) for x in w])
+        w, h, train = (np.concatenate(x) for x in (w, h, train))
         uw, wi = np.unique(w, return_inverse=True)
         uh, hi = np.unique(h, return_inverse=True)
         del w, h
@@ -229,31 +226,27 @@ def _merge(parts: int, uni: Unigrams):
             s = some[a:b]
             rows.append(("contexts", target[a], 0, len(s).to_bytes(8, "little") + mass[s].tobytes() + bundle(np.diff(uh[s], prepend=np.uint64(0)), tot[s], *[m[s] for m in of_r])))
 
-        each = np.repeat(np.arange(len(per)), per)
-        ce, we, he = c[gi[each]], wi[each], hi[each]
-        seen, cwe = ce > 0, cw[we]
-        base = times * np.log10(cwe + BASE_ADD)
-        score = np.where(seen, np.log10(np.maximum(ce, 1)) + math.log10(1 - RESERVED), np.log10(uni.p(cw))[we])
-        score -= np.where((uw != END)[we] & (cwe > 0), np.log10(np.maximum(cwe, 1)), 0)
-        score -= np.where((uh == START)[he], math.log10(max(1, uni.docs)), 0)
-        score *= times
-        ids, g = np.unique(row << 32 | doc, return_inverse=True)
-        sums = [np.bincount(g, times * (cwe > 0)), *[np.bincount(g, times * (ce == r)) for r in range(1, K + 1)]]
-        floats = [np.bincount(g, base), np.bincount(g, score)]
-        cut = runs(ids >> 32)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            block = int(blocks[ids[a] >> 32])
-            rows.append(("docs", block, block, int(b - a).to_bytes(8, "little") + b"".join(x[a:b].tobytes() for x in floats) + bundle(ids[a:b] & 0xFFFFFFFF, *[x[a:b] for x in sums])))
-
-        new = np.flatnonzero(~seen)
-        target = _range_of(uh, parts)[he[new]]
-        order = np.lexsort((he[new], row[new], target))
-        new, target = new[order], target[order]
-        cut = runs(target * len(blocks) + row[new])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            e = new[a:b]
-            hs, hx = np.unique(he[e], return_inverse=True)
-            rows.append(("unseen", target[a], int(blocks[row[e[0]]]), bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, doc[e], times[e])))
+        # the documents' part: one block's message at a time
+        log_p, target = np.log10(uni.p(cw)), _range_of(uh, parts)
+        follows = np.where((uw != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)  # each word but the end is the next token's context
+        starts = np.where(uh == START, math.log10(max(1, uni.docs)), 0.0)
+        for block, body, a, b in zip(blocks, bodies, message[:-1], message[1:], strict=True):
+            *_, per, doc, times = unbundle(body)
+            each = a + np.repeat(np.arange(b - a), per.astype(np.int64))
+            ce, we, he = c[gi[each]], wi[each], hi[each]
+            ids, g = np.unique(doc, return_inverse=True)
+            times, seen = times.astype(float), ce > 0
+            score = np.where(seen, np.log10(np.maximum(ce, 1)) + math.log10(1 - RESERVED), log_p[we]) - follows[we] - starts[he]
+            sums = [np.bincount(g, times * (cw[we] > 0)), *[np.bincount(g, times * (ce == r)) for r in range(1, K + 1)]]
+            floats = [np.bincount(g, times * np.log10(cw[we] + BASE_ADD)), np.bincount(g, times * score)]
+            rows.append(("docs", block, block, len(ids).to_bytes(8, "little") + b"".join(x.tobytes() for x in floats) + bundle(ids, *sums)))
+            new = np.flatnonzero(~seen)
+            new = new[np.argsort(he[new], kind="stable")]  # and so by target
+            cut = runs(target[he[new]])
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                e = new[x:y]
+                hs, hx = np.unique(he[e], return_inverse=True)
+                rows.append(("unseen", target[hs[0]], block, bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, doc[e], times[e])))
         counts = [("counts of counts", r, int((c == r).sum()), b"") for r in range(1, K + 2)]
         return pd.DataFrame(rows + counts, columns=_COLUMNS)
 
