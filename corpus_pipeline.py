@@ -52,8 +52,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their piece ids (binary) and number, and whether decoding gives the text back."""
     model = pieces.load()
-    out = pieces.decode_pieces(pieces.encode_pieces(docs, model), model, name="_decoded")
-    return out.withColumn("lossless", F.col("text").eqNullSafe(F.col("_decoded"))).drop("_decoded")
+    out = pieces.round_trip(docs, model)
+    return out.withColumn("lossless", F.col("text").eqNullSafe(F.col("decoded"))).drop("decoded")
 
 
 STAGES = [
