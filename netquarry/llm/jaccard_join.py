@@ -39,7 +39,7 @@ from .words import chunks, encoded, mix, shingle_keys, word_keys
 
 SHINGLE_WORDS = 5
 BLOCK_BYTES = 3 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 KEY_BITS = 48
 #: Sizes above this are never enumerated: a set of 16 has up to C(16, 12) = 1,820 subsets for one partner size.
 LIGHT_MOST = 16
