@@ -44,7 +44,7 @@ WORDS = {
 }
 CLASSES = tuple(WORDS)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 #: Each transducer: start state 0, {(state, class): next state}; a class without an arc leaves the state as it is.
 #: The last state is final and is kept.
