@@ -11,7 +11,7 @@ Every template has one of ANCHORS in each passage that can be confirmed, so pass
 would be "none" all the same. No text leaves its row's task but the few passages that have an anchor.
 
 Training takes the fixed templates, cut into windows, the fixed texts of other kinds, and at most NEGATIVES anchor-free passages of
-the corpus (those with the least hashes); it learns nothing else from the corpus.
+the corpus (those with the least hashes, of about 8 * NEGATIVES documents chosen by hash); it learns nothing else from the corpus.
 
 Defined cases: null and empty texts have no passages and the licence "none". Texts are read whole. A document with several licences
 names all, sorted; repeated passages count each time. Repeated rows are judged each for itself; a null doc_id stays. A passage with
@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, thinned
 
 #: Public licences' notices and sentences by which each is known.
 TEMPLATES = {
@@ -159,7 +159,8 @@ def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     cut = rows.select("label", "words", size.alias("n")).select("label", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at")).select("label", F.slice("words", F.col("at"), F.col("n")).alias("words"))
     # a window that families share tells nothing of either
     cut = cut.groupBy("words").agg(F.min("label").alias("label"), F.max("label").alias("_hi")).select(F.when(F.col("label") == F.col("_hi"), F.col("label")).otherwise(0).alias("label"), "words")
-    plain = docs.select(F.explode(passages(F.col("text"))).alias("p")).where(~anchored(F.col("p")) & (F.length("p") > 0)).orderBy(F.xxhash64("p"), "p").limit(negatives)
+    some = thinned(docs.select("text"), F.col("text"), negatives)
+    plain = some.select(F.explode(passages(F.col("text"))).alias("p")).where(~anchored(F.col("p")) & (F.length("p") > 0)).orderBy(F.xxhash64("p"), "p").limit(negatives)
     out = rows.withColumn("whole", F.lit(True)).unionByName(cut.unionByName(plain.select(F.lit(0).alias("label"), words_of(F.col("p")).alias("words"))).withColumn("whole", F.lit(False)))
     out = out.withColumn("weight", F.when(F.col("whole"), 8.0).otherwise(1.0))
     share = out.groupBy("label").agg(F.sum("weight").alias("_all"))  # one row for each family

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,5 +29,12 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About 8 * most rows, those whose key's hash is below a bound that the number of rows sets (all, where they are fewer): a bounded
+    sample to order and cut, so that no task has to send its own ``most`` rows."""
+    n = df.count()
+    return df if n <= 8 * most else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * 8 * most / n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import stored, table, thinned
 
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 32 << 10
@@ -161,7 +161,7 @@ def marked(pages: DataFrame, payload_min: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, payload_min: int = 0, archive_bytes: int = ARCHIVE_BYTES, dictionary: bytes | None = None) -> DataFrame:
     """A frame of archives (ARCHIVE), not yet written: store it, or save its ``data`` cells as .warc.zst files."""
     if dictionary is None:
-        sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(DICTIONARY_PAGES)
+        sample = thinned(pages.where("html is not null").select("page_id", "html"), F.col("page_id"), DICTIONARY_PAGES).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(DICTIONARY_PAGES)
         dictionary = train_dictionary([r[0].encode("utf-8", "surrogatepass") for r in sample.collect()])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
