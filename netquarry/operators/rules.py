@@ -3,11 +3,13 @@
 A window rule looks, at each event in (ts, event_id) order within its key, at the events of the last ``seconds`` up to and with that
 one (the bound included), and fires where ``having`` holds. Aggregates: n (events), t (distinct targets), p (distinct ports), q
 (distinct services), b (blocked), s (SYN), first_us, span (seconds). A sequence rule looks, at each allowed event, at the earlier
-blocked ones of its key within the window; ``related`` tells that one of them went to the same destination and service.
+blocked ones of its key within the window; ``related`` tells that one of them went to the same destination and service. A group rule
+looks once at all events of its key, and has two aggregates more: ok (allowed) and x (events to a sensitive port).
 
 How it scales: a window of w seconds spans at most two of the time buckets of that length, so every event is copied to
 its own and the next bucket, and (key, bucket) is the shuffle key: a hot source is split by time, and no task holds more of it
 than two windows. Each result belongs to the bucket of its last event. Only the columns that a rule needs are shuffled.
+A group rule first takes partial aggregates; only the events of groups that fire (by ``having`` no longer than a window) are gathered.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.features import CRITICAL_PORTS, SENSITIVE_PORTS
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,6 +46,7 @@ _VALID = "ips_valid"
 _PORTS = "ips_valid AND dst_port IS NOT NULL"
 _SYN_HALF = "(proto <> 'TCP' OR 2 * s >= n)"
 _X = "exposable AND allowed"
+_SENSITIVE = f"dst_port IN ({', '.join(map(str, (*SENSITIVE_PORTS, *CRITICAL_PORTS)))})"
 
 
 def _probe(name: str, ports: str, having: str = "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", severity: str = "high", confidence=(0.7, 0.95), threshold: int = 5) -> Rule:
@@ -57,7 +62,7 @@ _WIDE = "n >= 5 AND (t >= 3 OR p >= 3) AND 10 * b >= 6 * n"
 RULES: tuple[Rule, ...] = (
     Rule("network_scan_horizontal", ("src_ip", "dst_port", "proto_raw"), "coalesce(src_ip, '') <> '' AND coalesce(dst_port, 0) <> 0", f"n >= 10 AND t >= 8 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "CASE WHEN t > 16 THEN 'high' ELSE 'medium' END", (0.6, 0.9), 10, blocked="blocked_legacy"),
     Rule("network_scan_vertical", ("src_ip", "dst_ip", "proto_raw"), "coalesce(src_ip, '') <> '' AND coalesce(dst_ip, '') <> ''", f"n >= 10 AND p >= 8 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "CASE WHEN p > 16 THEN 'high' ELSE 'medium' END", (0.6, 0.9), 10, port="nullif(dst_port, 0)", blocked="blocked_legacy"),
-    Rule("fixed_source_port_scan", ("src_ip", "src_port"), "src_port IN (53, 80, 443) AND probe AND wan_in AND dst_ip IS NOT NULL AND dst_port IS NOT NULL AND ts_us < 300000000", "n >= 5 AND p >= 3 AND span <= 300", "src_ip", "CASE WHEN n = b AND n < 10 THEN 'low' WHEN n = b THEN 'medium' ELSE 'medium' END", (0.6, 0.9), 5, kind="group"),
+    Rule("fixed_source_port_scan", ("src_ip", "src_port"), "src_port IN (53, 80, 443) AND probe AND wan_in AND dst_ip IS NOT NULL AND dst_port IS NOT NULL", "n >= 5 AND p >= 3 AND span <= 300", "src_ip", "CASE WHEN ok = 0 AND n < 10 THEN 'low' WHEN ok > 0 AND x > 0 THEN 'high' ELSE 'medium' END", (0.6, 0.9), 5, kind="group"),
     Rule("rdp_probe", ("src_ip",), "tcp AND dst_port = 3389 AND src_ip IS NOT NULL", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.7, 0.95), 5, blocked="blocked_legacy", family="service_probing"),
     Rule("ssh_probe", ("src_ip",), "tcp AND dst_port = 22 AND src_ip IS NOT NULL", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.7, 0.95), 5, blocked="blocked_legacy", family="service_probing"),
     Rule("spi_anomaly_burst", ("src_ip",), "spi AND src_ip IS NOT NULL", "n >= 5 AND t >= 1", "src_ip", "'medium'", (0.5, 0.85), 5, family="network_anomaly"),
@@ -111,6 +116,20 @@ def _corr(rule: Rule, string: str) -> str:
     return " || '|' || ".join(f"coalesce(CAST({k} AS {string}), '')" for k in rule.key)
 
 
+def _group_counts(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Each group's aggregates (partial sums first), and ids for those where ``having`` holds; the others have no row."""
+    key = list(dict.fromkeys([*rule.key, "proto", "_entity"]))
+    counts = rows.groupBy(*key).agg(
+        F.count("*").alias("n"), F.count_distinct("_tgt").alias("t"), F.count_distinct("_port").alias("p"), F.count_distinct("_svc").alias("q"), F.count_if("_bl").alias("b"), F.count_if("_syn").alias("s"), F.count_if("_ok").alias("ok"), F.count_if("_sens").alias("x"),
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("ts_us"), F.sum("event_no").alias("ids_sum"),
+    ).withColumns({"span": F.expr("(ts_us - first_us) / 1000000.0D"), "related": F.lit(True)}).where(F.expr(rule.having))
+    item = F.struct("ts_us", "event_id").alias("_item")
+    own = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], item)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    gathered = own.join(counts, same).groupBy(*counts.columns).agg(F.array_sort(F.collect_list("_item")).alias("w"))
+    return gathered.withColumns({"ids": F.expr("transform(w, x -> x.event_id)"), "event_id": F.expr("element_at(w, -1).event_id")}).drop("w")
+
+
 def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
     """Signals (OUT, and ids: the window's event ids in order) of one rule over featured events.
 
@@ -119,12 +138,11 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
     extra = [c for c in ("proto",) if c not in rule.key]
     rows = events.where(F.expr(rule.where)).selectExpr(
         *rule.key, *extra, "event_id", "event_no", "ts_us", f"{rule.entity} AS _entity", f"{rule.target} AS _tgt", f"{rule.port} AS _port", "service AS _svc",
-        f"{rule.blocked} AS _bl", "syn AS _syn", "allowed AS _ok", "dst_port AS _dport",
+        f"{rule.blocked} AS _bl", "syn AS _syn", "allowed AS _ok", "dst_port AS _dport", f"{_SENSITIVE} AS _sens",
     )
     item = "struct(ts_us, event_id, event_no, _tgt AS tgt, _port AS port, _svc AS svc, _bl AS bl, _syn AS syn, _dport AS dport)"
     if rule.kind == "group":
-        per = rows.groupBy(*rule.key).agg(F.array_sort(F.collect_list(F.expr(item))).alias("w"), F.first("_entity").alias("_entity"), F.first("proto").alias("proto"))
-        per = per.withColumns({"event_id": F.expr("element_at(w, -1).event_id"), "ts_us": F.expr("element_at(w, -1).ts_us")})
+        counts = _group_counts(rows, rule)
     else:
         size = rule.seconds * 1_000_000
         rows = rows.withColumn("_own", F.expr(f"ts_us div {size}L")).withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
@@ -134,13 +152,13 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
         if rule.kind == "sequence":
             per = per.where("_ok")
         per = per.withColumn("w", F.expr(f"filter(w, x -> {before})")).where(f"size(w) >= {max(1, rule.threshold)}")
-    counts = per.selectExpr(
-        "*", "CAST(size(w) AS BIGINT) AS n", "CAST(size(array_distinct(filter(transform(w, x -> x.tgt), y -> y IS NOT NULL))) AS BIGINT) AS t",
-        "CAST(size(array_distinct(filter(transform(w, x -> x.port), y -> y IS NOT NULL))) AS BIGINT) AS p", "CAST(size(array_distinct(filter(transform(w, x -> x.svc), y -> y IS NOT NULL))) AS BIGINT) AS q",
-        "CAST(size(filter(w, x -> x.bl)) AS BIGINT) AS b", "CAST(size(filter(w, x -> x.syn)) AS BIGINT) AS s", "array_min(transform(w, x -> x.ts_us)) AS first_us",
-        "aggregate(w, 0L, (a, x) -> a + x.event_no) AS ids_sum", "transform(array_sort(w), x -> x.event_id) AS ids",
-        "exists(w, x -> x.tgt = _tgt AND (x.dport = _dport OR x.svc = _svc)) AS related" if rule.kind == "sequence" else "true AS related",
-    ).withColumn("span", F.expr("(ts_us - first_us) / 1000000.0D"))
+        counts = per.selectExpr(
+            "*", "CAST(size(w) AS BIGINT) AS n", "CAST(size(array_distinct(filter(transform(w, x -> x.tgt), y -> y IS NOT NULL))) AS BIGINT) AS t",
+            "CAST(size(array_distinct(filter(transform(w, x -> x.port), y -> y IS NOT NULL))) AS BIGINT) AS p", "CAST(size(array_distinct(filter(transform(w, x -> x.svc), y -> y IS NOT NULL))) AS BIGINT) AS q",
+            "CAST(size(filter(w, x -> x.bl)) AS BIGINT) AS b", "CAST(size(filter(w, x -> x.syn)) AS BIGINT) AS s", "array_min(transform(w, x -> x.ts_us)) AS first_us",
+            "aggregate(w, 0L, (a, x) -> a + x.event_no) AS ids_sum", "transform(array_sort(w), x -> x.event_id) AS ids",
+            "exists(w, x -> x.tgt = _tgt AND (x.dport = _dport OR x.svc = _svc)) AS related" if rule.kind == "sequence" else "true AS related",
+        ).withColumn("span", F.expr("(ts_us - first_us) / 1000000.0D"))
     return counts.where(F.expr(rule.having)).selectExpr(
         f"'{rule.name}' AS rule", "_entity AS entity", f"{_corr(rule, 'STRING')} AS corr", "event_id", "n", "t", "p", "b", "s", "first_us", "ts_us AS last_us", "ids_sum",
         f"{rule.severity} AS severity", f"{_confidence(rule, 'n')} AS confidence", "ids",
@@ -154,6 +172,7 @@ def rule_sql(rule: Rule, featured: str) -> str:
     keys = list(dict.fromkeys([*rule.key, "proto"]))
     rows = f"SELECT *, {rule.target} AS tgt, {rule.port} AS port, {rule.blocked} AS bl FROM {featured} WHERE {rule.where}"
     if rule.kind == "group":
+        agg += f", count(*) FILTER (WHERE b.allowed) AS ok, count(*) FILTER (WHERE b.{_SENSITIVE}) AS x"
         joined = f"SELECT {', '.join(f'b.{k}' for k in keys)}, {rule.entity} AS entity, max_by(b.event_id, b.event_no) AS event_id, max(b.ts_us) AS ts_us, {agg} FROM f b GROUP BY {', '.join(f'b.{k}' for k in keys)}"
     else:
         order = "b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id <= a.event_id)" if rule.kind == "window" else "b.bl AND (b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id < a.event_id))"

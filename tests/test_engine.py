@@ -79,6 +79,29 @@ def test_sequences_need_earlier_related_blocks(spark):
     assert rules.evaluate(events(spark, block), rule).count() == 0
 
 
+def test_fixed_source_port_groups(spark):
+    rule, late = rules.BY_NAME["fixed_source_port_scan"], 1_768_478_400_000_000
+    base = {"src_port": 443, "inbound_zone": "wan1"}
+    group = lambda n, src, step=1_000_000, ports=(1000, 1001, 1002), **more: [{**base, "src_ip": src, "ts_us": late + i * step, "dst_port": ports[i % 3], **more} for i in range(n)]
+    rows = [
+        *group(9, "45.0.0.1"), *group(10, "45.0.0.2"), *group(5, "45.0.0.3", ports=(22, 1001, 1002)), *group(4, "45.0.0.4"), *group(5, "45.0.0.5", 75_000_000), *group(5, "45.0.0.6", 75_250_000), *group(5, "45.0.0.7", ports=(1, 1, 2)),
+        *group(5, "45.0.0.8", action="pass"), *group(5, "45.0.0.9", ports=(22, 1001, 1002), action="pass"), *group(5, "45.0.0.10", action="other"), *group(5, None, src_port=53), *group(5, "45.0.0.11", src_port=1),
+    ]
+    shuffled = events(spark, rows).repartition(3)
+    got = {r.entity: r for r in rules.evaluate(shuffled, rule).collect()}
+    assert {k: (r.n, r.t, r.p, r.severity) for k, r in got.items()} == {
+        "45.0.0.1": (9, 1, 3, "low"), "45.0.0.2": (10, 1, 3, "medium"), "45.0.0.3": (5, 1, 3, "low"), "45.0.0.5": (5, 1, 3, "low"), "45.0.0.8": (5, 1, 3, "medium"), "45.0.0.9": (5, 1, 3, "high"),
+        "45.0.0.10": (5, 1, 3, "low"), None: (5, 1, 3, "low"),
+    }
+    one = got["45.0.0.2"]
+    assert one.ids == [f"E{i:05}" for i in range(9, 19)] and one.event_id == "E00018" and one.ids_sum == sum(range(9, 19)) and one.last_us - one.first_us == 9_000_000
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("f", shuffled.toPandas())
+    want = con.execute(f"SELECT {', '.join(rules.OUT)} FROM ({rules.rule_sql(rule, 'f')})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in rules.OUT)) for r in got.values())
+
+
 def test_merge_compares_with_the_last_only(spark):
     rng, rows = random.Random(3), []
     for i in range(80):
