@@ -1,25 +1,30 @@
 """Licence scans: a trained classifier of passages, in DataFrame and ML functions of Spark only.
 
-A text is cut into passages at line breaks and sentence ends. Passages are bags of word 1-, 2- and 3-grams of a fixed vocabulary
+A text is cut into passages at blank lines and sentence ends; a passage of several lines is judged whole (lines that were wrapped) and
+line by line. Passages are bags of word 1-, 2- and 3-grams of a fixed vocabulary
 (those of the templates), and a multinomial logistic regression over these sparse counts gives each licence family, and the
 class of other texts, a probability. A second regression, on the log-odds of the best family over training passages that the
 first has not seen, calibrates it: below 0.5, or if the class of other texts wins, the passage's licence is unknown. Last, the
 passage is compared with the family's templates: as many of its 2-grams must be the template's, or of the template's
 its own, as CONFIRMED says; what isn't confirmed is unknown as well.
 
-Every template has one of ANCHORS in each passage that can be confirmed, so passages without any are never classified: their result
-would be "none" all the same. No text leaves its row's task but the few passages that have an anchor.
+Only passages that have one of ANCHORS, or that are like enough to some template to be confirmed, are classified. The others can't be
+confirmed, whatever their family, and without an anchor they don't count as unknown, so their result is "none" all the same. The likeness
+is tested first by a count: each template, and each passage that is compared by its own 2-grams, has at least 3 of these, so at least 2
+must be shared; and a line's 2-grams are all those of its passage. No text leaves its row's task but the few passages that are classified.
 
-Training takes the fixed templates, cut into windows, the fixed texts of other kinds, and at most NEGATIVES anchor-free passages of
-the corpus (those with the least hashes, of about 8 * NEGATIVES documents chosen by hash); it learns nothing else from the corpus.
+Training takes the fixed templates, cut into windows, the fixed texts of other kinds, and at most NEGATIVES passages of the
+corpus without an anchor that no template confirms (those with the least hashes, of about 8 * NEGATIVES documents chosen by hash); it learns nothing else from the corpus.
 
 Defined cases: null and empty texts have no passages and the licence "none". Texts are read whole. A document with several licences
 names all, sorted; repeated passages count each time. Repeated rows are judged each for itself; a null doc_id stays. A passage with
-an anchor but without a licence that is found and confirmed counts as unknown.
+an anchor but without a licence that is found and confirmed counts as unknown. Where a passage of several lines is confirmed whole, its
+lines count only for other licences; where not, each line counts, and the whole (as unknown) only if no line does.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -27,6 +32,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import table, thinned
 
@@ -105,7 +111,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def passages(text: Column) -> Column:
-    return F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"\n|(?<=[.!?;])\s+")
+    return F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"\n\s*\n\s*|(?<=[.!?;])\s+")
 
 
 def anchored(text: Column) -> Column:
@@ -123,6 +129,58 @@ def grams(words: Column, n: int) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - n + 1, F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
 
 
+def pairs(words: Column) -> Column:
+    """The distinct 2-grams."""
+    return F.array_distinct(grams(words, 2))
+
+
+def _template_pairs() -> list[list[str]]:
+    """Each fixed template's distinct 2-grams, by the rules of words_of."""
+    word = re.compile(r"[^a-z0-9.\u0080-\uffff]+|\.+(?![a-z0-9])|(?<![a-z0-9])\.+")
+    out = []
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        words = [w for w in word.split(text.lower()) if w]
+        out.append(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}))
+    return out
+
+
+def shares(own: Column, shared: Column, template: Column) -> Column:
+    """The likeness of a passage with the distinct 2-grams own (shared: those that any template has) to a template's."""
+    share = lambda of: F.coalesce(F.try_divide(F.size(F.array_intersect(shared, template)), F.size(of)), F.lit(0.0))
+    return F.greatest(share(template), F.when(F.size(own) >= 3, share(own)).otherwise(0.0))
+
+
+def candidates(text: Column, gated: bool = True) -> Column:
+    """Of a text, an array of (passage, unit: its number, line: 0 for the whole): those that can be confirmed or have an anchor.
+    gated: without it, all that aren't empty."""
+    templates = _template_pairs()
+    known = sorted({g for t in templates for g in t})
+    listed = F.array(*[F.array(*[F.lit(g) for g in t]) for t in templates])
+    one_line = lambda p: F.translate(p, "\n", " ")
+
+    def with_pairs(parts: Column) -> Column:
+        own = F.transform(parts, lambda x: F.struct(x.alias("x"), words_of(x["passage"]).alias("words")))
+        own = F.transform(own, lambda y: F.struct(y["x"].alias("x"), F.array_distinct(F.transform(y["words"], lambda w, i: F.concat(w, F.lit(" "), F.get(y["words"], i + 1)))).alias("own")))
+        return F.transform(own, lambda y: F.struct(y["x"].alias("x"), F.array_compact(y["own"]).alias("own"), F.filter(y["own"], lambda g: g.isin(known)).alias("shared")))
+
+    def few(y: Column) -> Column:
+        return anchored(y["x"]["passage"]) | (F.size(y["shared"]) >= 2)
+
+    def exact(y: Column) -> Column:
+        return anchored(y["x"]["passage"]) | F.when(F.size(y["shared"]) >= 2, F.exists(listed, lambda t: shares(y["own"], y["shared"], t) >= CONFIRMED)).otherwise(False)
+
+    whole = F.transform(passages(text), lambda p, u: F.struct(one_line(p).alias("passage"), p.alias("raw"), u.alias("unit")))
+    whole = F.filter(with_pairs(whole), few) if gated else F.transform(whole, lambda x: F.struct(x.alias("x")))
+    part = lambda p, x, line: F.struct(p.alias("passage"), x["unit"].alias("unit"), line.alias("line"))
+    parts = F.flatten(F.transform(F.transform(whole, lambda y: F.struct(y["x"].alias("x"), F.split(y["x"]["raw"], "\n").alias("cut"))), lambda z: F.concat(
+        F.array(part(z["x"]["passage"], z["x"], F.lit(0))),
+        F.when(F.size(z["cut"]) > 1, F.transform(z["cut"], lambda p, i: part(p, z["x"], i + 1))).otherwise(F.array().cast("array<struct<passage:string,unit:int,line:int>>")),
+    )))
+    if gated:
+        return F.transform(F.filter(with_pairs(parts), exact), lambda y: y["x"])
+    return F.filter(parts, lambda x: F.length(x["passage"]) > 0)
+
+
 def features(words: Column) -> Column:
     return F.concat(words, grams(words, 2), grams(words, 3))
 
@@ -150,8 +208,8 @@ def _log_odds(p: Column) -> Column:
 
 
 def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
-    """(label: family number, words, whole, weight): the templates and their windows, texts of other kinds, anchor-free passages of the
-    corpus (bounded). Families weigh the same together; whole templates (which are never kept for calibration) weigh more than windows."""
+    """(label: family number, words, whole, weight): the templates and their windows, texts of other kinds, passages of the corpus
+    that are no candidates (bounded). Families weigh the same together; whole templates (which are never kept for calibration) weigh more than windows."""
     spark = docs.sparkSession
     fixed = [(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts] + [(0, t) for t in OTHERS]
     rows = spark.createDataFrame(fixed, "label int, text string").select("label", words_of(F.translate("text", _UPPER, _LOWER)).alias("words"))
@@ -160,7 +218,8 @@ def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     # a window that families share tells nothing of either
     cut = cut.groupBy("words").agg(F.min("label").alias("label"), F.max("label").alias("_hi")).select(F.when(F.col("label") == F.col("_hi"), F.col("label")).otherwise(0).alias("label"), "words")
     some = thinned(docs.select("text"), F.col("text"), negatives)
-    plain = some.select(F.explode(passages(F.col("text"))).alias("p")).where(~anchored(F.col("p")) & (F.length("p") > 0)).orderBy(F.xxhash64("p"), "p").limit(negatives)
+    found = some.select(passages(F.col("text")).alias("_all"), F.transform(F.filter(candidates(F.col("text")), lambda x: x["line"] == 0), lambda x: x["passage"]).alias("_found"))
+    plain = found.select(F.explode(F.array_except(F.transform("_all", lambda p: F.translate(p, "\n", " ")), "_found")).alias("p")).where(F.length("p") > 0).orderBy(F.xxhash64("p"), "p").limit(negatives)
     out = rows.withColumn("whole", F.lit(True)).unionByName(cut.unionByName(plain.select(F.lit(0).alias("label"), words_of(F.col("p")).alias("words"))).withColumn("whole", F.lit(False)))
     out = out.withColumn("weight", F.when(F.col("whole"), 8.0).otherwise(1.0))
     share = out.groupBy("label").agg(F.sum("weight").alias("_all"))  # one row for each family
@@ -185,26 +244,28 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
     return model
 
 
-def scan_licenses(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """One row for each passage with an anchor, and one for each row without any: the columns of docs, row (a key of the input row), passage,
-    family (the licence, "unknown", or null without a passage), confidence (calibrated), likeness (to the family's templates)."""
+def scan_licenses(docs: DataFrame, model: Model, text: str = "text", gated: bool = True) -> DataFrame:
+    """One row for each passage that is classified, and one for each row without any: the columns of docs, row (a key of the input row), passage,
+    family (the licence, "unknown", or null where the passage does not count), confidence (calibrated), likeness (to the family's templates)."""
     spark = docs.sparkSession
-    found = F.filter(passages(F.col(text)), anchored)
-    # texts without an anchor are not cut at all
-    each = docs.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "passage", F.explode_outer(F.when(anchored(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)), found))
-    )
+    each = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("_c", F.explode_outer(candidates(F.col(text), gated)))
+    each = each.withColumns({"passage": F.col("_c.passage"), "_unit": F.col("_c.unit"), "_line": F.col("_c.line")}).drop("_c")
     each = model.raw(each.withColumn("words", words_of(F.coalesce("passage", F.lit("")))))
     known = spark.createDataFrame([(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts], "best int, t string")
-    known = known.groupBy("best").agg(F.collect_list(grams(words_of(F.translate("t", _UPPER, _LOWER)), 2)).alias("_templates"))  # a dozen rows
-    each = each.withColumn("_own", F.array_distinct(grams(F.col("words"), 2))).join(F.broadcast(known), "best", "left")
-    share = lambda t, of: F.coalesce(F.try_divide(F.size(F.array_intersect("_own", t)), F.size(of)), F.lit(0.0))
-    likeness = F.when(F.col("passage").isNotNull(), F.array_max(F.transform("_templates", lambda t: F.greatest(share(t, F.array_distinct(t)), F.when(F.size("_own") >= 3, share(t, F.col("_own"))).otherwise(0.0)))))
+    known = known.groupBy("best").agg(F.collect_list(pairs(words_of(F.translate("t", _UPPER, _LOWER)))).alias("_templates"))  # a dozen rows
+    each = each.withColumn("_own", pairs(F.col("words"))).join(F.broadcast(known), "best", "left")
+    likeness = F.when(F.col("passage").isNotNull(), F.array_max(F.transform("_templates", lambda t: shares(F.col("_own"), F.col("_own"), t))))
     each = each.withColumns({"likeness": likeness, "confidence": F.when(F.col("passage").isNotNull(), 1 / (1 + F.exp(-(model.slope * _log_odds(F.col("p_best")) + model.intercept))))})
     sure = (F.col("p_best") > F.col("p_other")) & (F.col("confidence") >= 0.5) & (F.col("likeness") >= CONFIRMED)
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    family = F.when(F.col("passage").isNotNull(), F.when(sure, F.get(names, F.col("best"))).otherwise("unknown"))
-    return each.withColumn("family", family).drop("words", "best", "p_best", "p_other", "_own", "_templates")
+    family = F.when(F.col("passage").isNotNull(), F.when(sure, F.get(names, F.col("best"))).when(anchored(F.col("passage")), "unknown"))
+    each = each.withColumn("family", family).drop("words", "best", "p_best", "p_other", "_own", "_templates")
+    unit = W.partitionBy("row", "_unit")
+    of_whole = F.max(F.when((F.col("_line") == 0) & (F.col("family") != "unknown"), F.col("family"))).over(unit)
+    by_line = F.count(F.when(F.col("_line") > 0, F.col("family"))).over(unit)
+    each = each.withColumns({"_whole": of_whole, "_by_line": by_line})
+    counts = F.when(F.col("_line") > 0, F.col("_whole").isNull() | ~F.col("family").isin("unknown") & (F.col("family") != F.col("_whole"))).otherwise((F.col("family") != "unknown") | (F.col("_by_line") == 0))
+    return each.withColumn("family", F.when(counts, F.col("family"))).drop("_unit", "_line", "_whole", "_by_line")
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

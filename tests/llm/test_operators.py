@@ -53,6 +53,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), licenses.learn(df)).count() == 0
 
 
+def test_hyphenated_and_wrapped_licenses_are_those_of_an_ungated_run(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction"
+    rows = [(1, "Content is CC-BY-SA 4.0."), (2, mit), (3, 'of this software and associated documentation files (the "Software"), to deal'), (4, "To the extent possible under law, the author\nhas waived all related rights to this work"),
+            (5, "Released under the MIT License\nThis work is licensed under the GNU General Public License, version 3"), (6, sentence(50) + "\n" + sentence(60)), (7, "The copyright office\nopened of the software"), (8, None), (9, "under the\n\nby the of the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.learn(df)
+    found = lambda gated: sorted((r.doc_id, r.passage or "", r.family, round(r.confidence, 6)) for r in licenses.scan_licenses(df, model, gated=gated).where("family IS NOT NULL").collect())
+    got = found(True)
+    assert got == found(False)
+    of = {i: {f for d, _, f, _ in got if d == i} for i, _ in rows}
+    assert of == {1: {"cc-by-sa-4.0"}, 2: {"mit"}, 3: {"mit"}, 4: {"cc0-1.0"}, 5: {"mit", "gpl-3.0"}, 6: set(), 7: {"unknown"}, 8: set(), 9: set()}
+    assert len([1 for d, *_ in got if d == 2]) == 1
+
+
 # --- Decontamination
 
 
