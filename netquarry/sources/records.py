@@ -1,7 +1,8 @@
 """Raw records to canonical events: lines of JSON (firewall or generic), CEF and syslog, told apart and parsed by built-in expressions.
 
 Defined cases: blank lines are skipped; a line that no parser takes, or whose addresses or ports are not valid, is a failure with its
-reason, never lost; null and missing fields stay null. Lines longer than MAX_BYTES are failures. Line numbers count within a file only if
+reason, never lost; null and missing fields stay null. Syslog lines of RFC 3164 name no year and no zone: the current year and UTC are
+taken (null where that year lacks the day), and without a date their time is null. Lines longer than MAX_BYTES are failures. Line numbers count within a file only if
 it is one partition, so records are named by the hash of source and line.
 """
 
@@ -23,7 +24,8 @@ ALIASES = {
 FLAGS = {"F": "FIN", "S": "SYN", "R": "RST", "P": "PSH", "A": "ACK", "U": "URG", "E": "ECE", "W": "CWR"}
 PROTOCOLS = ("tcp", "udp", "icmp", "icmpv6", "gre", "esp", "ah")
 _CEF = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
-_SYSLOG_5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (.*)$"
+_SYSLOG_5424 = r"^<(\d{1,4})>[1-9]\d{0,2}\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
+_SYSLOG_3164 = r"^<(\d{1,4})>(?:([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+)?(\S+)\s([^:]+):\s"
 _V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
 
@@ -55,6 +57,15 @@ def timestamp(text: Column) -> Column:
     return F.when(number.isNotNull(), F.timestamp_micros(epoch)).otherwise(text.try_cast("timestamp"))
 
 
+def syslog_time(line: Column) -> Column:
+    """The time of a line of RFC 5424, or else of RFC 3164."""
+    part = lambda i: F.regexp_extract(line, _SYSLOG_3164, i).try_cast("int")
+    month = F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.regexp_extract(line, _SYSLOG_3164, 2)) + 2) / 3).cast("int")
+    year = F.year(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+    old = F.when(part(3).isNotNull(), F.try_make_timestamp(year, month, part(3), part(4), part(5), part(6), F.lit("UTC")))
+    return F.when(line.rlike(_SYSLOG_5424), timestamp(F.regexp_extract(line, _SYSLOG_5424, 2))).otherwise(old)
+
+
 def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, failures) of a frame (source, raw)."""
     field = lambda name: F.get_json_object("raw", "$." + name if "@" not in name else f"$['{name}']")
@@ -63,15 +74,18 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     ext = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(body, rf"(?:^|.*\s){k}=(.*?)(?=\s+\w+=|$)", 1), r"\\([=|\\])", "$1"), F.lit(""))
     is_json = F.col("raw").rlike(r"^\s*\{") & F.expr("try_parse_json(raw) IS NOT NULL")
     marks = field("deviceAction").isNotNull().cast("int") + (field("src").isNotNull() | field("dst").isNotNull()).cast("int") + field("proto").isNotNull().cast("int")
+    # the fourth marker counts by the field's presence; with it, one more will do
+    pf = is_json & F.coalesce(F.arrays_overlap(F.json_object_keys("raw"), F.array(*[F.lit(x) for x in ("pf", "diag", "rule")])), F.lit(False))
+    line = F.trim(F.col("raw"), F.lit(" \t\r\n"))
     known = sum((alias(k).isNotNull().cast("int") for k in ("time", "src_ip", "dst_ip", "action")), F.lit(0))
-    kind = F.when(F.octet_length("raw") > MAX_BYTES, None).when(is_json & (marks >= 3), "firewall").when(F.col("raw").rlike(_CEF), "cef").when(F.col("raw").rlike(_SYSLOG_5424), "syslog").when(is_json & (known >= 2), "generic")
-    by = lambda firewall, cef, generic: F.when(F.col("parser") == "firewall", firewall).when(F.col("parser") == "cef", cef).when(F.col("parser") == "generic", generic)
+    kind = F.when(F.octet_length("raw") > MAX_BYTES, None).when(is_json & ((marks >= 3) | (pf & (marks >= 1))), "firewall").when(F.col("raw").rlike(_CEF), "cef").when(line.rlike(_SYSLOG_5424) | line.rlike(_SYSLOG_3164), "syslog").when(is_json & (known >= 2), "generic")
+    by = lambda firewall, cef, generic, syslog=None: F.when(F.col("parser") == "firewall", firewall).when(F.col("parser") == "cef", cef).when(F.col("parser") == "generic", generic).when(F.col("parser") == "syslog", syslog)
     act = F.lower(field("deviceAction"))
     firewall_action = F.when(act.isin("allow", "pass", "accepted", "accept"), "pass").when(act.rlike("block|deny|drop"), "block").otherwise(act)
     protocol = F.lower(by(field("proto"), ext("proto"), F.lit(None)))
     rows = raw.withColumn("parser", kind).withColumns({
         "event_id": F.concat(F.lit("EVT-"), F.substring(F.sha2("source", 256), 1, 8), F.lit("-"), F.substring(F.sha2("raw", 256), 1, 16)),
-        "ts": by(timestamp(F.coalesce(field("start"), field("end"))), timestamp(F.coalesce(ext("rt"), ext("start"))), timestamp(alias("time"))),
+        "ts": by(timestamp(F.coalesce(field("start"), field("end"))), timestamp(F.coalesce(ext("rt"), ext("start"))), timestamp(alias("time")), syslog_time(line)),
         "src_ip": by(field("src"), ext("src"), alias("src_ip")), "dst_ip": by(field("dst"), ext("dst"), alias("dst_ip")),
         "src_port": by(field("sourcePort"), ext("spt"), alias("src_port")).try_cast("int"), "dst_port": by(field("destinationPort"), ext("dpt"), alias("dst_port")).try_cast("int"),
         "protocol": F.when(protocol.isin(*PROTOCOLS), protocol).when(protocol.isNotNull(), "other"),

@@ -1,6 +1,8 @@
 """Parsers on a mixed file."""
 
 import json
+from datetime import UTC, datetime
+from hashlib import sha256
 
 from netquarry.sources import records
 
@@ -23,6 +25,24 @@ def test_mixed_file(spark, tmp_path):
     assert sorted(r.reason for r in failures.collect()) == ["semantically_invalid", "unsupported", "unsupported"]
 
 
+def test_syslog_times_and_firewall_markers(spark):
+    year = datetime.now(UTC).year
+    lines = {
+        "<34>Jan 15 12:00:00 host app: msg": ("syslog", datetime(year, 1, 15, 12)), "<34>Oct  5 22:14:15 host su[12]: a: b ": ("syslog", datetime(year, 10, 5, 22, 14, 15)),
+        "<13>host app: no date": ("syslog", None), "<13>Xyz 15 12:00:00 host app: no month": ("syslog", None), "<13>Jan 32 12:00:00 host app: no day": ("syslog", None),
+        "<165>1 2026-07-10T09:51:40+03:00 host app 1234 ID47 - message": ("syslog", datetime(2026, 7, 10, 6, 51, 40)), "<34>2 - host app  1 ID [a b] message": ("syslog", None),
+        '{"start": "2026-01-15T12:00:00Z", "src": "192.0.2.1", "rule": 7}': ("firewall", datetime(2026, 1, 15, 12)), '{"start": "2026-01-15T12:00:00Z", "src": "192.0.2.1", "proto": "TCP", "diag": null}': ("firewall", datetime(2026, 1, 15, 12)),
+        '{"time": "2026-01-15T12:00:00Z", "src": "192.0.2.1"}': ("generic", datetime(2026, 1, 15, 12)),
+    }
+    bad = ['{"pf": 1, "x": 2}', "<34>no tag here", "<12345>host app: msg", "34>host app: msg"]
+    raw = spark.createDataFrame([("f", x) for x in [*lines, *bad]], "source string, raw string")
+    found, failures = records.parse(raw)
+    got = {r.event_id: (r.parser, r.at) for r in found.select("event_id", "parser", records.F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")).collect()}
+    ids = {x: f"EVT-{sha256(b'f').hexdigest()[:8]}-{sha256(x.encode()).hexdigest()[:16]}" for x in lines}
+    assert got == {ids[x]: (kind, at and f"{at:%Y-%m-%d %H:%M:%S}") for x, (kind, at) in lines.items()}
+    assert sorted(r.preview for r in failures.where("reason = 'unsupported'").collect()) == sorted(bad)
+
+
 def test_flags(spark):
     rows = [("S",), ("syn ack",), ("",), (None,), ("-",), ("XYZ",), ("FPU",), ("WE",)]
     got = [r[0] for r in spark.createDataFrame(rows, "f string").select(records.tcp_flags(records.F.col("f"))).collect()]
