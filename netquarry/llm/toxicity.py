@@ -1,18 +1,30 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to classes: insults and threats (fixed lists, and whatever words the labelled rows show to mark toxic texts, in any
-language), targets, negations and reporting verbs. Small transducers over classes (insult at a target, threat at a target,
-negated, reported) run over each clause; their composition is one table of states that reads the clause once and tells which
-pattern it matched. Scores come from matched clauses: each pattern has a weight learned from the labelled clauses, and a
-text's score is the logistic of the sum of its clauses' weights, less and less for further clauses of the same pattern.
-
-Learning: the labelled rows outside the held-out fold, at most TRAIN_ROWS of them (those with the least hashed ids). Words are
-counted by document with Spark; a word enters the lexicon if it occurs in enough toxic documents and seldom in others.
+Words map to classes: insults, mild insults (words that also have a harmless sense) and threats (fixed lists, and whatever words the
+labelled rows show to mark toxic texts, in any language), targets, intents, copulas, negations, reporting verbs, words that mention a
+word, and verbs that take a mild insult in its literal sense. A text is cut into clauses, and over each runs a cascade of transducers:
+
+* four markers rewrite insults and threats that stand in their scope: negated (a few words, up to a pause), reported (to the clause's
+  end), mentioned ("the word idiot") and literal ("take out the trash");
+* the last reads the marked symbols and gives the clause's patterns: a threat needs a target after it, and is a stronger pattern
+  with an intent before it; an insult "at target" has a target in its clause or a copula before it; two insults without a mark in one
+  clause are "heaped"; other insults are patterns of their own.
+
+They are composed on the fly: states of the composition are tuples of their states, and arcs are kept once made. Each pattern has a
+weight (log-odds), a clause the greatest weight among its patterns (the best path), and a text the logistic of the base and the
+clauses' weights, less and less for further clauses of the same pattern. So words score only as parts of patterns of clauses; what an
+insult without any target weighs is learned like all weights.
+
+Learning: the labelled rows outside the held-out fold, about TRAIN_ROWS of them at most (by hashed ids). Words are counted by
+document with Spark; a word enters the lexicon if it occurs in enough toxic documents and seldom in others (which bounds their
+number by that of the sample's words). Weights and base are the maximum of the labels' likelihood and a normal prior around fixed
+values, over the sample's counted pattern sets; so every pattern is learned as far as it is seen.
 Only texts and labels of those rows are used: never lang, source or ids.
 
 Defined cases: null and empty texts match nothing and get the base score. Texts are scored whole. Rows with equal texts have
-equal scores; repeated labels count once, rows labelled both ways are left out of learning; null labels are no labels.
-Without any labelled rows the fixed lists and weights decide.
+equal scores; repeated labels count once, rows labelled both ways are left out of learning; null labels are no labels; a null doc_id
+counts as held out. Patterns of one clause with equal weights: the first by name. Without any labelled rows the fixed lists and
+weights decide. Result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,66 +32,139 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import stored, table, thinned
 
 TRAIN_ROWS = 20_000
 #: A learned word occurs in so many toxic training texts at least, in that share of them, and so many times likelier than in others.
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO, MOST_WORDS = 4, 0.015, 25.0, 4_000
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 4, 0.015, 25.0
 
 #: The classes' own words.
 WORDS = {
-    "insult": "idiot moron scum loser trash clown stupid worthless pathetic disgusting fool imbecile",
+    "insult": "idiot moron scum loser stupid worthless pathetic disgusting fool imbecile",
+    "mild": "trash clown",
     "threat": "kill hurt destroy smash beat burn shoot stab",
-    "target": "you your he she they them him her u du ihr tu vous tú usted ustedes",
+    "target": "you your you're he she they they're them him her u du ihr tu vous tú usted ustedes",
+    "intent": "will shall gonna going i'll we'll i'd must",
+    "copula": "is are am was were be been ist bist sind est es sont eres son",
     "negation": "not no never nobody isn't aren't wasn't don't nicht kein keine pas jamais nunca",
     "report": "said says say told wrote writes claimed claims quoted according sagte schrieb dit écrit dijo escribió",
+    "mention": "word words term terms name noun adjective wort mot palabra",
+    "literal": "take took takes taking throw threw throws put puts empty emptied collect collected sort bag hire hired circus",
 }
-CLASSES = tuple(WORDS)
+INSULTS = ("insult", "mild", "learned")  # learned: words that the labels show
+CORE = frozenset((*INSULTS, "threat"))
+PAUSE, OTHER = "pause", "other"
+CLASSES = (*WORDS, "learned", PAUSE, OTHER)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[,:()\[\]\"“”«»–—]")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
-#: Each transducer: start state 0, {(state, class): next state}; a class without an arc leaves the state as it is.
-#: The last state is final and is kept.
-TRANSDUCERS = {
-    "insult": {(0, "insult"): 1},
-    "threat": {(0, "target"): 0, (0, "threat"): 1},
-    "target": {(0, "target"): 1},
-    "negated": {(0, "negation"): 1, (1, "insult"): 2, (1, "threat"): 2},
-    "reported": {(0, "report"): 1, (1, "insult"): 2, (1, "threat"): 2},
-}
-_FINAL = {"insult": 1, "threat": 1, "target": 1, "negated": 2, "reported": 2}
-
-
-def compose() -> tuple[dict[tuple[int, str], int], list[str]]:
-    """The product of the transducers: arcs between numbered states, and each state's pattern ("" where none is matched)."""
-    names = list(TRANSDUCERS)
-    states, arcs, todo = {(0,) * len(names): 0}, {}, [(0,) * len(names)]
-    while todo:
-        at = todo.pop()
-        for c in CLASSES:
-            to = tuple(TRANSDUCERS[n].get((s, c), s) for n, s in zip(names, at, strict=True))
-            if to not in states:
-                states[to] = len(states)
-                todo.append(to)
-            arcs[states[at], c] = states[to]
-    patterns = [""] * len(states)
-    for at, i in states.items():
-        done = {n for n, s in zip(names, at, strict=True) if s == _FINAL[n]}
-        if kind := "threat" if "threat" in done and "target" in done else "insult" if "insult" in done else "":
-            patterns[i] = kind + (" at target" if kind == "insult" and "target" in done else "") + (" negated" if "negated" in done else "") + (" reported" if "reported" in done else "")
-    return arcs, patterns
-
 
-ARCS, PATTERNS = compose()
-KINDS = tuple(sorted(set(PATTERNS) - {""}))
+@dataclass(frozen=True)
+class Marker:
+    """A transducer over (class, mark) symbols: ``opens`` begins a scope of so many symbols (None: to the clause's end), ``closes`` ends it;
+    symbols of ``marks`` inside it get the mark, unless they have one that it does not replace. A state is what is left of the scope."""
+
+    mark: str
+    opens: str
+    scope: int | None
+    marks: frozenset[str]
+    closes: frozenset[str] = frozenset()
+    replaces: bool = False
+
+    def step(self, state: int, symbol: tuple[str, str]) -> tuple[int, tuple[str, str]]:
+        kind, mark = symbol
+        if kind == self.opens:
+            return self.scope or 1, symbol
+        if kind in self.closes:
+            return 0, symbol
+        if state and kind in self.marks and (self.replaces or not mark):
+            symbol = kind, self.mark
+        return state if self.scope is None else max(0, state - 1), symbol
+
+
+MARKERS = (
+    Marker("negated", "negation", 4, CORE, frozenset((PAUSE,))),
+    Marker("reported", "report", None, CORE),
+    Marker("literal", "literal", 5, frozenset(("mild",)), frozenset((PAUSE,)), True),
+    Marker("mentioned", "mention", 3, CORE, frozenset(("copula",)), True),
+)
+MARKS = ("", *sorted(m.mark for m in MARKERS))
+
+
+class Patterns:
+    """The last transducer. A state: whether a target, a copula, an intent were read; insults read (with the pattern's kind so far);
+    threats that wait for a target; threats that have one; unmarked insults up to two."""
+
+    start = (False, False, False, frozenset(), frozenset(), frozenset(), 0)
+
+    @staticmethod
+    def step(state: tuple, symbol: tuple[str, str]) -> tuple:
+        target, copula, intent, insults, waiting, threats, plain = state
+        kind, mark = symbol
+        if kind in INSULTS:
+            insults |= {(kind + " at target" if target or copula else kind, mark)}
+            plain = plain if mark else min(2, plain + 1)
+        elif kind == "threat":
+            waiting |= {("threat with intent" if intent else "threat", mark)}
+        elif kind == "target":
+            target, threats, waiting = True, threats | waiting, frozenset()
+            insults = frozenset((k if " " in k else k + " at target", m) for k, m in insults)
+        copula, intent = copula or kind == "copula", intent or kind == "intent"
+        return target, copula, intent, insults, waiting, threats, plain
+
+    @staticmethod
+    def final(state: tuple) -> frozenset[str]:
+        heaped = frozenset((("insults heaped", ""),)) if state[6] == 2 else frozenset()
+        return frozenset(f"{kind} {mark}".strip() for kind, mark in state[3] | state[5] | heaped)
+
+
+#: The prior weights of patterns, of those with a mark, and of the base.
+PRIOR = {"insult at target": 6.0, "insult": 4.0, "mild at target": 5.0, "mild": 2.5, "learned at target": 4.5, "learned": 4.5, "threat with intent": 6.0, "threat": 3.0, "insults heaped": 7.0}
+PRIOR_MARKED, PRIOR_BASE = 0.5, -3.0
+KINDS = tuple(sorted(f"{k} {m}".strip() for k in PRIOR for m in MARKS if not (m and k == "insults heaped")))
+
+
+class Composed:
+    """The composition of the markers and the pattern transducer: numbered states, arcs made when first taken."""
+
+    def __init__(self):
+        self.number = {(0,) * len(MARKERS) + Patterns.start: 0}
+        self.states = list(self.number)
+        self.arcs: list[dict[str, int]] = [{}]
+
+    def step(self, state: int, kind: str) -> int:
+        to = self.arcs[state].get(kind)
+        if to is None:
+            at, symbol, after = self.states[state], (kind, ""), []
+            for marker, s in zip(MARKERS, at[: len(MARKERS)], strict=True):
+                s, symbol = marker.step(s, symbol)
+                after.append(s)
+            key = (*after, *Patterns.step(at[len(MARKERS) :], symbol))
+            to = self.number.get(key)
+            if to is None:
+                to = self.number[key] = len(self.states)
+                self.states.append(key)
+                self.arcs.append({})
+            self.arcs[state][kind] = to
+        return to
+
+    def patterns(self, kinds: Iterable[str]) -> frozenset[str]:
+        state = 0
+        for kind in kinds:
+            state = self.step(state, kind)
+        return Patterns.final(self.states[state][len(MARKERS) :])
+
+
+COMPOSED = Composed()
 
 
 @dataclass(frozen=True)
@@ -89,31 +174,29 @@ class Grammar:
     lexicon: dict[str, str]
     weights: dict[str, float]
     base: float
+    core: frozenset[str] = field(init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "core", frozenset(w for w, c in self.lexicon.items() if c in CORE))
 
-    def clauses(self, text: str) -> Counter:
-        """How many clauses of the text match each pattern."""
-        text = text.lower()
-        core = self.core
-        found: Counter = Counter()
-        if core.isdisjoint(_WORD.findall(text)):
-            return found
+    def matched(self, text: str) -> list[frozenset[str]]:
+        """The patterns of each clause that has any."""
+        text = text.lower().replace("’", "'")
+        if self.core.isdisjoint(_WORD.findall(text)):
+            return []
+        found = []
         for clause in _CLAUSE.split(text):
-            state = 0
-            for word in _WORD.findall(clause):
-                if (c := self.lexicon.get(word)) is not None:
-                    state = ARCS[state, c]
-            if PATTERNS[state]:
-                found[PATTERNS[state]] += 1
+            tokens = _TOKEN.findall(clause)
+            if not self.core.isdisjoint(tokens) and (p := COMPOSED.patterns(self.lexicon.get(t, OTHER) if t[0].isalpha() else PAUSE for t in tokens)):
+                found.append(p)
         return found
 
-    @property
-    def core(self) -> frozenset[str]:
-        if "_core" not in self.__dict__:
-            object.__setattr__(self, "_core", frozenset(w for w, c in self.lexicon.items() if c in ("insult", "threat")))
-        return self.__dict__["_core"]
+    def best(self, found: list[frozenset[str]]) -> Counter:
+        """How many clauses have each pattern as their best path."""
+        return Counter(min(p, key=lambda k: (-self.weights[k], k)) for p in found)
 
-    def score(self, found: Counter) -> float:
-        x = self.base + sum(self.weights[k] * (1 + math.log(n)) for k, n in found.items())
+    def score(self, best: Counter) -> float:
+        x = self.base + sum(self.weights[k] * (1 + math.log(n)) for k, n in best.items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -121,14 +204,43 @@ def fixed_lexicon() -> dict[str, str]:
     return {w: c for c, words in WORDS.items() for w in words.split()}
 
 
+def fixed_weights() -> dict[str, float]:
+    return {k: PRIOR.get(k, PRIOR_MARKED) for k in KINDS}
+
+
+def fitted(seen: list[tuple[dict[str, int], int, int]], prior: dict[str, float], base: float, spread: float = 1.5) -> tuple[dict[str, float], float]:
+    """Weights (none below 0) and base: logistic regression over (best patterns, toxic, rows), with normal priors of that spread."""
+    names = sorted(prior)
+    x = np.array([[1 + math.log(best[k]) if k in best else 0.0 for k in names] + [1.0] for best, _, _ in seen]).reshape(len(seen), len(names) + 1)
+    y, n = (np.array([r[i] for r in seen], float) for i in (1, 2))
+    mean = np.array([prior[k] for k in names] + [base])
+    w = mean.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + ((w - mean) ** 2).sum() / (2 * spread**2))
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - (w - mean) / spread**2
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2, slope)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w + step
+        if np.abs(step).max() < 1e-7:
+            break
+    return {k: max(0.0, float(v)) for k, v in zip(names, w[:-1], strict=True)}, float(w[-1])
+
+
 def held_out(doc_id: Column, parts: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 0, F.lit(True))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of a bounded number of labelled rows outside the held-out fold; equal texts of one label are one."""
+    """(doc_id, text, toxic) of a bounded number of labelled ids outside the held-out fold; equal texts of one label are one."""
     one = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_hi"))
-    chosen = one.where("toxic = _hi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
+    one = thinned(one.where("toxic = _hi").select("doc_id", F.col("toxic").cast("int").alias("toxic")), F.col("doc_id"), most)
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_key", F.xxhash64("text")).dropDuplicates(["_key", "toxic"]).drop("_key")  # at most `most` rows of two numbers
 
 
@@ -139,47 +251,43 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Grammar
         for batch in batches:
             counts: Counter = Counter()
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                counts.update((w, int(toxic)) for w in set(_WORD.findall(text.lower() if isinstance(text, str) else "")))
+                counts.update((w, int(toxic)) for w in set(_WORD.findall(text.lower().replace("’", "'") if isinstance(text, str) else "")))
                 counts["", int(toxic)] += 1
             yield pd.DataFrame([(w, t, n) for (w, t), n in counts.items()], columns=["word", "toxic", "n"])
 
     rows = stored(rows, "training")
     counts = rows.mapInPandas(words, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("good")).fillna(0)
+    counts = stored(counts, "words")
     total = counts.where("word = ''").first()
     bad, good = (total["bad"], total["good"]) if total else (0, 0)
     lexicon = fixed_lexicon()
-    if bad and good:
-        ratio = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
-        marks = counts.where((F.col("word") != "") & (F.col("bad") >= max(LEAST_DOCUMENTS, LEAST_SHARE * bad)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(MOST_WORDS)
-        for r in marks.collect():
-            lexicon.setdefault(r["word"], "insult")
-    weights = {k: 6.0 for k in KINDS} | {k: 1.0 for k in KINDS if "negated" in k or "reported" in k}
-    plain = Grammar(lexicon, weights, -3.0)
     if not (bad and good):
-        return plain
+        return Grammar(lexicon, fixed_weights(), PRIOR_BASE)
+    ratio = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
+    # each is in LEAST_SHARE of the toxic texts, so their number is at most the mean toxic text's words / LEAST_SHARE
+    marks = counts.where((F.col("word") != "") & (F.col("bad") >= max(LEAST_DOCUMENTS, LEAST_SHARE * bad)) & (ratio >= LEAST_RATIO)).select("word")
+    for r in marks.collect():
+        lexicon.setdefault(r["word"], "learned")
+    plain = Grammar(lexicon, fixed_weights(), PRIOR_BASE)
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: Counter = Counter()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                found = plain.clauses(text if isinstance(text, str) else "")
-                out.update((k, int(toxic)) for k in found or [""])
-            yield pd.DataFrame([(k, t, n) for (k, t), n in out.items()], columns=["pattern", "toxic", "n"])
+            best = [plain.best(plain.matched(text if isinstance(text, str) else "")) for text in batch["text"]]
+            yield pd.DataFrame({"patterns": ["; ".join(f"{k}: {n}" for k, n in sorted(x.items())) for x in best], "toxic": batch["toxic"].astype("int32")})
 
-    seen = {(r["pattern"], r["toxic"]): r["n"] for r in rows.mapInPandas(patterns, "pattern string, toxic int, n long").groupBy("pattern", "toxic").agg(F.sum("n").alias("n")).collect()}
-    odds = lambda k: math.log((seen.get((k, 1), 0) + 0.5) / (seen.get((k, 0), 0) + 0.5))
-    base = min(-1.0, odds(""))
-    # a pattern that the labels do not show keeps its fixed weight
-    return Grammar(lexicon, {k: max(0.0, odds(k) - base) if seen.get((k, 0), 0) + seen.get((k, 1), 0) >= LEAST_DOCUMENTS else w for k, w in weights.items()}, base)
+    # at most one row for each training row
+    seen = rows.mapInPandas(patterns, "patterns string, toxic int").groupBy("patterns", "toxic").agg(F.count("*").alias("n")).orderBy("patterns", "toxic").collect()
+    parsed = [({k: int(n) for k, n in (x.rsplit(": ", 1) for x in r["patterns"].split("; ") if x)}, r["toxic"], r["n"]) for r in seen]
+    return Grammar(lexicon, *fitted(parsed, fixed_weights(), PRIOR_BASE))
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """Adds score (double), predicted (int) and clauses (string: the matched patterns with their counts)."""
+    """Adds score (double), predicted (int) and clauses (string: the clauses' best patterns with their counts)."""
 
     @F.pandas_udf("score double, clauses string")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [grammar.clauses(x if isinstance(x, str) else "") for x in batch]
+            found = [grammar.best(grammar.matched(x if isinstance(x, str) else "")) for x in batch]
             yield pd.DataFrame({"score": np.array([grammar.score(x) for x in found], float), "clauses": ["; ".join(f"{k}: {n}" for k, n in sorted(x.items())) for x in found]})
 
     return docs.withColumn("_scored", scored(F.col(text))).withColumns({
