@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +9,8 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (local tests), a folder of this machine, set once."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="netquarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """``spark.checkpoint.dir`` of the session. Where it is unset, the session's warehouse, which a cluster shares as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
@@ -26,7 +22,16 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/netquarry/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored frame's files. Only for frames that nothing lazy reads any more: what was made of them is stored itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def thinned(df: DataFrame, key: Column, most: int) -> DataFrame:
