@@ -6,7 +6,7 @@
    of which two linked sets must share one.
 2. Equal sets become one representative (by size and a 128-bit sum of mixed keys).
 3. Light sets, of up to ``boundary`` shingles: all subsets of the size that a link needs (for each pair of sizes) become keys;
-   sets with a common key are linked, as a star around the least id. The boundary is the size where enumerating these
+   sets with a common key are linked, as a star around the least id of the smaller size. The boundary is the size where enumerating these
    subsets would cost more than reading the inverted lists, both counted on the data.
 4. Heavy sets: inverted lists of the prefixes. First each list is a star around its least id, then around a pseudo-random
    member for those still in another component, and last all pairs of different components in a list (each only in the first
@@ -21,6 +21,7 @@ with the largest set. A null doc_id has no component (null) but its own size. Te
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -41,6 +42,8 @@ SHINGLE_WORDS = 5
 BLOCK_BYTES = 3 << 20
 PART_BYTES = 10 << 20
 KEY_BITS = 48
+#: A class of equal sets is hot from this part of all documents on.
+HOT_CLASSES = 2_000
 #: Sizes above this are never enumerated: a set of 16 has up to C(16, 12) = 1,820 subsets for one partner size.
 LIGHT_MOST = 16
 
@@ -156,7 +159,7 @@ def boundary(sizes: list[tuple[int, int, int]]) -> int:
 
 
 def _subsets(most: int):
-    """Light sets -> (size of the smaller, size of the larger, key of the subset, id)."""
+    """Light sets -> (size of the smaller, size of the larger, key of the subset, id, own size)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,8 +169,8 @@ def _subsets(most: int):
                 for m in partner_sizes(n):
                     c = needed(n, m)
                     if m <= most and c <= len(keys):
-                        rows += [(min(n, m), max(n, m), int(sum(map(int, x)) % (1 << 64)) - (1 << 63), doc) for x in combinations(keys, c)]
-            yield pd.DataFrame(rows, columns=["small", "large", "key", "id"]).astype("int64")
+                        rows += [(min(n, m), max(n, m), int(sum(map(int, x)) % (1 << 64)) - (1 << 63), doc, n) for x in combinations(keys, c)]
+            yield pd.DataFrame(rows, columns=["small", "large", "key", "id", "n"]).astype("int64")
 
     return run
 
@@ -220,8 +223,9 @@ def link_sets(sets: DataFrame) -> DataFrame:
     counts = sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("sets")).join(costs, "n", "left")
     light = boundary([(r["n"], r["sets"], r["read"] or 0) for r in counts.collect()])  # one row for each size up to LIGHT_MOST
 
-    keys = sets.where(F.col("n") <= light).select("id", "n", "shared").mapInPandas(_subsets(light), "small long, large long, key long, id long")
-    star = keys.groupBy("small", "large", "key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    keys = sets.where(F.col("n") <= light).select("id", "n", "shared").mapInPandas(_subsets(light), "small long, large long, key long, id long, n long")
+    # the centre is of the smaller size: what two larger sets share need not be enough for them
+    star = keys.groupBy("small", "large", "key").agg(F.min(F.when(F.col("n") == F.col("small"), F.col("id"))).alias("a"), F.count("*").alias("c")).where("c > 1 AND a IS NOT NULL").drop("c")
     links = keys.join(star, ["small", "large", "key"]).where("a != id").select("a", F.col("id").alias("b")).distinct()
 
     own = [c for c in entries.columns if c != "star"]
@@ -244,9 +248,14 @@ def link_sets(sets: DataFrame) -> DataFrame:
     found = components(links)
 
     known = _edges(checked, again)
-    rest = stored(open_lists(found).drop("star").join(sets.select("id", "prefix"), "id").withColumn("before", F.slice("prefix", 1, (F.col("pos") - F.col("unique")).cast("int"))).drop("prefix"), "open")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link(light) & ~F.arrays_overlap("a.before", "b.before")
-    last = rest.alias("a").join(rest.alias("b"), apart)
+    # two sets that link are in one band of size or in neighbouring ones, so only entries of such bands meet
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(4 / 3) * (1 + 1e-9))).cast("int")
+    rest = open_lists(found).drop("star").join(sets.select("id", "prefix"), "id").withColumns({"before": F.slice("prefix", 1, (F.col("pos") - F.col("unique")).cast("int")), "band": band}).drop("prefix")
+    rest = stored(rest, "open")
+    upper = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band")) & ordered & (F.col("a.component") != F.col("b.component")) & _may_link(light) & ~F.arrays_overlap("a.before", "b.before")
+    last = upper.alias("a").join(rest.alias("b"), apart)
     more = _verified(_pairs(last).join(known, ["a", "b"], "left_anti"), sets)
     return components(_edges(links, more.where("linked")))
 
@@ -255,19 +264,29 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     rows = stored(shingle_table(docs.select("doc_id", "text"), words), "sets")
     named = rows.where("doc_id is not null")
-    best = named.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x")).select("doc_id", "x.*")
-    same = best.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
+    best = stored(named.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("x")).select("doc_id", "x.*"), "best")
+    same = stored(best.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     sets = stored(
-        named.where(F.size("prefix") > 0).join(same.withColumn("doc_id", F.col("id")), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["id"]).select("id", "n", "unique", "shared", "prefix"), "representatives"
+        named.where(F.size("prefix") > 0).join(same.select("n", "f1", "f2", "id", F.col("id").alias("doc_id")), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["id"]).select("id", "n", "unique", "shared", "prefix"), "representatives"
     )
     found = link_sets(sets)
     placed = (
-        best.join(same, ["n", "f1", "f2"], "left")
+        _with_class(best, same)
         .join(found, "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
     )
     return placed.unionByName(rows.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
+def _with_class(best: DataFrame, same: DataFrame) -> DataFrame:
+    """best with the id of its class of equal sets. Classes with more than one of HOT_CLASSES of the rows (fewer than so many) are looked up
+    where their rows are, so that no task gets all copies of one text; the others are joined."""
+    key = ["n", "f1", "f2"]
+    hot = F.broadcast(same.where(F.col("copies") * HOT_CLASSES > best.count()).select(*key, "id"))
+    near = best.join(hot, key, "left")
+    rest = near.where("id is null").drop("id").join(same.select(*key, "id"), key, "left")
+    return near.where("id is not null").unionByName(rest)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

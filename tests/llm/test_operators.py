@@ -158,6 +158,24 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, part_bytes, block
     assert got == brute_components(docs)
 
 
+def test_light_sets_are_linked_by_their_subsets(spark, monkeypatch):
+    """Long lists of small sets make enumeration the cheaper way; and with it alone (no set is heavy) all links are found."""
+    assert jaccard_join.boundary([(3, 100, 10_000), (8, 100, 1_000_000), (16, 10, 30)]) == 8
+    docs = [(i, t) for i, t in near_copies() if len(t.split()) <= 12]
+    monkeypatch.setattr(jaccard_join, "boundary", lambda sizes: 8)
+    monkeypatch.setattr(jaccard_join, "_may_link", lambda light: F.lit(False))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == brute_components(docs) and any(i != c and n < 9 for i, n, c in got)
+    assert len({t for i, t in docs if any(i == j and j != c for j, _, c in got)}) > 3
+
+
+def test_hot_classes_change_nothing(spark, monkeypatch):
+    docs = [*near_copies(), *((2000 + i, "the same few words in many copies of it") for i in range(200))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "HOT_CLASSES", 4)
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == brute_components(docs)
+
+
 def test_jaccard_of_no_rows_and_no_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(empty).collect() == []
