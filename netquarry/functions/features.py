@@ -6,8 +6,6 @@ below them. ``{matches}`` stands for the engine's regular-expression predicate.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +43,11 @@ def _ranges(blocks) -> list[tuple[int, int]]:
     return out
 
 
-_BLOCKS = {"private": PRIVATE_V4, "not_public": (*PRIVATE_V4, *SHARED_V4, *UNUSABLE_V4), "unusable": UNUSABLE_V4}
-
-
-def _in_blocks(number: str, blocks: str) -> str:
-    return f"@{blocks}({number})"
-
-
-def _expanded(sql: str, spark: bool) -> str:
-    """``@blocks(column)``: whether the address number is in one of the blocks. Spark's form names the column once or twice only,
-    since its optimizer copies a column's own expression to every place that names it."""
-
-    def spell(m: re.Match) -> str:
-        ranges, number = _ranges(_BLOCKS[m[1]]), m[2]
-        if spark:
-            return f"exists(array({', '.join(f'struct({a}L AS lo, {b}L AS hi)' for a, b in ranges)}), r -> {number} BETWEEN r.lo AND r.hi)"
-        return "(" + " OR ".join(f"{number} BETWEEN {a} AND {b}" for a, b in ranges) + ")"
-
-    return re.sub(r"@(\w+)\((\w+)\)", spell, sql)
+def _class(number: str) -> str:
+    """Of an address number: 'unusable', 'private', 'shared' or 'public'; null of null."""
+    blocks = (("unusable", UNUSABLE_V4), ("private", PRIVATE_V4), ("shared", SHARED_V4))
+    within = lambda b: " OR ".join(f"{number} BETWEEN {lo} AND {hi}" for lo, hi in _ranges(b))
+    return f"CASE WHEN {number} IS NULL THEN NULL {' '.join(f'WHEN {within(b)} THEN {chr(39)}{name}{chr(39)}' for name, b in blocks)} ELSE 'public' END"
 
 
 def _v4(ip: str) -> str:
@@ -84,19 +69,24 @@ def _flag(name: str) -> str:
     return f"(coalesce(',' || tcp_flags || ',', '') LIKE '%,{name},%')"
 
 
-def _usable(number: str) -> str:
-    return f"coalesce(NOT {_in_blocks(number, 'unusable')}, false)"
+def _usable(kind: str) -> str:
+    return f"coalesce({kind} <> 'unusable', false)"
 
 
-def _private(number: str) -> str:
-    return f"coalesce({_in_blocks(number, 'private')} AND NOT {_in_blocks(number, 'unusable')}, false)"
+def _private(kind: str) -> str:
+    return f"coalesce({kind} = 'private', false)"
 
 
-def _public(number: str) -> str:
-    return f"coalesce(NOT {_in_blocks(number, 'not_public')}, false)"
+def _public(kind: str) -> str:
+    return f"coalesce({kind} = 'public', false)"
 
 
+#: Layers whose columns are long expressions that later ones name often: each row's are computed once (see with_features).
+FIRM = (0, 1)
+
 LAYERS: tuple[dict[str, str], ...] = (
+    {"src_v4": _v4("src_ip"), "dst_v4": _v4("dst_ip"), "trans_v4": _v4("translated_dst_ip")},
+    {"src_class": _class("src_v4"), "dst_class": _class("dst_v4"), "trans_class": _class("trans_v4")},
     {
         "blocked": f"coalesce(lower(trim(action)) IN {_words(BLOCKED)}, false)",
         "blocked_legacy": f"coalesce(lower(action) IN {_words(BLOCKED_LEGACY)}, false)",
@@ -106,9 +96,6 @@ LAYERS: tuple[dict[str, str], ...] = (
         "service": _service("dst_port"),
         "eff_dst": "CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN translated_dst_ip ELSE dst_ip END",
         "eff_port": "coalesce(translated_dst_port, dst_port)",
-        "src_v4": _v4("src_ip"),
-        "dst_v4": _v4("dst_ip"),
-        "trans_v4": _v4("translated_dst_ip"),
         "wan_in": _zone("inbound_zone", "wan|wan[0-9]+|internet|external|outside|untrust"),
         "lan_out": _zone("outbound_zone", "lan|internal|inside|trust"),
         "dmz_out": _zone("outbound_zone", "dmz"),
@@ -120,15 +107,15 @@ LAYERS: tuple[dict[str, str], ...] = (
         "probe": "proto = 'TCP' AND has_syn AND NOT has_ack AND NOT has_rst AND NOT has_fin",
         "spi": "coalesce(lower(action_reason) LIKE '%spi%', false) OR coalesce(lower(event_outcome) LIKE '%spi%', false) OR coalesce(lower(action) LIKE '%spi%', false) OR coalesce(lower(safe_message_excerpt) LIKE '%blocked by spi%', false)",
         "eff_service": _service("eff_port"),
-        "eff_v4": "coalesce(CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN trans_v4 ELSE dst_v4 END, NULL)",
+        "eff_class": "CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN trans_class ELSE dst_class END",
         "ips_valid": "src_v4 IS NOT NULL AND dst_v4 IS NOT NULL",
         "net24": "CASE WHEN dst_v4 IS NOT NULL THEN split_part(dst_ip, '.', 1) || '.' || split_part(dst_ip, '.', 2) || '.' || split_part(dst_ip, '.', 3) || '.0/24' END",
-        "src_usable": _usable("src_v4"), "src_public": _public("src_v4"), "src_private": _private("src_v4"), "dst_private": _private("dst_v4"),
-        "dst_public": _public("dst_v4"), "trans_private": _private("trans_v4"),
+        "src_usable": _usable("src_class"), "src_public": _public("src_class"), "src_private": _private("src_class"), "dst_private": _private("dst_class"),
+        "dst_public": _public("dst_class"), "trans_private": _private("trans_class"),
     },
     {
         "spi_block": "spi AND (blocked OR coalesce(lower(action) LIKE '%block%' OR lower(action) LIKE '%deny%' OR lower(action) LIKE '%drop%', false) OR coalesce(lower(safe_message_excerpt) LIKE '%blocked by spi%', false))",
-        "eff_usable": _usable("eff_v4"), "eff_private": _private("eff_v4"),
+        "eff_usable": _usable("eff_class"), "eff_private": _private("eff_class"),
         "service_or_port": "coalesce(eff_service, CASE WHEN eff_port BETWEEN 1 AND 65535 THEN 'tcp_' || CAST(eff_port AS {string}) END)",
         "sensitive_service": f"CASE WHEN eff_port IN {_words((*SENSITIVE_PORTS, *CRITICAL_PORTS))} THEN eff_service END",
         "critical_port": f"coalesce(eff_port IN {_words(CRITICAL_PORTS)}, false)",
@@ -144,15 +131,21 @@ LAYERS: tuple[dict[str, str], ...] = (
 
 
 def with_features(events: DataFrame) -> DataFrame:
-    """Adds all derived columns. Null actions, ports, addresses and zones give false (or null services), never null flags."""
-    for layer in LAYERS:
-        events = events.withColumns({name: F.expr(_expanded(sql, True).replace("{matches}", "regexp_like").replace("{string}", "STRING").replace("\\", "\\\\")) for name, sql in layer.items()})
+    """Adds all derived columns. Null actions, ports, addresses and zones give false (or null services), never null flags.
+
+    Columns of FIRM layers are made by a generator of one row, which the optimizer does not copy into every expression that names them."""
+    for i, layer in enumerate(LAYERS):
+        made = {name: F.expr(sql.replace("{matches}", "regexp_like").replace("{string}", "STRING").replace("\\", "\\\\")) for name, sql in layer.items()}
+        if i in FIRM:
+            events = events.select("*", F.inline(F.array(F.struct(*[x.alias(name) for name, x in made.items()]))))
+        else:
+            events = events.withColumns(made)
     return events
 
 
 def features_sql(source: str) -> str:
     """The same layers around a table expression, for DuckDB."""
     for layer in LAYERS:
-        columns = ", ".join(f"{_expanded(sql, False).replace('{matches}', 'regexp_matches').replace('{string}', 'VARCHAR')} AS {name}" for name, sql in layer.items())
+        columns = ", ".join(f"{sql.replace('{matches}', 'regexp_matches').replace('{string}', 'VARCHAR')} AS {name}" for name, sql in layer.items())
         source = f"(SELECT *, {columns} FROM {source})"
     return source

@@ -3,17 +3,19 @@
 A window rule looks, at each event in (ts, event_id) order within its key, at the events of the last ``seconds`` up to and with that
 one (the bound included), and fires where ``having`` holds. Aggregates: n (events), t (distinct targets), p (distinct ports), q
 (distinct services), b (blocked), s (SYN), first_us, span (seconds). A sequence rule looks, at each allowed event, at the earlier
-blocked ones of its key within the window; ``related`` tells that one of them went to the same destination and service. A group rule
-looks once at all events of its key, and has two aggregates more: ok (allowed) and x (events to a sensitive port).
+blocked ones of its key within the window (n counts these and the allowed event); ``related`` tells that one of them went to the same
+destination and service. A group rule looks once at all events of its key, and has two aggregates more: ok (allowed) and x (events to a sensitive port).
 
 How it scales: a window of w seconds spans at most two of the time buckets of that length, so every event is copied to
-its own and the next bucket, and (key, bucket) is the shuffle key: a hot source is split by time, and no task holds more of it
-than two windows. Each result belongs to the bucket of its last event. Only the columns that a rule needs are shuffled.
-A group rule first takes partial aggregates; only the events of groups that fire (by ``having`` no longer than a window) are gathered.
+its own and the next bucket, and (rule, key, bucket) is the shuffle key: a hot source is split by time, and no task holds more of it
+than two windows. Within them all aggregates are running sums over events that enter and leave: no window is gathered, and the
+cost per event does not depend on the window's size. Each result belongs to the bucket of its last event. Only the columns that a rule needs are
+shuffled, and all rules that are evaluated together share that shuffle. Group rules take partial aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ class Rule:
     port: str = "dst_port"
     blocked: str = "blocked"
     kind: str = "window"  # or sequence, group
-    only: str = "true"
+    strength: str = "n"  # the count that confidence grows with
     family: str = "network_scanning"
 
 
@@ -66,7 +68,7 @@ RULES: tuple[Rule, ...] = (
     Rule("rdp_probe", ("src_ip",), "tcp AND dst_port = 3389 AND src_ip IS NOT NULL", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.7, 0.95), 5, blocked="blocked_legacy", family="service_probing"),
     Rule("ssh_probe", ("src_ip",), "tcp AND dst_port = 22 AND src_ip IS NOT NULL", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.7, 0.95), 5, blocked="blocked_legacy", family="service_probing"),
     Rule("spi_anomaly_burst", ("src_ip",), "spi AND src_ip IS NOT NULL", "n >= 5 AND t >= 1", "src_ip", "'medium'", (0.5, 0.85), 5, family="network_anomaly"),
-    Rule("network_flood_dos", ("src_ip", "dst_ip", "dst_port", "proto_raw"), "src_ip IS NOT NULL AND dst_ip IS NOT NULL", "n >= 100 AND 10 * b >= 8 * n", "src_ip", "'high'", (0.7, 0.9), 100, seconds=60, blocked="blocked_legacy", family="network_dos"),
+    Rule("network_flood_dos", ("src_ip", "dst_ip", "coalesce(dst_port, 0)", "proto_raw"), "src_ip IS NOT NULL AND dst_ip IS NOT NULL", "n >= 100 AND 10 * b >= 8 * n", "src_ip", "'high'", (0.7, 0.9), 100, seconds=60, blocked="blocked_legacy", family="network_dos"),
     Rule("low_and_slow_horizontal_scan", ("src_ip", "dst_port", "proto"), _PORTS, f"n >= 12 AND t >= 8 AND span >= 900 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 12, seconds=3600),
     Rule("low_and_slow_vertical_scan", ("src_ip", "dst_ip", "proto"), _PORTS, f"n >= 12 AND p >= 8 AND span >= 900 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 12, seconds=3600),
     Rule("repeated_blocked_scanner", ("src_ip", "proto"), "src_v4 IS NOT NULL AND (dst_ip IS NULL OR dst_v4 IS NOT NULL) AND NOT spi AND coalesce(trim(action), '') <> '' AND (NOT tcp OR probe)", "n >= 6 AND 10 * b >= 8 * n AND (t >= 2 OR p >= 2)", "src_ip", "'low'", (0.55, 0.8), 6),
@@ -74,7 +76,7 @@ RULES: tuple[Rule, ...] = (
     Rule("internal_lateral_scan", ("src_ip",), "src_private AND dst_private AND src_ip <> dst_ip AND tcp AND dst_port IN (22, 135, 139, 445, 3389, 5900, 5985, 5986)", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.75, 0.95), 5, family="lateral_movement_candidate"),
     Rule("multi_service_sweep", ("src_ip",), f"{_VALID} AND tcp AND service IS NOT NULL", "n >= 8 AND q >= 3 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.75, 0.95), 8, family="service_probing"),
     Rule("subnet_sweep", ("src_ip", "net24", "dst_port", "proto"), f"{_PORTS}", f"n >= 8 AND t >= 6 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 8),
-    Rule("scan_followed_by_allowed_connection", ("src_ip",), f"{_VALID} AND dst_port IS NOT NULL AND action IS NOT NULL AND (blocked OR allowed)", "b >= 5 AND (t >= 2 OR p >= 2) AND related", "src_ip", "'high'", (0.8, 0.95), 5, seconds=600, kind="sequence", family="network_intrusion_candidate"),
+    Rule("scan_followed_by_allowed_connection", ("src_ip",), f"{_VALID} AND dst_port IS NOT NULL AND action IS NOT NULL AND (blocked OR allowed)", "b >= 5 AND (t >= 2 OR p >= 2) AND related", "src_ip", "'high'", (0.8, 0.95), 5, seconds=600, kind="sequence", strength="b", family="network_intrusion_candidate"),
     _probe("smb_probe", "139, 445"),
     _probe("vnc_probe", "5900, 5901, 5902, 5903, 5904, 5905"),
     _probe("winrm_probe", "5985, 5986"),
@@ -92,11 +94,11 @@ RULES: tuple[Rule, ...] = (
     _flags("tcp_syn_fin_anomaly", "has_syn AND has_fin", "n >= 5 AND (t >= 3 OR p >= 3) AND 10 * b >= 8 * n", "high", "network_anomaly"),
     _flags("tcp_syn_rst_anomaly", "has_syn AND has_rst", "n >= 5 AND (t >= 3 OR p >= 3) AND 10 * b >= 8 * n", family="network_anomaly"),
     _flags("repeated_tcp_reset_anomaly", "has_rst AND NOT has_syn", "n >= 10 AND (t >= 3 OR p >= 3) AND 10 * b >= 6 * n", family="network_anomaly", threshold=10),
-    Rule("spi_followed_by_allowed_connection", ("src_ip",), f"{_PORTS} AND tcp AND (spi_block OR allowed)", "b >= 3 AND related", "src_ip", "'high'", (0.8, 0.95), 3, seconds=600, kind="sequence", blocked="spi_block", family="network_intrusion_candidate"),
+    Rule("spi_followed_by_allowed_connection", ("src_ip",), f"{_PORTS} AND tcp AND (spi_block OR allowed)", "b >= 3 AND related", "src_ip", "'high'", (0.8, 0.95), 3, seconds=600, kind="sequence", strength="b", blocked="spi_block", family="network_intrusion_candidate"),
     Rule("inbound_sensitive_service_allowed", ("src_ip", "eff_dst", "sensitive_service"), f"{_X} AND sensitive_service IS NOT NULL AND external", "n >= 1", "src_ip", "'medium'", (0.65, 0.9), 1, target="eff_dst", port="eff_port", family="firewall_exposure"),
     Rule("critical_management_service_exposed", ("src_ip", "eff_dst", "eff_port"), f"{_X} AND critical_port AND (wan_in OR trans_private) AND NOT inside", "n >= 1", "src_ip", "'high'", (0.8, 0.95), 1, target="eff_dst", port="eff_port", family="firewall_exposure"),
     Rule("dnat_sensitive_service_exposure", ("eff_dst", "eff_port"), f"{_X} AND sensitive_service IS NOT NULL AND trans_private AND (src_public OR wan_in) AND NOT inside", "n >= 1", "eff_dst", "'high'", (0.8, 0.95), 1, target="src_ip", port="eff_port", family="firewall_exposure"),
-    Rule("wan_to_lan_sensitive_service_allowed", ("eff_dst", "sensitive_service"), f"{_X} AND sensitive_service IS NOT NULL AND wan_in AND (lan_out OR coalesce(trim(outbound_zone), '') = '') AND NOT inside", "n >= 2", "eff_dst", "'high'", (0.8, 0.95), 2, target="src_ip", port="eff_port", family="firewall_policy"),
+    Rule("wan_to_lan_sensitive_service_allowed", ("eff_dst", "sensitive_service"), f"{_X} AND sensitive_service IS NOT NULL AND wan_in AND (lan_out OR coalesce(outbound_zone, '') = '') AND NOT inside", "n >= 2", "eff_dst", "'high'", (0.8, 0.95), 2, target="src_ip", port="eff_port", family="firewall_policy"),
     Rule("wan_to_dmz_administrative_service_allowed", ("eff_dst", "admin_service"), f"{_X} AND admin_service IS NOT NULL AND wan_in AND dmz_out AND NOT inside", "n >= 3", "eff_dst", "'medium'", (0.65, 0.9), 3, target="src_ip", port="eff_port", family="firewall_policy"),
     Rule("blocked_then_allowed_same_service", ("src_ip", "eff_dst", "service_or_port"), "exposable AND service_or_port IS NOT NULL AND ((blocked AND NOT spi) OR allowed)", "b >= 3", "src_ip", "'high'", (0.8, 0.95), 3, seconds=600, kind="sequence", target="eff_dst", port="eff_port", family="network_intrusion_candidate"),
     Rule("multi_source_allowed_sensitive_service", ("eff_dst", "sensitive_service"), f"{_X} AND sensitive_service IS NOT NULL AND src_public AND eff_private", "n >= 5 AND t >= 3", "eff_dst", "'high'", (0.8, 0.95), 5, target="src_ip", port="eff_port", family="firewall_exposure"),
@@ -104,82 +106,134 @@ RULES: tuple[Rule, ...] = (
 BY_NAME = {r.name: r for r in RULES}
 
 OUT = ("rule", "entity", "corr", "event_id", "n", "t", "p", "b", "s", "first_us", "last_us", "ids_sum", "severity", "confidence")
+_NULL = "\\u0001"
 
 
-def _confidence(rule: Rule, n: str) -> str:
+def _confidence(rule: Rule) -> str:
     base, most = rule.confidence
-    k = rule.threshold
+    n, k = rule.strength, rule.threshold
     return f"round(CASE WHEN {n} < {k} THEN {base} * {n} / {k} ELSE least({base} + (1.0 - 1.0 / (1.0 + 0.5 * ({n} / CAST({k} AS DOUBLE) - 1.0))) * ({most} - {base}), {most}) END, 6)"
 
 
-def _corr(rule: Rule, string: str) -> str:
-    return " || '|' || ".join(f"coalesce(CAST({k} AS {string}), '')" for k in rule.key)
+def _least(rule: Rule) -> str:
+    return f"{'b' if rule.kind == 'sequence' else 'n'} >= {max(1, rule.threshold)} AND ({rule.having})"
 
 
-def _group_counts(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Each group's aggregates (partial sums first), and ids for those where ``having`` holds; the others have no row."""
-    key = list(dict.fromkeys([*rule.key, "proto", "_entity"]))
-    counts = rows.groupBy(*key).agg(
-        F.count("*").alias("n"), F.count_distinct("_tgt").alias("t"), F.count_distinct("_port").alias("p"), F.count_distinct("_svc").alias("q"), F.count_if("_bl").alias("b"), F.count_if("_syn").alias("s"), F.count_if("_ok").alias("ok"), F.count_if("_sens").alias("x"),
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("ts_us"), F.sum("event_no").alias("ids_sum"),
-    ).withColumns({"span": F.expr("(ts_us - first_us) / 1000000.0D"), "related": F.lit(True)}).where(F.expr(rule.having))
-    item = F.struct("ts_us", "event_id").alias("_item")
-    own = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], item)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
-    gathered = own.join(counts, same).groupBy(*counts.columns).agg(F.array_sort(F.collect_list("_item")).alias("w"))
-    return gathered.withColumns({"ids": F.expr("transform(w, x -> x.event_id)"), "event_id": F.expr("element_at(w, -1).event_id")}).drop("w")
+def _corr(keys: Iterable[str], string: str, null: str = "") -> str:
+    return " || '|' || ".join(f"coalesce(CAST({k} AS {string}), '{null}')" for k in keys)
 
 
-def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
-    """Signals (OUT, and ids: the window's event ids in order) of one rule over featured events.
-
-    Defined cases: events with null in a key column that ``where`` does not exclude form a group of their own; equal timestamps are
-    ordered by event_id; repeated event ids count each time. No events: no signals."""
-    extra = [c for c in ("proto",) if c not in rule.key]
-    rows = events.where(F.expr(rule.where)).selectExpr(
-        *rule.key, *extra, "event_id", "event_no", "ts_us", f"{rule.entity} AS _entity", f"{rule.target} AS _tgt", f"{rule.port} AS _port", "service AS _svc",
-        f"{rule.blocked} AS _bl", "syn AS _syn", "allowed AS _ok", "dst_port AS _dport", f"{_SENSITIVE} AS _sens",
+def members(events: DataFrame, rule: Rule) -> DataFrame:
+    """The events that a rule looks at, in the form that all rules share. inside: whether the event counts in windows (of sequences, blocked ones do)."""
+    return events.where(F.expr(rule.where)).selectExpr(
+        f"'{rule.name}' AS rule", f"{_corr(rule.key, 'STRING', _NULL)} AS key", f"{rule.entity} AS entity", "proto" if "proto" in rule.key or "proto" in rule.having else "CAST(NULL AS STRING) AS proto",
+        "dst_port" if "dst_port" in rule.having else "CAST(NULL AS INT) AS dst_port", "event_id", "event_no", "ts_us", f"CAST({rule.target} AS STRING) AS tgt", f"CAST({rule.port} AS INT) AS port",
+        "service AS svc" if "q >=" in rule.having or rule.kind == "sequence" else "CAST(NULL AS STRING) AS svc", f"{rule.blocked} AS bl", "syn", "allowed AS ok" if rule.kind != "window" else "true AS ok",
+        "dst_port AS dport" if rule.kind == "sequence" else "CAST(NULL AS INT) AS dport", f"{_SENSITIVE} AS sens" if rule.kind == "group" else "false AS sens",
+        rule.blocked + " AS inside" if rule.kind == "sequence" else "true AS inside", f"{rule.kind == 'sequence'} AS sequence", f"{rule.seconds * 1_000_000}L AS size",
     )
-    item = "struct(ts_us, event_id, event_no, _tgt AS tgt, _port AS port, _svc AS svc, _bl AS bl, _syn AS syn, _dport AS dport)"
-    if rule.kind == "group":
-        counts = _group_counts(rows, rule)
+
+
+def _slid(rows: DataFrame, services: bool, sequences: bool) -> DataFrame:
+    """Each event's window as running sums: an event enters its own time bucket and the next one, and leaves the next one ``size`` later
+    (after all events of that time). Of a value (target, port, service) the first of overlapping stays enters, and the last leaves.
+
+    Every row costs the same, however many events its window has; one shuffle by (rule, key, bucket) serves all sorts."""
+    group = ["rule", "key", "bucket"]
+    own = F.expr("(ts_us - pmod(ts_us, size)) div size")
+    rows = rows.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1))).repartition(*group)
+    order = W.partitionBy(*group, "inside").orderBy("ts_us", "event_id")
+    rows = rows.withColumn("following", F.lead(F.struct("ts_us", "event_id")).over(order))
+    counted = ("tgt", "port", "svc") if services else ("tgt", "port")
+    for v in counted:
+        by = W.partitionBy(*group, "inside", v).orderBy("ts_us", "event_id")
+        new = F.col("inside") & F.col(v).isNotNull()
+        rows = rows.withColumns({f"{v}_in": new & F.coalesce(F.lag("ts_us").over(by) + F.col("size") < F.col("ts_us"), F.lit(True)), f"{v}_out": new & F.coalesce(F.lead("ts_us").over(by) > F.col("ts_us") + F.col("size"), F.lit(True))})
+    if sequences:
+        last = {}
+        for v in ("dport", "svc"):
+            by = W.partitionBy(*group, "tgt", v).orderBy("ts_us", "event_id").rowsBetween(W.unboundedPreceding, -1)
+            last[v] = F.col(v).isNotNull() & (F.max(F.when(F.col("inside"), F.col("ts_us"))).over(by) >= F.col("ts_us") - F.col("size"))
+        rows = rows.withColumn("related", F.col("tgt").isNotNull() & (F.coalesce(last["dport"], F.lit(False)) | F.coalesce(last["svc"], F.lit(False))))
     else:
-        size = rule.seconds * 1_000_000
-        rows = rows.withColumn("_own", F.expr(f"ts_us div {size}L")).withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-        window = W.partitionBy(*rule.key, "_bucket").orderBy("ts_us").rangeBetween(-size, 0)
-        per = rows.withColumn("w", F.collect_list(F.expr(item)).over(window)).where("_own = _bucket")
-        before = "x.ts_us < ts_us OR (x.ts_us = ts_us AND x.event_id <= event_id)" if rule.kind == "window" else "x.bl AND (x.ts_us < ts_us OR (x.ts_us = ts_us AND x.event_id < event_id))"
-        if rule.kind == "sequence":
-            per = per.where("_ok")
-        per = per.withColumn("w", F.expr(f"filter(w, x -> {before})")).where(f"size(w) >= {max(1, rule.threshold)}")
-        counts = per.selectExpr(
-            "*", "CAST(size(w) AS BIGINT) AS n", "CAST(size(array_distinct(filter(transform(w, x -> x.tgt), y -> y IS NOT NULL))) AS BIGINT) AS t",
-            "CAST(size(array_distinct(filter(transform(w, x -> x.port), y -> y IS NOT NULL))) AS BIGINT) AS p", "CAST(size(array_distinct(filter(transform(w, x -> x.svc), y -> y IS NOT NULL))) AS BIGINT) AS q",
-            "CAST(size(filter(w, x -> x.bl)) AS BIGINT) AS b", "CAST(size(filter(w, x -> x.syn)) AS BIGINT) AS s", "array_min(transform(w, x -> x.ts_us)) AS first_us",
-            "aggregate(w, 0L, (a, x) -> a + x.event_no) AS ids_sum", "transform(array_sort(w), x -> x.event_id) AS ids",
-            "exists(w, x -> x.tgt = _tgt AND (x.dport = _dport OR x.svc = _svc)) AS related" if rule.kind == "sequence" else "true AS related",
-        ).withColumn("span", F.expr("(ts_us - first_us) / 1000000.0D"))
-    return counts.where(F.expr(rule.having)).selectExpr(
-        f"'{rule.name}' AS rule", "_entity AS entity", f"{_corr(rule, 'STRING')} AS corr", "event_id", "n", "t", "p", "b", "s", "first_us", "ts_us AS last_us", "ids_sum",
-        f"{rule.severity} AS severity", f"{_confidence(rule, 'n')} AS confidence", "ids",
+        rows = rows.withColumn("related", F.lit(True))
+    step = lambda at, phase, sign: F.struct(at.alias("at"), F.lit(phase).alias("phase"), sign.cast("int").alias("sign"))
+    enter, leave = step(F.col("ts_us"), 0, F.col("inside").cast("int")), step(F.col("ts_us") + F.col("size"), 1, F.lit(-1))
+    rows = rows.withColumn("step", F.explode(F.when((F.col("bucket") > F.col("own")) & F.col("inside"), F.array(enter, leave)).otherwise(F.array(enter))))
+    run = W.partitionBy(*group).orderBy("step.at", "step.phase", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    sign = F.col("step.sign").cast("long")
+    total = lambda x: F.sum(sign * x).over(run)
+    change = lambda v: F.when(sign > 0, F.col(f"{v}_in").cast("long")).when(sign < 0, -F.col(f"{v}_out").cast("long")).otherwise(0)
+    own_place = F.struct("ts_us", "event_id")
+    first = F.coalesce(F.max(F.when(sign < 0, F.col("following"))).over(run), F.min(F.when(sign > 0, own_place)).over(run))
+    rows = rows.withColumns({
+        "n": total(F.lit(1)), "b": total(F.col("bl").cast("long")), "s": total(F.col("syn").cast("long")), "ids_sum": total(F.col("event_no")), "first": first,
+        "t": F.sum(change("tgt")).over(run), "p": F.sum(change("port")).over(run), "q": F.sum(change("svc")).over(run) if services else F.lit(0).cast("long"),
+    })
+    return rows.where("step.phase = 0 AND bucket = own AND ok")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Each group's aggregates (partial sums first)."""
+    place = F.struct("ts_us", "event_id")
+    rows = rows.groupBy("rule", "key", "entity", "proto", "dst_port").agg(
+        F.count("*").alias("n"), F.count_distinct("tgt").alias("t"), F.count_distinct("port").alias("p"), F.count_distinct("svc").alias("q"), F.count_if("bl").alias("b"), F.count_if("syn").alias("s"), F.count_if("ok").alias("ok"), F.count_if("sens").alias("x"),
+        F.min(place).alias("first"), F.max(place).alias("last"), F.sum("event_no").alias("ids_sum"),
+    )
+    return rows.withColumns({"ts_us": F.col("last.ts_us"), "event_id": F.col("last.event_id"), "related": F.lit(True)})
+
+
+def _fired(windows: DataFrame, chosen: list[Rule]) -> DataFrame:
+    windows = windows.withColumns({"first_us": F.col("first.ts_us"), "first_id": F.col("first.event_id")}).withColumn("span", F.expr("(ts_us - first_us) / 1000000.0D"))
+    if any(r.kind == "sequence" for r in chosen):  # the allowed event belongs to the signal
+        windows = windows.withColumns({"ids_sum": F.expr("ids_sum + IF(sequence, event_no, 0L)"), "n": F.expr("n + IF(sequence, 1L, 0L)")})
+    case = lambda of: f"CASE rule {' '.join(f'WHEN {chr(39)}{r.name}{chr(39)} THEN {of(r)}' for r in chosen)} END" if len(chosen) > 1 else of(chosen[0])
+    return windows.where(F.expr(case(_least))).selectExpr(
+        "rule", "entity", f"replace(key, '{_NULL}', '') AS corr", "event_id", "n", "t", "p", "b", "s", "first_us", "ts_us AS last_us", "ids_sum",
+        f"{case(lambda r: r.severity)} AS severity", f"{case(_confidence)} AS confidence", "key", "first_id",
     )
 
 
+def evaluate_all(events: DataFrame, chosen: Iterable[Rule]) -> DataFrame:
+    """Signals (OUT, and key and first_id) of rules over featured events. A signal's events are those of its rule and key from (first_us, first_id) to
+    (last_us, event_id); of sequences only the blocked ones and the last. All window and sequence rules share one shuffle.
+
+    Defined cases: events with null in a key column that ``where`` does not exclude form a group of their own; equal timestamps are
+    ordered by event_id; rows with equal time and event_id are events in an order of chance. No events: no signals."""
+    chosen = list(chosen)
+    out = None
+    sliding, groups = [r for r in chosen if r.kind != "group"], [r for r in chosen if r.kind == "group"]
+    for part, counts in ((sliding, lambda x: _slid(x, any("q >=" in r.having for r in sliding), any(r.kind == "sequence" for r in sliding))), (groups, _grouped)):
+        if part:
+            rows = members(events, part[0])
+            for rule in part[1:]:
+                rows = rows.unionByName(members(events, rule))
+            one = _fired(counts(rows), part)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
+    return evaluate_all(events, [rule])
+
+
 def rule_sql(rule: Rule, featured: str) -> str:
     """The same by a self-join, for DuckDB."""
     size = rule.seconds * 1_000_000
-    agg = f"count(*) AS n, count(DISTINCT b.tgt) AS t, count(DISTINCT b.port) AS p, count(DISTINCT b.service) AS q, count(*) FILTER (WHERE b.bl) AS b, count(*) FILTER (WHERE b.syn) AS s, min(b.ts_us) AS first_us, CAST(sum(b.event_no) AS BIGINT) AS ids_sum, {'bool_or(b.tgt = a.tgt AND (b.dst_port = a.dst_port OR b.service = a.service))' if rule.kind == 'sequence' else 'true'} AS related"
-    keys = list(dict.fromkeys([*rule.key, "proto"]))
-    rows = f"SELECT *, {rule.target} AS tgt, {rule.port} AS port, {rule.blocked} AS bl FROM {featured} WHERE {rule.where}"
+    sequence = rule.kind == "sequence"
+    agg = f"count(*){' + 1' if sequence else ''} AS n, count(DISTINCT b.tgt) AS t, count(DISTINCT b.port) AS p, count(DISTINCT b.service) AS q, count(*) FILTER (WHERE b.bl) AS b, count(*) FILTER (WHERE b.syn) AS s, min(b.ts_us) AS first_us, min((b.ts_us, b.event_id)) AS first_place, CAST(sum(b.event_no){' + any_value(a.event_no)' if sequence else ''} AS BIGINT) AS ids_sum, {'bool_or(b.tgt = a.tgt AND (b.dst_port = a.dst_port OR b.service = a.service))' if sequence else 'true'} AS related"
+    rows = f"SELECT *, {rule.target} AS tgt, {rule.port} AS port, {rule.blocked} AS bl, {rule.entity} AS entity, {_corr(rule.key, 'VARCHAR')} AS corr, {', '.join(f'{k} AS key{i}' for i, k in enumerate(rule.key))} FROM {featured} WHERE {rule.where}"
+    keys = [*[f"key{i}" for i in range(len(rule.key))], "corr", "proto", "entity"]
+    if "dst_port" in rule.having:
+        keys.append("dst_port")
     if rule.kind == "group":
         agg += f", count(*) FILTER (WHERE b.allowed) AS ok, count(*) FILTER (WHERE b.{_SENSITIVE}) AS x"
-        joined = f"SELECT {', '.join(f'b.{k}' for k in keys)}, {rule.entity} AS entity, max_by(b.event_id, b.event_no) AS event_id, max(b.ts_us) AS ts_us, {agg} FROM f b GROUP BY {', '.join(f'b.{k}' for k in keys)}"
+        joined = f"SELECT {', '.join(f'b.{k}' for k in keys)}, max_by(b.event_id, b.event_no) AS event_id, max(b.ts_us) AS ts_us, {agg} FROM f b GROUP BY {', '.join(f'b.{k}' for k in keys)}"
     else:
-        order = "b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id <= a.event_id)" if rule.kind == "window" else "b.bl AND (b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id < a.event_id))"
-        same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in rule.key)
-        joined = f"SELECT {', '.join(f'a.{k}' for k in keys)}, a.{rule.entity} AS entity, a.event_id, a.ts_us, {agg} FROM f a JOIN f b ON {same} AND b.ts_us >= a.ts_us - {size}::BIGINT AND ({order}) {'WHERE a.allowed' if rule.kind == 'sequence' else ''} GROUP BY {', '.join(f'a.{k}' for k in keys)}, a.{rule.entity}, a.event_id, a.ts_us"
-        joined = joined.replace(f"a.{rule.entity} AS entity", f"a.{rule.entity} AS entity")
+        order = "b.bl AND (b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id < a.event_id))" if sequence else "b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id <= a.event_id)"
+        same = " AND ".join(f"a.key{i} IS NOT DISTINCT FROM b.key{i}" for i in range(len(rule.key)))
+        joined = f"SELECT {', '.join(f'a.{k}' for k in keys)}, a.event_id, a.ts_us, {agg} FROM f a JOIN f b ON {same} AND b.ts_us >= a.ts_us - {size}::BIGINT AND ({order}) {'WHERE a.allowed' if sequence else ''} GROUP BY {', '.join(f'a.{k}' for k in keys)}, a.event_id, a.ts_us"
     return f"""
 WITH f AS MATERIALIZED ({rows}), g AS (SELECT *, (ts_us - first_us) / 1000000.0 AS span FROM ({joined}))
-SELECT '{rule.name}' AS rule, entity, {_corr(rule, 'VARCHAR')} AS corr, event_id, n, t, p, b, s, first_us, ts_us AS last_us, ids_sum, {rule.severity} AS severity, CAST({_confidence(rule, 'n')} AS DOUBLE) AS confidence
-FROM g WHERE n >= {max(1, rule.threshold)} AND {rule.having}"""
+SELECT '{rule.name}' AS rule, entity, corr, event_id, n, t, p, b, s, first_us, ts_us AS last_us, ids_sum, {rule.severity} AS severity, CAST({_confidence(rule)} AS DOUBLE) AS confidence
+FROM g WHERE {_least(rule)}"""

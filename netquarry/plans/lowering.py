@@ -29,17 +29,25 @@ COLUMNS = {
 }
 
 
-def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A second mapping, for rules whose services or short groups the first has not: other ports, and sources that stay for 200 seconds.
+OTHER_COLUMNS = COLUMNS | {
+    "src_ip": "'45.' || CAST(83 + no % 3 AS {string}) || '.' || CAST(CAST(floor(no / 2000) AS BIGINT) % 256 AS {string}) || '.' || CAST(user_id % 5 + 1 AS {string})",
+    "dst_port": "CAST(CASE k % 10 WHEN 0 THEN 1433 WHEN 1 THEN 1521 WHEN 2 THEN 5432 WHEN 3 THEN 9200 WHEN 4 THEN 27017 WHEN 5 THEN 6443 WHEN 6 THEN 10250 WHEN 7 THEN 21 WHEN 8 THEN 20 ELSE 2376 END AS INT)",
+    "tcp_flags": "CASE no % 12 WHEN 5 THEN 'ACK' ELSE 'SYN' END",
+}
+
+
+def canonical_events(spark: SparkSession, sf_dir: str, columns: dict[str, str] = COLUMNS) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_id").alias("no"), "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
-    return raw.select(*[F.expr(sql.replace("{string}", "STRING")).alias(name) for name, sql in COLUMNS.items()])
+    return raw.select(*[F.expr(sql.replace("{string}", "STRING")).alias(name) for name, sql in columns.items()])
 
 
-def featured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_features(canonical_events(spark, sf_dir))
+def featured_events(spark: SparkSession, sf_dir: str, columns: dict[str, str] = COLUMNS) -> DataFrame:
+    return with_features(canonical_events(spark, sf_dir, columns))
 
 
-def canonical_sql() -> str:
-    columns = ", ".join(f"{sql.replace('{string}', 'VARCHAR')} AS {name}" for name, sql in COLUMNS.items())
-    return f"(SELECT {columns} FROM (SELECT event_id AS no, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
+def canonical_sql(columns: dict[str, str] = COLUMNS) -> str:
+    made = ", ".join(f"{sql.replace('{string}', 'VARCHAR')} AS {name}" for name, sql in columns.items())
+    return f"(SELECT {made} FROM (SELECT event_id AS no, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"

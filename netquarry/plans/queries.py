@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.features import features_sql
 from ..operators import rules
-from .lowering import canonical_sql, featured_events
+from .lowering import COLUMNS, OTHER_COLUMNS, canonical_sql, featured_events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,10 +21,13 @@ def register(name: str, sql: str | None = None):
 
 
 FEATURED = features_sql(canonical_sql())
+#: Rules that the first mapping's events cannot fire.
+OTHERS = ("fixed_source_port_scan", *(f"{x}_probe" for x in ("mssql", "oracle", "postgresql", "elasticsearch", "mongodb", "kubernetes_api", "kubelet", "ftp")))
 
 for _rule in rules.RULES:
-    register(f"rule_{_rule.name}", rules.rule_sql(_rule, FEATURED))(
-        lambda spark, sf_dir, rule=_rule: rules.evaluate(featured_events(spark, sf_dir), rule).select(*rules.OUT)
+    _columns = OTHER_COLUMNS if _rule.name in OTHERS else COLUMNS
+    register(f"rule_{_rule.name}", rules.rule_sql(_rule, features_sql(canonical_sql(_columns))))(
+        lambda spark, sf_dir, rule=_rule, columns=_columns: rules.evaluate(featured_events(spark, sf_dir, columns), rule).select(*rules.OUT)
     )
 
 
