@@ -1,16 +1,20 @@
 """Signals: union of the rules' results, suppression, merging of one rule's overlapping signals, and clustering into incidents.
 
-Signals of one entity that lie further apart than the merge window from all earlier ones cannot meet: such gaps cut an entity's signals
-into islands by a running maximum, and every fold runs per island, so that a hot entity is split by time.
+A signal names its events by a range (from (first_us, first_id) to (last_us, event_id) of its rule and key; of a sequence only the blocked ones
+and the last), so signals carry no lists, and two of one key share events exactly if their ranges do. Merging compares each signal with the one before
+it in its rule's and entity's order, so it is a sort and running sums. A bridge table (signal_id, event_id) is made by a range join
+over hours. Clustering counts shared events by an equi-join of the bridge with itself on the event, and only the signals' rows of an
+entity and island (a stretch without a pause longer than the merge window), with the candidates that each overlaps enough, are folded in Python.
+
+Defined cases: signals of a null entity are those of one entity, "". Equal signals (repeated events) count each. Without signals all results are empty.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,21 +32,13 @@ PRECEDENCE = (
     ("repeated_blocked_scanner",),
 )
 RANK = {name: (i, j) for i, names in enumerate(PRECEDENCE, 1) for j, name in enumerate(names)}
-SIGNAL = "rule string, entity string, first_us long, last_us long, ids array<string>, severity string, confidence double, n_merged long, signal_id string"
-
-
-def signal_id(rule: str, entity: str, corr: str, first_us: int, ids: Iterable[str]) -> str:
-    minute = pd.Timestamp(first_us // 60_000_000 * 60_000_000, unit="us").isoformat() + "+00:00"
-    return "SIG-" + hashlib.sha256(f"{rule}|1.0.0|{entity}|{corr}|{minute}|{','.join(sorted(ids))}".encode()).hexdigest()[:12].upper()
+HOUR = 3_600_000_000
+_FAMILY = {r.name: r.family for r in rules.RULES}
 
 
 def all_signals(events: DataFrame, chosen: Iterable[rules.Rule] = rules.RULES) -> DataFrame:
-    """Every rule's raw signals in one frame; family by the rule."""
-    out = None
-    for rule in chosen:
-        one = rules.evaluate(events, rule).withColumn("family", F.lit(rule.family))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every rule's raw signals in one frame (see rules.evaluate_all). Features should be stored before: each rule reads them."""
+    return rules.evaluate_all(events, chosen).withColumn("entity", F.coalesce("entity", F.lit("")))
 
 
 def suppress(signals: DataFrame, muted_rules: Iterable[str] = (), muted_entities: Iterable[str] = ()) -> DataFrame:
@@ -57,74 +53,107 @@ def islands(signals: DataFrame, keys: list[str], seconds: int = MERGE_SECONDS) -
     return signals.withColumn("_new", (F.col("first_us") - until > seconds * 1_000_000).cast("int")).withColumn("island", F.coalesce(F.sum("_new").over(order), F.lit(0))).drop("_new")
 
 
+def numbered(signals: DataFrame) -> DataFrame:
+    """Adds run: signals of one rule and entity in order of (first_us, corr, last_us, event_id), where each that shares events with the one
+    before it, and begins at most MERGE_SECONDS after that one's end, continues its run."""
+    order = W.partitionBy("rule", "entity").orderBy("first_us", "corr", "last_us", "event_id")
+    place, before = F.struct("first_us", "first_id"), F.lag(F.struct("last_us", "event_id")).over(order)
+    same = F.lag("key").over(order) == F.col("key")
+    joined = same & (place <= F.struct(before["last_us"].alias("first_us"), before["event_id"].alias("first_id"))) & (F.col("first_us") - before["last_us"] <= MERGE_SECONDS * 1_000_000)
+    return signals.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def merge(runs: DataFrame) -> DataFrame:
+    """One row for each run of ``numbered``: the first signal's severity and confidence, the union's extent, and a signal_id."""
+    first = F.struct("first_us", "last_us", "event_id")
+    one = runs.groupBy("rule", "entity", "run", "key", "corr").agg(
+        F.min(F.struct("first_us", "first_id")).alias("head"), F.max(F.struct("last_us", "event_id")).alias("tail"), F.count("*").alias("n_merged"),
+        F.min_by("severity", first).alias("severity"), F.min_by("confidence", first).alias("confidence"),
+    )
+    one = one.select("rule", "entity", "run", "key", "corr", "head.*", F.col("tail.last_us").alias("last_us"), F.col("tail.event_id").alias("event_id"), "n_merged", "severity", "confidence")
+    name = F.sha2(F.concat_ws("|", "rule", F.lit("1.0.0"), "entity", F.when(F.col("n_merged") > 1, F.concat(F.lit("merged "), F.col("corr"))).otherwise(F.col("corr")), "first_us", "first_id", "last_us", "event_id"), 256)
+    return one.withColumn("signal_id", F.concat(F.lit("SIG-"), F.upper(F.substring(name, 1, 12))))
+
+
+def merge_sql(raw: str) -> str:
+    """The same for DuckDB; raw: a table of raw signals with key and first_id."""
+    return f"""WITH r AS ({raw}), l AS (SELECT *, lag(key) OVER o AS k, lag(last_us) OVER o AS u, lag(event_id) OVER o AS e FROM r WINDOW o AS (PARTITION BY rule, entity ORDER BY first_us, corr, last_us, event_id)),
+i AS (SELECT *, sum(CASE WHEN k = key AND (first_us < u OR (first_us = u AND first_id <= e)) AND first_us - u <= {MERGE_SECONDS}000000 THEN 0 ELSE 1 END) OVER (PARTITION BY rule, entity ORDER BY first_us, corr, last_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT rule, entity, corr, min(first_us) AS first_us, max(last_us) AS last_us, count(*) AS n_merged, arg_min(severity, (first_us, last_us, event_id)) AS severity, arg_min(confidence, (first_us, last_us, event_id)) AS confidence
+FROM i GROUP BY rule, entity, run, key, corr"""
+
+
+def signal_events(events: DataFrame, runs: DataFrame, merged: DataFrame, chosen: Iterable[rules.Rule] = rules.RULES) -> DataFrame:
+    """The bridge (signal_id, entity, rule, event_id) of merged signals: the events of each one's range, and of sequences the allowed ones of its raw signals."""
+    rows = None
+    for rule in chosen:
+        one = rules.members(events, rule).where("inside").select("rule", "key", "ts_us", "event_id")
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.withColumn("hour", F.expr("(ts_us - pmod(ts_us, 3600000000)) div 3600000000"))
+    hours = F.explode(F.sequence(F.expr("(first_us - pmod(first_us, 3600000000)) div 3600000000"), F.expr("(last_us - pmod(last_us, 3600000000)) div 3600000000")))
+    spans = merged.select("signal_id", "entity", "rule", "key", "first_us", "first_id", "last_us", F.col("event_id").alias("last_id"), hours.alias("hour"))
+    within = "(ts_us > first_us OR (ts_us = first_us AND event_id >= first_id)) AND (ts_us < last_us OR (ts_us = last_us AND event_id <= last_id))"
+    bridge = rows.join(spans, ["rule", "key", "hour"]).where(within).select("signal_id", "entity", "rule", "event_id")
+    last = runs.join(merged.select("rule", "entity", "run", "signal_id"), ["rule", "entity", "run"]).select("signal_id", "entity", "rule", "event_id")
+    return bridge.unionByName(last).distinct()
+
+
+def _place(kind: Column) -> Column:
+    """A signal type's place in the order of precedence."""
+    names = [n for tier in PRECEDENCE for n in tier]
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), kind), F.lit(0)), F.lit(len(names) + 1))
+
+
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Signals of one rule and entity by first_us: each meets the last merged one only; the first one's severity and confidence stay."""
-    done: list[dict] = []
-    for r in pdf.sort_values(["first_us", "corr", "last_us", "event_id"], kind="stable").to_dict("records"):
-        ids = set(r["ids"])
-        if done and ids & done[-1]["ids"] and r["first_us"] - done[-1]["last_us"] <= MERGE_SECONDS * 1_000_000:
-            done[-1]["ids"] |= ids
-            done[-1]["last_us"] = max(done[-1]["last_us"], r["last_us"])
-            done[-1]["n_merged"] += 1
-        else:
-            done.append({**{k: r[k] for k in ("rule", "entity", "corr", "first_us", "last_us", "severity", "confidence")}, "ids": ids, "n_merged": 1})
-    for d in done:
-        d["signal_id"] = signal_id(d["rule"], d["entity"] or "", "merged" if d["n_merged"] > 1 else d["corr"], d["first_us"], d["ids"])
-        d["ids"] = sorted(d["ids"])
-    return pd.DataFrame(done, columns=[x.split()[0] for x in SIGNAL.split(", ")])
-
-
-def merge(signals: DataFrame) -> DataFrame:
-    """Overlapping signals of one rule and entity as one (SIGNAL)."""
-    return islands(signals, ["entity", "rule"]).groupBy("entity", "rule", "island").applyInPandas(_fold, SIGNAL)
-
-
-def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Anchors in order of precedence; each further signal joins the anchor that it overlaps most, if by OVERLAP and near in time."""
-
-    def key(r: dict) -> tuple:
-        return (*RANK.get(r["rule"], (len(PRECEDENCE) + 1, 0)), -SEVERITY.index(r["severity"]), -r["confidence"], r["first_us"], r["rule"], r["signal_id"])
-
-    anchors: list[dict] = []
-    out = []
-    for r in sorted(pdf.to_dict("records"), key=key):
-        r["set"] = set(r["ids"])
-        best = None
-        for a in anchors:
-            gap = max(r["first_us"] - a["last_us"], a["first_us"] - r["last_us"])
-            common = len(a["set"] & r["set"])
-            if gap <= MERGE_SECONDS * 1_000_000 and common and (share := common / min(len(a["set"]), len(r["set"]))) >= OVERLAP and (best is None or (-share, key(a)) < best[0]):
-                best = ((-share, key(a)), a)
-        if best is None:
-            anchors.append(r)
-        out.append((r["signal_id"], (best[1] if best else r)["signal_id"]))
-    return pd.DataFrame(out, columns=["signal_id", "anchor_id"])
-
-
-def cluster(merged: DataFrame) -> DataFrame:
-    """(signal_id, anchor_id): each merged signal's incident, named by its anchor. Signals of one entity only."""
-    return islands(merged, ["entity"]).groupBy("entity", "island").applyInPandas(_cluster, "signal_id string, anchor_id string")
-
-
-def incidents(merged: DataFrame, clusters: DataFrame, events: DataFrame) -> DataFrame:
+    """Signals in order; each joins the anchor among its candidates (in order of preference), or becomes an anchor."""
+    anchor: dict[str, str] = {}
+    for own, candidates in zip(pdf["signal_id"], pdf["candidates"], strict=True):
+        anchor[own] = next((c for c in candidates if anchor.get(c) == c), own)
+    return pd.DataFrame(list(anchor.items()), columns=["signal_id", "anchor_id"])
+
+
+def cluster(merged: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(signal_id, anchor_id): each merged signal's incident, named by its anchor. Signals go in order of precedence, severity, confidence, time;
+    each joins the earlier anchor of its entity of which it shares most (at least OVERLAP of the smaller one's events), if near in time, or is an anchor."""
+    level = F.array_position(F.array(*[F.lit(x) for x in SEVERITY]), F.col("severity"))
+    order = F.struct(_place(F.col("rule")).alias("a"), (-level).alias("b"), (-F.col("confidence")).alias("c"), F.col("first_us").alias("d"), F.col("rule").alias("e"), F.col("signal_id").alias("f"))
+    own = merged.select("signal_id", "entity", "first_us", "last_us", order.alias("order")).join(bridge.groupBy("signal_id").agg(F.count("*").alias("n")), "signal_id")
+    a, b = (bridge.select("event_id", "entity", F.col("signal_id").alias(x)) for x in ("a", "b"))
+    common = a.join(b, ["event_id", "entity"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    one = lambda x: own.select(F.col("signal_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("first_us", "last_us", "n", "order")])
+    near = F.greatest(F.col("a_first_us") - F.col("b_last_us"), F.col("b_first_us") - F.col("a_last_us")) <= MERGE_SECONDS * 1_000_000
+    pairs = common.join(one("a"), "a").join(one("b"), "b").withColumn("share", F.col("common") / F.least("a_n", "b_n")).where((F.col("share") >= OVERLAP) & near)
+    earlier = F.col("a_order") < F.col("b_order")
+    found = pairs.select(F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("signal_id"), F.struct((-F.col("share")).alias("s"), F.least("a_order", "b_order").alias("o"), F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("id")).alias("x"))
+    found = found.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("candidates"))
+    # signals without candidates are anchors; only those that have some, and their candidates, are folded
+    rows = islands(own, ["entity"]).join(found, "signal_id", "left")
+    asked = found.select(F.explode("candidates").alias("signal_id")).unionByName(found.select("signal_id")).distinct()
+    linked = rows.join(asked, "signal_id", "left_semi").select("entity", "island", "order", "signal_id", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    folded = linked.groupBy("entity", "island").applyInPandas(lambda pdf: _fold(pdf.sort_values("order", key=lambda x: x.map(lambda o: tuple(o.values()) if isinstance(o, dict) else tuple(o)))), "signal_id string, anchor_id string")
+    return folded.unionByName(own.join(asked, "signal_id", "left_anti").select("signal_id", F.col("signal_id").alias("anchor_id")))
+
+
+def incidents(merged: DataFrame, clusters: DataFrame, bridge: DataFrame, events: DataFrame) -> DataFrame:
     """One row for each incident: anchor's identity, extent, counts of signals and events, and severity by what was allowed or blocked."""
-    own = merged.join(clusters, "signal_id")
-    head = merged.select(F.col("signal_id").alias("anchor_id"), "rule", "entity", F.col("severity").alias("signal_severity"))
-    span = own.groupBy("anchor_id").agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.count("*").alias("n_signals"),
-        F.round(F.expr("aggregate(slice(reverse(array_sort(collect_list(confidence))), 1, 3), 0D, (a, x) -> a + x, a -> a / least(3, count(*)))"), 6).alias("confidence"),
-    )
-    facts = own.select("anchor_id", F.explode("ids").alias("event_id")).distinct().join(events.select("event_id", "allowed", "blocked", "eff_dst", "eff_port", "sensitive_service", "critical_port"), "event_id")
+    own = merged.select("signal_id", "first_us", "last_us", "confidence", F.col("severity").alias("own")).join(clusters, "signal_id")
+    head = merged.select(F.col("signal_id").alias("anchor_id"), "rule", "entity")
+    level = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("own")).cast("int") - 1
+    best = own.withColumn("r", F.row_number().over(W.partitionBy("anchor_id").orderBy(F.desc("confidence"), "signal_id"))).where("r <= 3").groupBy("anchor_id").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
+    span = own.groupBy("anchor_id").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.count("*").alias("n_signals"), F.max(level).alias("level"))
+    seen = bridge.select("signal_id", "event_id").join(clusters, "signal_id").select("anchor_id", "event_id").distinct()
+    facts = seen.join(events.select("event_id", "allowed", "blocked", "eff_dst", "eff_port", "sensitive_service", "critical_port"), "event_id")
     by_dst = facts.groupBy("anchor_id", "eff_dst").agg(
         F.count("*").alias("n"), F.count_if("allowed").alias("ok"), F.count_if("blocked").alias("no"), F.count_if(F.col("allowed") & F.col("critical_port")).alias("critical"),
         F.count_distinct(F.when(F.col("allowed") & F.col("sensitive_service").isNotNull() & ~F.col("critical_port"), F.col("eff_port"))).alias("ports"),
     )
     facts = by_dst.groupBy("anchor_id").agg(F.sum("n").alias("n_events"), F.sum("ok").alias("n_allowed"), F.sum("no").alias("n_blocked"), F.count("eff_dst").alias("n_dst"), F.sum("critical").alias("critical"), F.max("ports").alias("ports"))
-    family = F.create_map(*[F.lit(x) for r in rules.RULES for x in (r.name, r.family)])[F.col("rule")]
+    family = F.create_map(*[F.lit(x) for pair in _FAMILY.items() for x in pair])[F.col("rule")]
     asset = F.when(F.col("critical") > 0, 4).when(F.col("ports") > 0, 3).otherwise(2)
-    raised = F.least(F.lit(4), asset + ((F.col("n_dst") <= 2) & (F.col("ports") >= 2)).cast("int") + ((F.col("n_events") > 500) | (F.col("n_dst") > 50)).cast("int"))
+    volume = ((F.col("n_events") > 500) | (F.col("n_dst") > 50)).cast("int")
+    raised = F.least(F.lit(4), asset + ((F.col("n_dst") <= 2) & (F.col("ports") >= 2)).cast("int") + volume)
     recon = family.isin("network_scanning", "service_probing", "lateral_movement_candidate")
-    other = F.least(F.lit(4), F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("signal_severity")).cast("int") - 1 + ((F.col("n_events") > 500) | (F.col("n_dst") > 50)).cast("int"))
-    level = F.when(family.isin("network_anomaly", "network_dos"), other).when((F.col("n_allowed") == 0) & recon, F.when(F.col("n_dst") >= 25, 2).otherwise(1)).when(F.col("n_allowed") > 0, raised).otherwise(1)
-    out = head.join(span, "anchor_id").join(facts, "anchor_id").withColumns({"family": family, "severity": F.get(F.array(*[F.lit(s) for s in SEVERITY]), level)})
+    other = F.least(F.lit(4), F.col("level") + volume)
+    decided = F.when(family.isin("network_anomaly", "network_dos"), other).when((F.col("n_allowed") == 0) & recon, F.when(F.col("n_dst") >= 25, 2).otherwise(1)).when(F.col("n_allowed") > 0, raised).otherwise(1)
+    out = head.join(span, "anchor_id").join(best, "anchor_id").join(facts, "anchor_id").withColumns({"family": family, "severity": F.get(F.array(*[F.lit(s) for s in SEVERITY]), decided)})
     return out.select(F.concat(F.lit("INC-"), F.substring("anchor_id", 5, 12)).alias("incident_id"), "rule", "family", "entity", "first_us", "last_us", "n_signals", "n_events", "n_allowed", "n_blocked", "n_dst", "confidence", "severity")

@@ -34,7 +34,7 @@ for _rule in rules.RULES:
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import Window as W  # noqa: E402
 
-from ..operators import content, signals, store  # noqa: E402
+from ..operators import content, scratch, signals, store  # noqa: E402
 
 
 def _read(spark, sf_dir, name):
@@ -133,18 +133,27 @@ def retention_summary(spark, sf_dir):
     return _read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(aged).alias("n_aged"), F.min("o_orderdate").alias("oldest"), F.max("o_orderdate").alias("newest"))
 
 
-_CHOSEN = ("network_scan_horizontal", "rdp_probe", "redis_probe", "spi_anomaly_burst", "critical_management_service_exposed", "blocked_then_allowed_same_service")
+def _raw_sql() -> str:
+    """Raw signals of all rules, for DuckDB: each rule's SQL with its key (which corr stands for here) and the first event's id."""
+    each = []
+    for rule in rules.RULES:
+        sql = rules.rule_sql(rule, "featured").replace("SELECT '" + rule.name + "' AS rule,", "SELECT '" + rule.name + "' AS rule, corr AS key, first_place[2] AS first_id,", 1)
+        each.append(f"SELECT rule, coalesce(entity, '') AS entity, key, first_id, corr, event_id, first_us, last_us, severity, confidence FROM ({sql})")
+    return " UNION ALL ".join(each)
 
 
-@register("signals_merged")
+@register("signals_merged", f"WITH featured AS MATERIALIZED (SELECT * FROM {FEATURED}) SELECT * FROM ({signals.merge_sql(_raw_sql())})")
 def signals_merged(spark, sf_dir):
-    """Merged signals of six rules; a fold in time order, for which SQL has no form."""
-    found = signals.all_signals(featured_events(spark, sf_dir), [rules.BY_NAME[n] for n in _CHOSEN])
-    return signals.merge(signals.suppress(found)).select("rule", "entity", "first_us", "last_us", F.size("ids").cast("long").alias("n_events"), "n_merged", "severity", "confidence", "signal_id")
+    """Merged signals of all rules."""
+    found = signals.all_signals(scratch.stored(featured_events(spark, sf_dir), "featured"))
+    return signals.merge(signals.numbered(signals.suppress(found))).select("rule", "entity", "corr", "first_us", "last_us", "n_merged", "severity", "confidence")
 
 
 @register("incidents")
 def incidents(spark, sf_dir):
-    events = featured_events(spark, sf_dir)
-    merged = signals.merge(signals.suppress(signals.all_signals(events, [rules.BY_NAME[n] for n in _CHOSEN])))
-    return signals.incidents(merged, signals.cluster(merged), events)
+    """Incidents of all rules' signals; a fold in order of precedence, for which SQL has no form."""
+    events = scratch.stored(featured_events(spark, sf_dir), "featured")
+    runs = scratch.stored(signals.numbered(signals.suppress(signals.all_signals(events))), "runs")
+    merged = scratch.stored(signals.merge(runs), "merged")
+    bridge = scratch.stored(signals.signal_events(events, runs, merged), "bridge")
+    return signals.incidents(merged, scratch.stored(signals.cluster(merged, bridge), "clusters"), bridge, events)
