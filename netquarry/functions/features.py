@@ -21,6 +21,8 @@ SERVICES = {
 SENSITIVE_PORTS = (20, 21, 22, 23, 135, 139, 389, 445, 1433, 3306, 3389, 5432, 5900)
 CRITICAL_PORTS = (161, 623, 2375, 5985, 6379, 9200, 10250, 11211, 27017)
 ADMIN_PORTS = (8000, 8080, 8443, 8888, 9000, 9443, 10000)
+#: Words of zone names.
+WAN_WORDS, LAN_WORDS = "wan|wan[0-9]+|internet|external|outside|untrust", "lan|internal|inside|trust"
 #: Special IPv4 blocks (IANA). Documentation, benchmarking and reserved space are private, shared space is neither.
 PRIVATE_V4 = (
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24",
@@ -96,9 +98,10 @@ LAYERS: tuple[dict[str, str], ...] = (
         "service": _service("dst_port"),
         "eff_dst": "CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN translated_dst_ip ELSE dst_ip END",
         "eff_port": "coalesce(translated_dst_port, dst_port)",
-        "wan_in": _zone("inbound_zone", "wan|wan[0-9]+|internet|external|outside|untrust"),
-        "lan_out": _zone("outbound_zone", "lan|internal|inside|trust"),
+        "wan_in": _zone("inbound_zone", WAN_WORDS),
+        "lan_out": _zone("outbound_zone", LAN_WORDS),
         "dmz_out": _zone("outbound_zone", "dmz"),
+        "wan_out": _zone("outbound_zone", WAN_WORDS), "lan_in": _zone("inbound_zone", LAN_WORDS), "dmz_in": _zone("inbound_zone", "dmz"),
         "has_syn": _flag("SYN"), "has_ack": _flag("ACK"), "has_rst": _flag("RST"), "has_fin": _flag("FIN"),
     },
     {
@@ -121,6 +124,7 @@ LAYERS: tuple[dict[str, str], ...] = (
         "critical_port": f"coalesce(eff_port IN {_words(CRITICAL_PORTS)}, false)",
     },
     {
+        "flow": "CASE WHEN wan_in AND (lan_out OR dmz_out) THEN 'inbound' WHEN wan_out AND (lan_in OR dmz_in) THEN 'outbound' WHEN wan_in THEN 'inbound' WHEN wan_out THEN 'outbound' WHEN src_class IS NULL OR eff_class IS NULL THEN 'unknown' WHEN src_private AND eff_private THEN 'lateral' WHEN eff_private THEN 'inbound' WHEN src_private THEN 'outbound' ELSE 'unknown' END",
         "admin_service": f"coalesce(sensitive_service, CASE WHEN eff_port IN {_words(ADMIN_PORTS)} THEN 'web_admin' END)",
         "inside": "src_private AND eff_private",
         "external": "NOT (src_private AND eff_private) AND (wan_in OR (src_public AND eff_private) OR (dst_public AND trans_private))",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.features import features_sql
 from ..operators import rules
-from .lowering import COLUMNS, OTHER_COLUMNS, canonical_sql, featured_events
+from .lowering import COLUMNS, OTHER_COLUMNS, canonical_events, canonical_sql, featured_events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,7 @@ for _rule in rules.RULES:
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import Window as W  # noqa: E402
 
-from ..operators import content, scratch, signals, store  # noqa: E402
+from ..operators import content, entrance, scratch, signals, store  # noqa: E402
 
 
 def _read(spark, sf_dir, name):
@@ -58,6 +58,27 @@ def network_direction(spark, sf_dir):
     return featured_events(spark, sf_dir).groupBy("direction").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"), F.count_distinct("eff_dst").alias("n_dst"))
 
 
+@register("flow_direction", f"SELECT flow, count(*) AS n, count(*) FILTER (WHERE blocked) AS n_blocked FROM {FEATURED} GROUP BY flow")
+def flow_direction(spark, sf_dir):
+    """Events by direction: zones first, then address classes."""
+    return featured_events(spark, sf_dir).groupBy("flow").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"))
+
+
+_REPEATED = COLUMNS | {
+    "event_id": "'EVT-' || CAST(CAST(floor(no / 3) AS BIGINT) AS {string})",
+    "ts_us": "CASE WHEN k % 11 <> 0 THEN CAST(floor(no / 10) AS BIGINT) * 1000000 END",
+    "parse_status": "CASE k % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'semantically_invalid' WHEN 2 THEN 'success' WHEN 3 THEN 'parsed' END",
+    "raw_record_hash": "CASE WHEN no % 2 = 0 THEN 'a' WHEN no % 7 = 0 THEN '' END",
+}
+
+
+@register("eligible_events", f"SELECT event_id, event_no, ts_us, parse_status FROM (SELECT *, row_number() OVER (PARTITION BY event_id, coalesce(raw_record_hash, '') ORDER BY event_no) AS r FROM {canonical_sql(_REPEATED)} WHERE coalesce(event_id, '') <> '') WHERE r = 1 AND ts_us IS NOT NULL AND coalesce(parse_status, '') NOT IN ('failed', 'unsupported_schema', 'semantically_invalid')")
+def eligible_events(spark, sf_dir):
+    """The first of repeated records, if it has a time and a usable parse."""
+    rows = canonical_events(spark, sf_dir, _REPEATED)
+    return entrance.eligible(entrance.first_records(rows, F.col("event_no"))).select("event_id", "event_no", "ts_us", "parse_status")
+
+
 @register("exposed_assets", f"SELECT eff_dst, eff_service AS service, count(*) AS n, count(DISTINCT src_ip) AS n_sources, min(ts_us) AS first_us, max(ts_us) AS last_us, max_by(translated_dst_ip, event_id) FILTER (WHERE translated_dst_ip IS NOT NULL) AS internal_address FROM {FEATURED} WHERE allowed AND external AND sensitive_service IS NOT NULL GROUP BY eff_dst, eff_service")
 def exposed_assets(spark, sf_dir):
     """Inventory of exposed (destination, service)."""

@@ -54,7 +54,10 @@ def timestamp(text: Column) -> Column:
     """ISO text (without offset: UTC) or an epoch in seconds, milli- or microseconds by its size."""
     number = text.try_cast("double")
     epoch = F.when(number < 2e10, number * 1e6).when(number < 2e13, number * 1e3).otherwise(number).cast("long")
-    return F.when(number.isNotNull(), F.timestamp_micros(epoch)).otherwise(text.try_cast("timestamp"))
+    full = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), F.concat(F.trim(text), F.lit("T00:00:00"))).otherwise(F.trim(text))
+    # the session's zone must not count
+    zoned = F.when(full.rlike(r"(?:[Zz]|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?)$") & full.contains(":"), full).otherwise(F.concat(full, F.lit("Z")))
+    return F.when(number.isNotNull(), F.timestamp_micros(epoch)).otherwise(zoned.try_cast("timestamp"))
 
 
 def syslog_time(line: Column) -> Column:
@@ -91,7 +94,8 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "protocol": F.when(protocol.isin(*PROTOCOLS), protocol).when(protocol.isNotNull(), "other"),
         "action": by(firewall_action, ext("act"), alias("action")), "tcp_flags": F.when(F.col("parser") == "firewall", tcp_flags(field("tcpFlags"))),
         "inbound_zone": F.when(F.col("parser") == "firewall", field("deviceInboundZone")), "outbound_zone": F.when(F.col("parser") == "firewall", field("deviceOutboundZone")),
-        "action_reason": F.when(F.col("parser") == "firewall", field("deviceActionReason")),
+        # an action that names stateful inspection keeps that as its reason
+        "action_reason": F.when(F.col("parser") == "firewall", F.coalesce(field("deviceActionReason"), F.when(act.contains("spi"), act))),
     })
     bad_ip = lambda c: F.col(c).isNotNull() & ~F.col(c).rlike(_V4) & ~F.col(c).rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")
     bad_port = lambda c: F.coalesce(~F.col(c).between(0, 65535), F.lit(False))

@@ -4,6 +4,9 @@ import json
 from datetime import UTC, datetime
 from hashlib import sha256
 
+import pytest
+from pyspark.sql import functions as F
+
 from netquarry.sources import records
 
 
@@ -47,3 +50,23 @@ def test_flags(spark):
     rows = [("S",), ("syn ack",), ("",), (None,), ("-",), ("XYZ",), ("FPU",), ("WE",)]
     got = [r[0] for r in spark.createDataFrame(rows, "f string").select(records.tcp_flags(records.F.col("f"))).collect()]
     assert got == ["SYN", "SYN,ACK", "NONE", None, "NONE", None, "FIN,PSH,URG", "ECE,CWR"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_texts_without_offset_are_utc_in_every_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("2026-01-15T12:00:00",), ("2026-01-15 12:00:00.5",), ("2026-01-15T12:00:00+02:00",), ("2026-01-15T12:00:00Z",), ("2026-01-15",), ("1768478400",), ("nonsense",), (None,)]
+        got = [r[0] for r in spark.createDataFrame(rows, "x string").select(F.unix_micros(records.timestamp(F.col("x")))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    noon = 1_768_478_400_000_000
+    assert got == [noon, noon + 500_000, noon - 7_200_000_000, noon, noon - 43_200_000_000, noon, None, None]
+
+
+def test_inspection_blocks_keep_their_reason(spark):
+    lines = [f'{{"start": "2026-01-15T12:00:0{i}Z", "src": "45.83.64.9", "dst": "10.0.0.{i}", "proto": "TCP", "deviceAction": "{a}", "tcpFlags": "S"}}' for i, a in enumerate(["blocked by spi"] * 5 + ["block", "pass"])]
+    found, failed = records.parse(spark.createDataFrame([("f", x) for x in lines], "source string, raw string"))
+    got = found.orderBy("ts").collect()
+    assert failed.count() == 0 and [r.action for r in got] == ["block"] * 6 + ["pass"] and [r.action_reason for r in got] == ["blocked by spi"] * 5 + [None] * 2
