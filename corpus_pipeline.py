@@ -35,16 +35,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    # only rows of repeated ids are sorted; these ids are stored, so that Spark knows whether they are few
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     one = W.partitionBy("doc_id").orderBy(F.desc_nulls_last(F.length("text")), "text")
-    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id is null"))
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     _, hits = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    bad = hits.select("doc_id", "text_key").distinct()
+    bad = stored(hits.select("doc_id", "text_key").distinct(), "hits")  # its size is known then: if small, no text is shuffled
     same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_key"] == bad["text_key"])
     return keyed.join(bad, same, "left_anti").select(*docs.columns)
 
