@@ -39,6 +39,21 @@ def test_stages(spark, folder):
     assert all(r.lossless and len(r.ids) == 4 * r.n_pieces for r in last)
 
 
+def test_repeated_ids_null_ids_and_null_texts(spark, folder):
+    """Of one id the longest, then least text stays; rows without id stay; null texts are no duplicates; other columns are untouched."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_key string, component_id string"
+    same = "one two three four five six seven eight"
+    rows = [(1, same, "en", "s", 1, "a", "b"), (1, same + " nine", "en", "s", 2, "a", "b"), (1, same + " nine", "en", "s", 2, "a", "b"), (2, same + " nine", "en", "s", 3, "a", "b"), (None, same, "en", "s", 4, "a", "b"), (3, None, None, None, None, None, None), (4, "", "en", "s", 0, "a", "b")]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["n-gram Jaccard join"](spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in got.collect()) == [(0, same, 4), (1, same + " nine", 2), (3, "", 0), (4, "", 0)]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    more = docs.unionByName(spark.createDataFrame([(5, f"x {item} y", "en", "s", 9, "a", "b"), (None, f"z {item}", "en", "s", 9, "a", "b")], schema))
+    assert stages["benchmark decontamination"](spark, more, folder).count() == docs.count()
+
+
 def test_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
