@@ -178,3 +178,6 @@ def incidents(spark, sf_dir):
     merged = scratch.stored(signals.merge(runs), "merged")
     bridge = scratch.stored(signals.signal_events(events, runs, merged), "bridge")
     return signals.incidents(merged, scratch.stored(signals.cluster(merged, bridge), "clusters"), bridge, events)
+
+
+from . import incident_queries  # noqa: E402,F401
