@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import SERVICES, features_sql
-from ..operators import relations, rollups, routing, rules, scratch
+from ..operators import relations, rollups, routing, rules, scratch, search, suppression
 from .lowering import COLUMNS, canonical_sql, featured_events
 from .queries import FEATURED, register
 
@@ -185,3 +185,61 @@ SELECT rule, n_incidents, n_sources, first_us, last_us, n_blocked, n_targets, so
 def incident_digests(spark, sf_dir):
     rows = scratch.stored(facts(spark, sf_dir), "facts")
     return routing.digests(incidents(rows), rows, scratch.stored(_routes(spark, sf_dir, rows), "routes"))
+
+
+@register("search_incidents_page", f"""{FACTS}, page AS (SELECT * FROM incidents WHERE severity IN ('high', 'low') AND family = 'service_probing' AND confidence BETWEEN 0.5 AND 0.85 AND first_us >= 100000000 AND starts_with(incident_id, 'INC-') AND incident_id IN (SELECT incident_id FROM facts WHERE spi)
+AND (confidence < 0.8 OR (confidence = 0.8 AND incident_id > 'INC-2') OR confidence IS NULL) ORDER BY confidence DESC NULLS LAST, incident_id LIMIT 26)
+SELECT incident_id, family, severity, confidence, first_us, last_us, (SELECT count(*) FROM facts f WHERE f.incident_id = page.incident_id) AS event_count FROM page""")
+def search_incidents_page(spark, sf_dir):
+    """A page of incidents by lists, equality, ranges, prefix and existence, with counts of events."""
+    rows = scratch.stored(facts(spark, sf_dir), "facts")
+    criteria = search.Criteria(
+        among={"severity": ("high", "low")}, equal={"family": "service_probing"}, between={"confidence": (0.5, 0.85), "first_us": (100_000_000, None)}, prefix={"incident_id": "INC-"},
+        linked=((rows.where("spi"), "incident_id", True),), sort="confidence", size=25, after=(0.8, "INC-2"),
+    )
+    return search.search(incidents(rows), criteria, "incident_id", {"event_count": (rows, "incident_id")}).select("incident_id", "family", "severity", "confidence", "first_us", "last_us", "event_count")
+
+
+@register("search_events_page", f"""{FACTS} SELECT event_id, ts_us, src_ip, dst_ip, dst_port, action FROM featured WHERE protocol = 'TCP' AND dst_port = 22 AND action = 'block' AND ts_us BETWEEN 5000000 AND 900000000 AND event_id IN (SELECT event_id FROM facts WHERE family = 'network_scanning') ORDER BY ts_us, event_id LIMIT 101""")
+def search_events_page(spark, sf_dir):
+    """A page of events by equalities, time and membership in incidents."""
+    rows = facts(spark, sf_dir).where("family = 'network_scanning'")
+    criteria = search.Criteria(equal={"protocol": "TCP", "dst_port": 22, "action": "block"}, between={"ts_us": (5_000_000, 900_000_000)}, linked=((rows, "event_id", True),), sort="ts_us", descending=False, size=100)
+    return search.search(featured_events(spark, sf_dir), criteria, "event_id").select("event_id", "ts_us", "src_ip", "dst_ip", "dst_port", "action")
+
+
+_SCAN = rules.BY_NAME["low_and_slow_horizontal_scan"]
+
+
+@register("search_signals_page", f"SELECT entity, event_id, severity, confidence, first_us, last_us FROM ({rules.rule_sql(_SCAN, FEATURED)}) WHERE severity IN ('medium', 'high') AND confidence BETWEEN 0.7 AND 0.9 AND last_us <= 950000000 ORDER BY CASE severity WHEN 'high' THEN 4 WHEN 'medium' THEN 3 END DESC, corr || event_id LIMIT 51")
+def search_signals_page(spark, sf_dir):
+    """A page of one rule's signals in order of severity."""
+    found = rules.evaluate(featured_events(spark, sf_dir), _SCAN).withColumn("signal_id", F.concat("corr", "event_id"))
+    criteria = search.Criteria(among={"severity": ("medium", "high")}, between={"confidence": (0.7, 0.9), "last_us": (None, 950_000_000)}, sort="severity")
+    return search.search(found, criteria, "signal_id").select("entity", "event_id", "severity", "confidence", "first_us", "last_us")
+
+
+@register("search_jobs_page", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND NOT (coalesce(o_orderstatus = 'P', false) OR coalesce(o_totalprice > 300000, false)) AND o_totalprice >= 1000 ORDER BY o_totalprice, o_orderkey LIMIT 201")
+def search_jobs_page(spark, sf_dir):
+    """A page of jobs (orders stand for them) that neither of two conditions calls cancelled."""
+    criteria = search.Criteria(equal={"o_orderpriority": "1-URGENT"}, between={"o_totalprice": (1000, None)}, either=(("o_orderstatus = 'P'", "o_totalprice > 300000"), False), sort="o_totalprice", descending=False, size=200)
+    return search.search(spark.read.parquet(f"{sf_dir}/orders.parquet"), criteria, "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+_LATE_COLUMNS = COLUMNS | {
+    "src_port": "CAST(CASE WHEN user_id % 3 = 0 THEN 443 ELSE 40000 + k END AS INT)", "dst_port": "CAST(CASE WHEN user_id % 2 = 0 THEN 32768 + no % 20000 ELSE 80 END AS INT)", "dst_ip": "'10.1.' || CAST(user_id % 3 AS {string}) || '.7'",
+    "tcp_flags": "CASE WHEN user_id % 5 = 0 THEN 'SYN' WHEN no % 2 = 0 THEN 'RST' ELSE 'RST,ACK' END", "action": "'block'", "action_reason": "CASE WHEN user_id % 7 < 6 THEN 'blocked by spi' END",
+    "src_ip": "'45.83.64.' || CAST(user_id % 210 AS {string})",
+}
+_POLICY = suppression.Policy(rules=("telnet_probe",), sources=("45.83.64.8/30", "0.0.0.0/0"), destinations=("10.1.1.0/24",), pairs=(("45.83.64.32/27", "10.1.0.0/16"),))
+
+
+@register("suppressed_signals", f"""WITH e AS MATERIALIZED (SELECT *, 'SIG-' || src_ip AS signal_id, CASE WHEN CAST(split_part(src_ip, '.', 4) AS INT) % 11 = 0 THEN 'telnet_probe' ELSE 'spi_anomaly_burst' END AS rule, CAST(split_part(src_ip, '.', 4) AS INT) AS h FROM {features_sql(canonical_sql(_LATE_COLUMNS))}),
+s AS (SELECT signal_id, rule, src_ip, h, min(dst_ip) FILTER (WHERE dst_ip LIKE '10.1.1.%') AS d, min(dst_ip) AS t, bool_and(blocked AND coalesce(action_reason = 'blocked by spi', false) AND src_port = 443 AND dst_port >= 32768 AND tcp_flags IN ('RST', 'RST,ACK')) AND count(*) >= 2 AND count(DISTINCT dst_port) = count(*) AND count(DISTINCT dst_ip) = 1 AND rule = 'spi_anomaly_burst' AS late FROM e GROUP BY signal_id, rule, src_ip, h)
+SELECT * FROM (SELECT signal_id, CASE WHEN late THEN 'late_rst_from_established_service' WHEN rule = 'telnet_probe' THEN 'rule telnet_probe is allowed' WHEN h BETWEEN 8 AND 11 THEN 'source ' || src_ip || ' is allowed' WHEN h BETWEEN 32 AND 63 AND (d IS NULL OR t < d) THEN 'pair ' || src_ip || ' -> ' || t || ' is allowed' WHEN d IS NOT NULL THEN 'destination ' || d || ' is allowed' END AS reason FROM s) WHERE reason IS NOT NULL""")
+def suppressed_signals(spark, sf_dir):
+    """Suppressed signals and their reasons; here a signal is all of a source's events."""
+    rows = scratch.stored(featured_events(spark, sf_dir, _LATE_COLUMNS).withColumn("signal_id", F.concat(F.lit("SIG-"), "src_ip")).withColumn("tgt", F.col("dst_ip")), "late")
+    last = F.split_part("src_ip", F.lit("."), F.lit(4)).cast("int")
+    found = rows.select("signal_id", F.when(last % 11 == 0, "telnet_probe").otherwise("spi_anomaly_burst").alias("rule"), F.col("src_ip").alias("entity")).distinct()
+    return suppression.reasons(found, rows, _POLICY)
