@@ -29,6 +29,14 @@ PRIVATE_V4 = (
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
 SHARED_V4 = ("100.64.0.0/10",)
+#: Special IPv6 blocks (IANA) by the beginnings of their addresses in lower case: unusable (loopback, unspecified, link-local, multicast),
+#: exceptions that are public, and private ones.
+_ZERO = "0{1,4}"
+UNUSABLE_V6 = (f"({_ZERO}:|:)*:?({_ZERO}|0{{0,3}}1)?", "fe[89ab][0-9a-f]:.*", "ff[0-9a-f]{2}:.*")
+PUBLIC_V6 = ("2001:0{0,3}3:.*", "2001:0{0,2}[23][0-9a-f]:.*", "2001:0{0,3}4:0?112:.*", f"2001:0{{0,3}}1:(:|({_ZERO}:)+:?|:({_ZERO}:)*)0{{0,3}}[12]")
+PRIVATE_V6 = (
+    "f[cd][0-9a-f]{2}:.*", "2001:0?db8:.*", "2001::.*", "2001:(0{0,2}[0-9a-f]{1,2}|0?[01][0-9a-f]{2}):.*", "2002:.*", f"0?100:(:|({_ZERO}:){{3}}).*", "0{0,2}64:ff9b:0{0,3}1:.*",
+)
 UNUSABLE_V4 = ("127.0.0.0/8", "224.0.0.0/4", "0.0.0.0/32", "169.254.0.0/16")  # loopback, multicast, unspecified, link-local
 
 
@@ -59,6 +67,19 @@ def _v4(ip: str) -> str:
     return f"CASE WHEN {{matches}}({ip}, '^{part}[.]{part}[.]{part}[.]{part}$') THEN {value} END"
 
 
+def _valid_v6(ip: str) -> str:
+    """Whether text is an IPv6 address of hexadecimal groups (without a dotted tail or a zone)."""
+    groups, colons = "[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*", f"(length({ip}) - length(replace({ip}, ':', '')))"
+    short = f"{{matches}}({ip}, '^({groups})?::({groups})?$') AND {colons} <= CASE WHEN {ip} LIKE '::%' OR {ip} LIKE '%::' THEN 8 ELSE 7 END"
+    return f"({ip} LIKE '%:%' AND length({ip}) <= 39 AND (({short}) OR ({{matches}}({ip}, '^{groups}$') AND {colons} = 7)))"
+
+
+def _class_of(number: str, ip: str) -> str:
+    """The class of an address of either kind; null of other text."""
+    begins = lambda blocks: " OR ".join(f"{{matches}}(lower({ip}), '^{b}$')" for b in blocks)
+    return f"CASE WHEN {number} IS NOT NULL THEN {_class(number)} WHEN coalesce({_valid_v6(ip)}, false) THEN CASE WHEN {begins(UNUSABLE_V6)} THEN 'unusable' WHEN {begins(PUBLIC_V6)} THEN 'public' WHEN {begins(PRIVATE_V6)} THEN 'private' ELSE 'public' END END"
+
+
 def _service(port: str) -> str:
     return f"CASE {' '.join(f'WHEN {port} IN {_words(ports)} THEN {chr(39)}{name}{chr(39)}' for name, ports in SERVICES.items())} END"
 
@@ -88,7 +109,7 @@ FIRM = (0, 1)
 
 LAYERS: tuple[dict[str, str], ...] = (
     {"src_v4": _v4("src_ip"), "dst_v4": _v4("dst_ip"), "trans_v4": _v4("translated_dst_ip")},
-    {"src_class": _class("src_v4"), "dst_class": _class("dst_v4"), "trans_class": _class("trans_v4")},
+    {"src_class": _class_of("src_v4", "src_ip"), "dst_class": _class_of("dst_v4", "dst_ip"), "trans_class": _class_of("trans_v4", "translated_dst_ip")},
     {
         "blocked": f"coalesce(lower(trim(action)) IN {_words(BLOCKED)}, false)",
         "blocked_legacy": f"coalesce(lower(action) IN {_words(BLOCKED_LEGACY)}, false)",
@@ -111,7 +132,7 @@ LAYERS: tuple[dict[str, str], ...] = (
         "spi": "coalesce(lower(action_reason) LIKE '%spi%', false) OR coalesce(lower(event_outcome) LIKE '%spi%', false) OR coalesce(lower(action) LIKE '%spi%', false) OR coalesce(lower(safe_message_excerpt) LIKE '%blocked by spi%', false)",
         "eff_service": _service("eff_port"),
         "eff_class": "CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN trans_class ELSE dst_class END",
-        "ips_valid": "src_v4 IS NOT NULL AND dst_v4 IS NOT NULL",
+        "ips_valid": "src_class IS NOT NULL AND dst_class IS NOT NULL",
         "net24": "CASE WHEN dst_v4 IS NOT NULL THEN split_part(dst_ip, '.', 1) || '.' || split_part(dst_ip, '.', 2) || '.' || split_part(dst_ip, '.', 3) || '.0/24' END",
         "src_usable": _usable("src_class"), "src_public": _public("src_class"), "src_private": _private("src_class"), "dst_private": _private("dst_class"),
         "dst_public": _public("dst_class"), "trans_private": _private("trans_class"),
@@ -136,6 +157,7 @@ LAYERS: tuple[dict[str, str], ...] = (
 
 def with_features(events: DataFrame) -> DataFrame:
     """Adds all derived columns. Null actions, ports, addresses and zones give false (or null services), never null flags.
+    IPv6 addresses have classes as IPv4 ones have (an IPv4 address within an IPv6 one counts as public), but no number and no net24.
 
     Columns of FIRM layers are made by a generator of one row, which the optimizer does not copy into every expression that names them."""
     for i, layer in enumerate(LAYERS):

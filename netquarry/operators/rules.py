@@ -71,11 +71,11 @@ RULES: tuple[Rule, ...] = (
     Rule("network_flood_dos", ("src_ip", "dst_ip", "coalesce(dst_port, 0)", "proto_raw"), "src_ip IS NOT NULL AND dst_ip IS NOT NULL", "n >= 100 AND 10 * b >= 8 * n", "src_ip", "'high'", (0.7, 0.9), 100, seconds=60, blocked="blocked_legacy", family="network_dos"),
     Rule("low_and_slow_horizontal_scan", ("src_ip", "dst_port", "proto"), _PORTS, f"n >= 12 AND t >= 8 AND span >= 900 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 12, seconds=3600),
     Rule("low_and_slow_vertical_scan", ("src_ip", "dst_ip", "proto"), _PORTS, f"n >= 12 AND p >= 8 AND span >= 900 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 12, seconds=3600),
-    Rule("repeated_blocked_scanner", ("src_ip", "proto"), "src_v4 IS NOT NULL AND (dst_ip IS NULL OR dst_v4 IS NOT NULL) AND NOT spi AND coalesce(trim(action), '') <> '' AND (NOT tcp OR probe)", "n >= 6 AND 10 * b >= 8 * n AND (t >= 2 OR p >= 2)", "src_ip", "'low'", (0.55, 0.8), 6),
+    Rule("repeated_blocked_scanner", ("src_ip", "proto"), "src_class IS NOT NULL AND (dst_ip IS NULL OR dst_class IS NOT NULL) AND NOT spi AND coalesce(trim(action), '') <> '' AND (NOT tcp OR probe)", "n >= 6 AND 10 * b >= 8 * n AND (t >= 2 OR p >= 2)", "src_ip", "'low'", (0.55, 0.8), 6),
     Rule("distributed_scan", ("dst_ip", "dst_port", "proto"), _PORTS, "n >= 12 AND t >= 6 AND 10 * b >= 8 * n AND (proto <> 'TCP' OR 10 * s >= 6 * n) AND (dst_port NOT IN (80, 443) OR (10 * b >= 9 * n AND 10 * s >= 8 * n))", "dst_ip", "'medium'", (0.7, 0.9), 12, target="src_ip"),
     Rule("internal_lateral_scan", ("src_ip",), "src_private AND dst_private AND src_ip <> dst_ip AND tcp AND dst_port IN (22, 135, 139, 445, 3389, 5900, 5985, 5986)", "n >= 5 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.75, 0.95), 5, family="lateral_movement_candidate"),
     Rule("multi_service_sweep", ("src_ip",), f"{_VALID} AND tcp AND service IS NOT NULL", "n >= 8 AND q >= 3 AND t >= 3 AND 10 * b >= 6 * n AND 2 * s >= n", "src_ip", "'high'", (0.75, 0.95), 8, family="service_probing"),
-    Rule("subnet_sweep", ("src_ip", "net24", "dst_port", "proto"), f"{_PORTS}", f"n >= 8 AND t >= 6 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 8),
+    Rule("subnet_sweep", ("src_ip", "net24", "dst_port", "proto"), f"{_PORTS} AND net24 IS NOT NULL", f"n >= 8 AND t >= 6 AND 10 * b >= 6 * n AND {_SYN_HALF}", "src_ip", "'medium'", (0.65, 0.9), 8),
     Rule("scan_followed_by_allowed_connection", ("src_ip",), f"{_VALID} AND dst_port IS NOT NULL AND action IS NOT NULL AND (blocked OR allowed)", "b >= 5 AND (t >= 2 OR p >= 2) AND related", "src_ip", "'high'", (0.8, 0.95), 5, seconds=600, kind="sequence", strength="b", family="network_intrusion_candidate"),
     _probe("smb_probe", "139, 445"),
     _probe("vnc_probe", "5900, 5901, 5902, 5903, 5904, 5905"),

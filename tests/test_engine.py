@@ -35,6 +35,31 @@ def test_address_classes_are_those_of_the_standard_library(spark):
         assert (got[x].src_v4, got[x].src_usable, got[x].src_private, got[x].src_public) == (None, False, False, False), x
 
 
+def test_classes_of_ipv6_are_those_of_the_standard_library(spark):
+    pick = random.Random(6)
+    blocks = ["::/127", "::/96", "100::/64", "2001::/23", "2001:1::/64", "2001:1::/125", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28", "2001:db8::/32", "2002::/16", "3fff::/20", "3fff:1000::/20", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8", "64:ff9b::/96", "64:ff9b:1::/48", "2000::/3", "2001:200::/23", "101::/32", "::/0"]
+    ips = set()
+    for b in blocks:
+        net = ipaddress.ip_network(b)
+        for n in {0, 1, 2, net.num_addresses - 1, *(pick.randrange(net.num_addresses) for _ in range(12))}:
+            a = net[n % net.num_addresses]
+            ips |= {str(a), a.exploded, str(a).upper(), ":".join(g.lstrip("0") or "0" for g in a.exploded.split(":"))}
+    ips |= {"::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3::5:6:7:8"}
+    bad = [":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", "12345::", "g::", "::1:", "1:2:3:4:5:6:7:8::"]
+    made = events(spark, [{"src_ip": x, "dst_ip": x, "ts_us": 0} for x in sorted(ips) + bad]).select("src_ip", "src_class", "ips_valid", "src_usable", "src_private", "src_public", "net24").collect()
+    for r in made:
+        try:
+            a = ipaddress.ip_address(r.src_ip)
+        except ValueError:
+            assert (r.src_class, r.ips_valid, r.src_usable) == (None, False, False), r.src_ip
+            continue
+        assert r.src_ip not in bad and r.ips_valid and r.net24 is None
+        if a.ipv4_mapped:
+            continue
+        usable = not (a.is_loopback or a.is_multicast or a.is_unspecified or a.is_link_local)
+        assert (r.src_usable, r.src_private, r.src_public) == (usable, usable and a.is_private, usable and a.is_global), r.src_ip
+
+
 def test_flags_zones_and_nulls(spark):
     got = events(spark, [
         {"ts_us": 0, "action": " Denied ", "inbound_zone": "Corp_WAN2", "outbound_zone": "x dmz"}, {"ts_us": 0, "action": None, "tcp_flags": None, "protocol": None, "dst_port": None, "dst_ip": None, "src_ip": None},
