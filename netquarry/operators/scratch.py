@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet and read again, so that it is computed once and a lost executor costs nothing before it. The folder is
-    ``spark.checkpoint.dir`` of the session, or its warehouse, which a cluster shares as well, where that is unset."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{folder}/netquarry/{name}-{uuid.uuid4().hex}"
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, or its warehouse, which a cluster shares as well, where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/netquarry"
+
+
+def written(df: DataFrame, name: str) -> str:
+    """Writes the frame as Parquet; the path."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet and read again, so that it is computed once and a lost executor costs nothing before it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))

@@ -54,7 +54,19 @@ def job_key(*parts: Column) -> Column:
 
 
 def archive(df: DataFrame, path: str, time: str) -> DataFrame:
-    """Writes gzipped JSON lines and gives the manifest: rows, least and greatest time, and a checksum that row order doesn't change."""
+    """Writes gzipped JSON lines, reads them back and gives the manifest: rows, least and greatest time, and the sum of the rows' hashes, which row
+    order doesn't change and in which repeated rows count."""
     df.write.json(path, compression="gzip")
-    back = df.sparkSession.read.schema(df.schema).json(path)
-    return back.agg(F.count("*").alias("n"), F.min(time).alias("least"), F.max(time).alias("greatest"), F.expr(f"bit_xor(xxhash64({', '.join(df.columns)}))").alias("checksum"))
+    return manifest(df.sparkSession.read.schema(df.schema).json(path), time)
+
+
+def manifest(df: DataFrame, time: str) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.min(time).alias("least"), F.max(time).alias("greatest"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum"))
+
+
+def archive_faults(rows: DataFrame, time: str, told: DataFrame) -> DataFrame:
+    """(item): what of a manifest an archive, as read, doesn't meet; no rows if it is whole."""
+    items = ("n", "least", "greatest", "checksum")
+    two = manifest(rows, time).select(*items, F.lit(0).alias("side")).unionByName(told.select(*items, F.lit(1).alias("side")))
+    fault = [F.when(~F.min_by(i, "side").eqNullSafe(F.max_by(i, "side")), F.lit(i)) for i in items]
+    return two.agg(F.array_compact(F.array(*fault)).alias("faults")).select(F.explode("faults").alias("item"))
