@@ -180,4 +180,4 @@ def incidents(spark, sf_dir):
     return signals.incidents(merged, scratch.stored(signals.cluster(merged, bridge), "clusters"), bridge, events)
 
 
-from . import campaign_queries, incident_queries  # noqa: E402,F401
+from . import campaign_queries, exposure_queries, incident_queries  # noqa: E402,F401
