@@ -16,6 +16,7 @@ _OPERATORS = {
     "op8_sentencepiece": ("pieces", None),
     "op9_quality_classifier": ("quality", None),
     "op10_warc": ("warc", "OP10_SQL"),
+    "op11_source_divergence": ("divergence", "OP11_SQL"),
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, (module, _) in _OPERATORS.items()}
