@@ -17,6 +17,8 @@ _OPERATORS = {
     "op9_quality_classifier": ("quality", None),
     "op10_warc": ("warc", "OP10_SQL"),
     "op11_source_divergence": ("divergence", "OP11_SQL"),
+    "op12_token_counts": ("token_counts", None),
+    "op13_collocations": ("collocations", "OP13_SQL"),
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, (module, _) in _OPERATORS.items()}
