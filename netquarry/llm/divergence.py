@@ -34,7 +34,7 @@ from .words import chunks
 LEAST_DOCUMENTS, TERM_RANKS, ADDED, UNIT = 30, 50, 5, 1_000_000_000
 #: Sources of a language that one task compares with another such block's, and the parts that a language's terms are dealt into.
 BLOCK, PARTS = 512, 64
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, CELLS = 24 << 20, 1 << 17
 #: ASCII letters to lower case, non-ASCII bytes as they are, all else a blank.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -134,18 +134,19 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     return rows.mapInArrow(_cut, _PARTIAL).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(_scanned(least), _KEPT)
 
 
-def share(count: np.ndarray, of: int, terms: int) -> np.ndarray:
-    """1 + floor(UNIT * (count + ADDED) / (of + ADDED * terms)); 1 without terms."""
-    count, whole = np.asarray(count), of + ADDED * terms
-    if not whole:
+def share(count: np.ndarray, of: np.ndarray, terms: int) -> np.ndarray:
+    """1 + floor(UNIT * (count + ADDED) / (of + ADDED * terms)), element by element; 1 without terms."""
+    count, of = np.broadcast_arrays(np.asarray(count, np.int64), np.asarray(of, np.int64))
+    if not terms:
         return np.ones(count.shape, np.int64)
-    left = (count if whole < 9 * 10**15 else count.astype(object)) + ADDED
-    out = left // whole
-    left = left % whole
+    if int(of.max(initial=0)) + ADDED * terms >= 9 * 10**15:  # beyond that three digits more would pass 64 bits
+        count, of = count.astype(object), of.astype(object)
+    left, whole = count + ADDED, of + ADDED * terms
+    out, left = left // whole, left % whole
     for _ in range(3):
         left = left * 1000
         out, left = out * 1000 + left // whole, left % whole
-    return (out + 1).astype(np.int64)
+    return np.asarray(out + 1, np.int64)
 
 
 class _Pair:
@@ -155,34 +156,42 @@ class _Pair:
         self.row, self.same = row, row["x"] == row["y"]
         self.names = [[s["source"] for s in row[c]] for c in ("xs", "ys")]
         self.sizes = [np.array([s["n"] for s in row[c]], np.int64) for c in ("xs", "ys")]
-        self.base = [np.array([share(np.zeros(1, np.int64), int(n), row["terms"])[0] for n in sizes], np.int64) for sizes in self.sizes]
-        self.at = [{s: i for i, s in enumerate(names)} for names in self.names]
+        self.base = [share(0, sizes, row["terms"]) for sizes in self.sizes]
         self.sums = np.zeros([len(x) for x in self.names], np.int64)
         self.best: list[list[tuple[int, str]]] = [[] for _ in self.names[0]]
 
-    def add(self, term: str, sources: list[str], n: np.ndarray, total: int) -> None:
-        """One term's run."""
-        known = [np.array([at.get(s, -1) for s in sources], np.int64) for at in self.at]
-        here, p = [], []
-        for side in (0, 1):
-            has = known[side] >= 0
-            here.append(known[side][has])
-            own = self.base[side].copy()
-            whole = self.sizes[side][here[side]]
-            own[here[side]] = [share(np.array([c]), int(w), self.row["terms"])[0] for c, w in zip(n[has], whole, strict=True)]
-            p.append(own)
-        (a, b), (left, right) = here, self.base
-        self.sums[a, :] += np.abs(p[0][a, None] - p[1][None, :]) - np.abs(left[a, None] - right[None, :])
-        rest = np.abs(p[0][:, None] - p[1][None, b]) - np.abs(left[:, None] - right[None, b])
-        rest[a, :] = 0
-        self.sums[:, b] += rest
-        if self.same:
-            q = int(share(np.array([total]), self.row["size"], self.row["terms"])[0])
-            for i in a:
-                if p[0][i] > q:
-                    self.best[i].append((q - int(p[0][i]), term))
-                    if len(self.best[i]) >= 64 * TERM_RANKS:
-                        self.best[i] = sorted(self.best[i])[:TERM_RANKS]
+    def add(self, rows: pa.Table) -> None:
+        """Runs of whole terms. Some at a time, as a matrix of terms and sources, so that the arrays stay small."""
+        new = _edges(rows["term"].combine_chunks())
+        run, starts, n = np.cumsum(new) - 1, np.flatnonzero(new), rows["n"].to_numpy()
+        of = [pc.fill_null(pc.index_in(rows["source"].combine_chunks(), value_set=pa.array(x, pa.string())), -1).to_numpy(zero_copy_only=False) for x in self.names]
+        step = max(1, CELLS // max(1, len(self.names[0]) + len(self.names[1])))
+        for a in range(0, len(starts), step):
+            at = slice(starts[a], starts[a + step] if a + step < len(starts) else len(run))
+            p = []
+            for side in (0, 1):
+                whole, here = np.repeat(self.base[side][None, :], len(starts[a : a + step]), axis=0), of[side][at] >= 0
+                row, column = run[at][here] - a, of[side][at][here]
+                whole[row, column] = share(n[at][here], self.sizes[side][column], self.row["terms"])
+                p.append(whole)
+                if self.same and side == 0:
+                    self.choose(rows, at, here, whole[row, column], column)
+            for i in range(len(self.names[0])):
+                self.sums[i] += np.abs(p[0][:, i, None] - p[1]).sum(axis=0) - len(p[0]) * np.abs(self.base[0][i] - self.base[1])
+
+    def choose(self, rows: pa.Table, at: slice, here: np.ndarray, p: np.ndarray, source: np.ndarray) -> None:
+        """Keeps each source's terms of the largest p - q, at most TERM_RANKS and their ties."""
+        more = p - share(rows["total"].to_numpy()[at][here], self.row["size"], self.row["terms"])
+        place = np.flatnonzero(here) + at.start
+        order = np.lexsort((-more, source))
+        order = order[more[order] > 0]
+        cuts = np.searchsorted(source[order], np.arange(len(self.names[0]) + 1))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            own = order[a:b]
+            own = own[more[own] >= more[own[TERM_RANKS - 1]]] if len(own) > TERM_RANKS else own
+            if len(own):
+                terms = rows["term"].take(pa.array(place[own])).to_pylist()
+                self.best[i] = sorted(self.best[i] + list(zip((-more[own]).tolist(), terms, strict=True)))[:TERM_RANKS]
 
     def rows(self) -> Iterator[tuple]:
         """Partial results; the terms that no run brought are added once, by part 0."""
@@ -194,14 +203,14 @@ class _Pair:
                     yield lang, s, "pair", self.names[1][j], int(sums[i, j])
                     if not self.same:
                         yield lang, self.names[1][j], "pair", s, int(sums[i, j])
-            for value, term in sorted(self.best[i])[:TERM_RANKS]:
+            for value, term in self.best[i]:
                 yield lang, s, "term", term, -value
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (lang, x, y, part, term, source), each part's header first -> partial results."""
+    """Rows sorted by (lang, x, y, part, term, source), each part's header first -> partial results. Only the last term of a batch waits."""
     schema = _schema(_FOUND)
-    pair, term, sources, counts, total = None, None, [], [], 0
+    pair, left = None, None
 
     def out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         found = list(found)
@@ -209,23 +218,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         header = batch.column(batch.schema.get_field_index("header"))
-        is_header = pc.is_valid(header).to_numpy(zero_copy_only=False)
-        terms, of, n, all_n = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("term", "source", "n", "total"))
-        for i in range(batch.num_rows):
-            if term is not None and (is_header[i] or terms[i] != term):
-                pair.add(term, sources, np.array(counts, np.int64), total)
-                term, sources, counts = None, [], []
-            if is_header[i]:
+        heads = np.flatnonzero(pc.is_valid(header).to_numpy(zero_copy_only=False))
+        rows = pa.Table.from_batches([batch]).select(["term", "source", "n", "total"])
+        for a, b in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
+            if a >= 0:
+                if left is not None:
+                    pair.add(left)
+                    left = None
                 if pair:
                     yield from out(pair.rows())
-                pair = _Pair(header[i].as_py())
-            else:
-                term, total = terms[i], all_n[i]
-                sources.append(of[i])
-                counts.append(n[i])
-    if term is not None:
-        pair.add(term, sources, np.array(counts, np.int64), total)
+                pair = _Pair(header[int(a)].as_py())
+            own = rows.slice(a + 1, b - a - 1)
+            if own.num_rows:
+                own = (pa.concat_tables([left, own]) if left is not None else own).combine_chunks()
+                last = int(np.flatnonzero(_edges(own["term"].combine_chunks()))[-1])
+                left = own.slice(last)
+                if last:
+                    pair.add(own.slice(0, last))
+    if left is not None:
+        pair.add(left)
     if pair:
         yield from out(pair.rows())
 
@@ -241,7 +255,9 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-most // BLOCK) or 1
     of = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
-    own = groups.groupBy("lang", "terms", "size", of.alias("block")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
+    every = groups.select("lang", "terms", "size").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = groups.groupBy("lang", of.alias("block")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
+    own = every.join(own, ["lang", "block"], "left").withColumn("sources", F.coalesce("sources", F.array().cast(own.schema["sources"].dataType)))  # a block may be empty
     pairs = own.withColumnsRenamed({"block": "x", "sources": "xs"}).join(own.select("lang", F.col("block").alias("y"), F.col("sources").alias("ys")), "lang").where("x <= y")
     key = ["lang", "x", "y", "part"]
     heads = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("header", F.struct(*key, "terms", "size", "xs", "ys"))
