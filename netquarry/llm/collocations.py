@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .shared import stored, table
 from .words import mix
 
 LONGEST, LEAST, TOP, KEPT_PERCENT, UNIT = 3, 10, 2000, 50, 1_000_000
-SHARD_BYTES, FILTER_BITS, SALTS = 12 << 20, 1 << 26, 64
+SHARD_BYTES, BATCH_ROWS, FILTER_BITS, SALTS = 8 << 20, 1 << 17, 1 << 26, 64
 #: ASCII letters to lower case, marks and line ends to a line end, a tab to a blank.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _COUNTED = "lang string, phrase string, f long"
@@ -98,24 +99,24 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def gram_slots(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The filter's bit of each n-gram of a sequence of words' hashes."""
+def gram_slots(hashes: np.ndarray, n: int, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bit of each n-gram of a sequence of words' hashes in a filter of so many bits."""
     total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for k in range(n):
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(total)] + np.uint64(n))
-    return total & np.uint64(FILTER_BITS - 1)
+    return total & np.uint64(bits - 1)
 
 
 def has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def shard_counts(lang: str, texts: list[bytes], n: int, bits: np.ndarray | None) -> tuple[list[bytes], np.ndarray, int]:
-    """A shard's distinct n-grams whose parts of n - 1 words all pass the filter, their counts, and the number of its words."""
+def shard_counts(lang: str, texts: list[bytes], n: int, bits: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+    """A shard's words, its distinct n-grams (as rows of words' numbers) whose parts of n - 1 words all pass the filter, their counts, and how many words it has."""
     ids, words = word_ids(texts)
     total = int((ids > 0).sum())
     if bits is not None and len(ids):
-        slots = gram_slots(word_hashes(lang, words)[ids], n - 1)
+        slots = gram_slots(word_hashes(lang, words)[ids], n - 1, 8 * len(bits))
         passes = np.concatenate((has(bits, slots), np.zeros(n - 2, bool)))  # of the part that begins there
         if n == 2:
             ids = np.where(passes, ids, 0)
@@ -137,44 +138,51 @@ def shard_counts(lang: str, texts: list[bytes], n: int, bits: np.ndarray | None)
             total_hash = np.zeros(len(rows), np.uint64)
             for j in range(n - 1):
                 total_hash = mix(total_hash * np.uint64(0x9E3779B97F4A7C15) + own[:, k + j] + np.uint64(n - 1))
-            keep &= has(bits, total_hash & np.uint64(FILTER_BITS - 1))
+            keep &= has(bits, total_hash & np.uint64(8 * len(bits) - 1))
         rows, f = rows[keep], f[keep]
-    return [b" ".join([words[i] for i in row]) for row in rows.tolist()], f, total
+    return words, rows, f, total
 
 
-def _counts(n: int, bits):
+def _counts(n: int, bits, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
-        def shard(lang: str) -> pa.RecordBatch:
-            phrases, f, total = shard_counts(lang, waiting.pop(lang), n, None if bits is None else np.frombuffer(bits.value, np.uint8))
+        def shard(lang: str) -> Iterator[pa.RecordBatch]:
+            words, rows, f, total = shard_counts(lang, waiting.pop(lang), n, None if bits is None else np.frombuffer(bits.value, np.uint8))
             sizes.pop(lang)
-            names = pa.array([x.decode("utf-8", "replace") for x in phrases] + ([""] if n == 1 else []), pa.string())
-            return pa.RecordBatch.from_arrays([pa.repeat(lang, len(names)).cast(pa.string()), names, pa.array([*f.tolist(), *([total] if n == 1 else [])], pa.int64())], schema=_ARROW)
+            words = pa.array([x.decode("utf-8", "replace") for x in words], pa.string())
+            for at in range(0, len(rows), BATCH_ROWS):
+                part = [words.take(pa.array(x)) for x in rows[at : at + BATCH_ROWS].T]
+                yield made(lang, part[0] if n == 1 else pc.binary_join_element_wise(*part, " "), pa.array(f[at : at + BATCH_ROWS]))
+            if n == 1:
+                yield made(lang, pa.array([""]), pa.array([total], pa.int64()))
+
+        def made(lang: str, phrases: pa.Array, f: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrases)).cast(pa.string()), phrases, f], schema=_ARROW)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 waiting.setdefault(lang, []).append(text)
                 sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] >= SHARD_BYTES:
-                    yield shard(lang)
-                elif sum(sizes.values()) >= 2 * SHARD_BYTES:  # many languages
-                    yield shard(max(sizes, key=sizes.get))
+                if sizes[lang] >= shard_bytes:
+                    yield from shard(lang)
+                elif sum(sizes.values()) >= 2 * shard_bytes:  # many languages
+                    yield from shard(max(sizes, key=sizes.get))
         for lang in list(waiting):
-            yield shard(lang)
+            yield from shard(lang)
 
     return run
 
 
-def counted(texts: DataFrame, n: int, bits=None, least: int = LEAST) -> DataFrame:
+def counted(texts: DataFrame, n: int, bits=None, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, phrase, f) of n-grams that occur at least ``least`` times; with n = 1 also each lang's number of words, as phrase ''."""
-    parts = texts.mapInArrow(_counts(n, bits), _COUNTED)
+    parts = texts.mapInArrow(_counts(n, bits, shard_bytes), _COUNTED)
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
-def _slots(n: int):
+def _slots(n: int, size: int):
     """Phrases -> the filter's words of 64 bits, and each phrase's bit in its word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,29 +191,29 @@ def _slots(n: int):
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang[lang] += phrase.encode().split(b" ")
             for lang, words in by_lang.items():
-                slots = gram_slots(word_hashes(lang, words), n)[::n]
+                slots = gram_slots(word_hashes(lang, words), n, size)[::n]
                 bit = np.uint64(1) << (slots & np.uint64(63))
                 yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["at", "bit"])
 
     return run
 
 
-def filter_of(phrases: DataFrame, n: int):
-    """A broadcast filter of the phrases: FILTER_BITS bits, of which the words of 64 with a bit pass through the driver."""
-    found = phrases.mapInArrow(_slots(n), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+def filter_of(phrases: DataFrame, n: int, size: int = FILTER_BITS):
+    """A broadcast filter of the phrases: ``size`` bits (a power of two), of which the words of 64 with a bit pass through the driver."""
+    found = phrases.mapInArrow(_slots(n, size), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
     bits[found["at"].to_numpy()] = found["bits"].to_numpy()
     return phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, n, phrase, f): phrases of 1 to ``longest`` words that occur at least ``least`` times; n = 0: a lang's number of words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     out, bits = None, None
     for n in range(1, longest + 1):
-        own = stored(counted(texts, n, bits, least), f"phrases{n}")
+        own = stored(counted(texts, n, bits, least, shard_bytes), f"phrases{n}")
         if n < longest:
-            bits = filter_of(own.where("phrase <> ''").select("lang", "phrase"), n)
+            bits = filter_of(own.where("phrase <> ''").select("lang", "phrase"), n, filter_bits)
         own = own.select("lang", F.when(F.col("phrase") == "", 0).otherwise(n).alias("n"), "phrase", "f")
         out = own if out is None else out.unionByName(own)
     return out

@@ -76,7 +76,7 @@ def block_runs(texts: list[bytes], group: np.ndarray) -> tuple[list[bytes], np.n
     return list(known), term[at], of[at], text[at], np.stack((df, np.add.reduceat(n, at) if len(at) else df))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     schema = _schema(_PARTIAL)
     for batch in batches:
         rows = pa.Table.from_batches([batch]).sort_by([("lang", "ascending"), ("source", "ascending"), ("document", "ascending")]).combine_chunks()
@@ -85,7 +85,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [*np.flatnonzero(_edges(lang)), len(texts)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             group = np.cumsum(_edges(source[a:b]))
-            for at in chunks(texts[a:b], BLOCK_BYTES):
+            for at in chunks(texts[a:b], block_bytes):
                 terms, term, _, text, counts = block_runs(texts[a:b][at], group[at])
                 text = pa.array(text + a + at.start)
                 yield pa.RecordBatch.from_arrays(
@@ -127,11 +127,11 @@ def _scanned(least: int):
     return run
 
 
-def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, term, source, n, total, first): occurrences of each kept term by source and in its language; first: one row of each (lang, term)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.col("doc_id").cast("long").alias("document"), text("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_cut, _PARTIAL).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(_scanned(least), _KEPT)
+    return rows.mapInArrow(lambda x: _cut(x, block_bytes), _PARTIAL).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(_scanned(least), _KEPT)
 
 
 def share(count: np.ndarray, of: np.ndarray, terms: int) -> np.ndarray:
@@ -152,8 +152,8 @@ def share(count: np.ndarray, of: np.ndarray, terms: int) -> np.ndarray:
 class _Pair:
     """Sums of one language's part of terms for two blocks of sources (or one block with itself)."""
 
-    def __init__(self, row: dict):
-        self.row, self.same = row, row["x"] == row["y"]
+    def __init__(self, row: dict, ranks: int, cells: int):
+        self.row, self.same, self.ranks, self.cells = row, row["x"] == row["y"], ranks, cells
         self.names = [[s["source"] for s in row[c]] for c in ("xs", "ys")]
         self.sizes = [np.array([s["n"] for s in row[c]], np.int64) for c in ("xs", "ys")]
         self.base = [share(0, sizes, row["terms"]) for sizes in self.sizes]
@@ -165,7 +165,7 @@ class _Pair:
         new = _edges(rows["term"].combine_chunks())
         run, starts, n = np.cumsum(new) - 1, np.flatnonzero(new), rows["n"].to_numpy()
         of = [pc.fill_null(pc.index_in(rows["source"].combine_chunks(), value_set=pa.array(x, pa.string())), -1).to_numpy(zero_copy_only=False) for x in self.names]
-        step = max(1, CELLS // max(1, len(self.names[0]) + len(self.names[1])))
+        step = max(1, self.cells // max(1, len(self.names[0]) + len(self.names[1])))
         for a in range(0, len(starts), step):
             at = slice(starts[a], starts[a + step] if a + step < len(starts) else len(run))
             p = []
@@ -180,7 +180,7 @@ class _Pair:
                 self.sums[i] += np.abs(p[0][:, i, None] - p[1]).sum(axis=0) - len(p[0]) * np.abs(self.base[0][i] - self.base[1])
 
     def choose(self, rows: pa.Table, at: slice, here: np.ndarray, p: np.ndarray, source: np.ndarray) -> None:
-        """Keeps each source's terms of the largest p - q, at most TERM_RANKS and their ties."""
+        """Keeps each source's terms of the largest p - q, at most ``ranks`` and their ties."""
         more = p - share(rows["total"].to_numpy()[at][here], self.row["size"], self.row["terms"])
         place = np.flatnonzero(here) + at.start
         order = np.lexsort((-more, source))
@@ -188,10 +188,10 @@ class _Pair:
         cuts = np.searchsorted(source[order], np.arange(len(self.names[0]) + 1))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             own = order[a:b]
-            own = own[more[own] >= more[own[TERM_RANKS - 1]]] if len(own) > TERM_RANKS else own
+            own = own[more[own] >= more[own[self.ranks - 1]]] if len(own) > self.ranks else own
             if len(own):
                 terms = rows["term"].take(pa.array(place[own])).to_pylist()
-                self.best[i] = sorted(self.best[i] + list(zip((-more[own]).tolist(), terms, strict=True)))[:TERM_RANKS]
+                self.best[i] = sorted(self.best[i] + list(zip((-more[own]).tolist(), terms, strict=True)))[: self.ranks]
 
     def rows(self) -> Iterator[tuple]:
         """Partial results; the terms that no run brought are added once, by part 0."""
@@ -207,7 +207,7 @@ class _Pair:
                 yield lang, s, "term", term, -value
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], ranks: int, cells: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (lang, x, y, part, term, source), each part's header first -> partial results. Only the last term of a batch waits."""
     schema = _schema(_FOUND)
     pair, left = None, None
@@ -230,7 +230,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left = None
                 if pair:
                     yield from out(pair.rows())
-                pair = _Pair(header[int(a)].as_py())
+                pair = _Pair(header[int(a)].as_py(), ranks, cells)
             own = rows.slice(a + 1, b - a - 1)
             if own.num_rows:
                 own = (pa.concat_tables([left, own]) if left is not None else own).combine_chunks()
@@ -244,16 +244,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(pair.rows())
 
 
-def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS) -> DataFrame:
+def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, cells: int = CELLS) -> DataFrame:
     """(lang, source, part, item, value, rank): distances of each source to the others of its language, and the terms that it uses more than the language."""
-    kept = stored(kept_terms(docs, least), "terms")
+    kept = stored(kept_terms(docs, least, block_bytes), "terms")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.select(text("lang").alias("lang"), text("source").alias("source")).distinct()
     groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").fillna(0, ["n"])
     of_lang = kept.groupBy("lang").agg(F.count_if("first").alias("terms"), F.sum("n").alias("size"))
     groups = stored(groups.join(of_lang, "lang", "left").fillna(0, ["terms", "size"]), "groups")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    blocks = -(-most // BLOCK) or 1
+    blocks = -(-most // block) or 1
     of = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     every = groups.select("lang", "terms", "size").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     own = groups.groupBy("lang", of.alias("block")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
@@ -265,7 +265,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = kept.withColumns({"part": F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"), "_block": of}).withColumn("_other", other)
     rows = rows.select("lang", F.least("_block", "_other").alias("x"), F.greatest("_block", "_other").alias("y"), "part", "term", "source", "n", "total", F.lit(None).cast(heads.schema["header"].dataType).alias("header"))
-    found = heads.unionByName(rows).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("term"), "source").mapInArrow(_compared, _FOUND)
+    found = heads.unionByName(rows).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("term"), "source").mapInArrow(lambda x: _compared(x, ranks, cells), _FOUND)
     found = stored(found, "partial")
     best = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda x: x.withColumn("rank", F.row_number().over(best))

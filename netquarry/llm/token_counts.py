@@ -80,7 +80,7 @@ def digest(text: Column, blanks: bool) -> Column:
     return F.unhex(F.sha2(content(text, blanks), 256))
 
 
-def _encode(model: Model):
+def _encode(model: Model, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = model.counter(), {"": 0}
 
@@ -88,7 +88,7 @@ def _encode(model: Model):
             words = text.split(" ")
             new = list({w for w in words if w not in known})
             if new:
-                if len(known) > WORDS:
+                if len(known) > kept:
                     known.clear()
                     known[""] = 0
                     new = list(set(words) - {""})
@@ -122,12 +122,12 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     return spark.read.schema(_COUNTED).parquet(*batches).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")) if batches else None
 
 
-def encode_misses(texts: DataFrame, model: Model, cache: str) -> DataFrame:
+def encode_misses(texts: DataFrame, model: Model, cache: str, kept: int = WORDS) -> DataFrame:
     """Encodes one text for each digest of (digest, content), and appends the counts to the cache; the batch as a frame."""
     spark = texts.sparkSession
     one = texts.groupBy("digest").agg(F.first("content").alias("content"))  # copies meet in their map task first
     path = f"{cache}/version={model.version}/batch={uuid.uuid4().hex}"
-    one.mapInArrow(_encode(model), _COUNTED).write.option("compression", "zstd").parquet(path)
+    one.mapInArrow(_encode(model, kept), _COUNTED).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_COUNTED).parquet(path)
 
 

@@ -45,11 +45,10 @@ def corpus(n, sources, seed=3):
 
 
 @pytest.mark.parametrize("block", [512, 3])
-def test_divergence_is_the_plain_one(spark, monkeypatch, block):
-    monkeypatch.setattr(D, "BLOCK", block)
+def test_divergence_is_the_plain_one(spark, block):
     rows = corpus(300, [f"s{i}" for i in range(9)])
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("term", F.lit("clash"))
-    got = D.divergence(docs, least=12, ranks=20)
+    got = D.divergence(docs, least=12, ranks=20, block=block)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == plain(rows, 12, 20)
 
@@ -58,14 +57,12 @@ def test_empty_table(spark):
     assert D.divergence(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_runs_of_a_block_and_small_blocks(spark, monkeypatch):
+def test_runs_of_a_block_and_small_blocks(spark):
     terms, term, of, text, counts = D.block_runs([b"b A a", b"", b"a", b"a b"], np.array([1, 1, 1, 2]))
     got = {(terms[t].decode(), int(g)): (int(x), int(d), int(n)) for t, g, x, d, n in zip(term, of, text, *counts, strict=True)}
     assert got == {("b", 1): (0, 1, 1), ("a", 1): (0, 2, 3), ("a", 2): (3, 1, 1), ("b", 2): (3, 1, 1)}
-    monkeypatch.setattr(D, "BLOCK_BYTES", 50)
-    monkeypatch.setattr(D, "CELLS", 1)
     rows = corpus(60, ["a", "b"])
-    assert sorted(map(tuple, D.divergence(spark.createDataFrame(rows, SCHEMA), least=5).collect())) == plain(rows, 5)
+    assert sorted(map(tuple, D.divergence(spark.createDataFrame(rows, SCHEMA), least=5, block_bytes=50, cells=1).collect())) == plain(rows, 5)
 
 
 def test_shares_are_exact_beyond_64_bits():
