@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -123,18 +123,45 @@ def _corr(keys: Iterable[str], string: str, null: str = "") -> str:
     return " || '|' || ".join(f"coalesce(CAST({k} AS {string}), '{null}')" for k in keys)
 
 
-def members(events: DataFrame, rule: Rule) -> DataFrame:
-    """The events that a rule looks at, in the form that all rules share. inside: whether the event counts in windows (of sequences, blocked ones do)."""
-    return events.where(F.expr(rule.where)).selectExpr(
-        f"'{rule.name}' AS rule", f"{_corr(rule.key, 'STRING', _NULL)} AS key", f"{rule.entity} AS entity", "proto" if "proto" in rule.key or "proto" in rule.having else "CAST(NULL AS STRING) AS proto",
-        "dst_port" if "dst_port" in rule.having else "CAST(NULL AS INT) AS dst_port", "event_id", "event_no", "ts_us", f"CAST({rule.target} AS STRING) AS tgt", f"CAST({rule.port} AS INT) AS port",
-        "service AS svc" if "q >=" in rule.having or rule.kind == "sequence" else "CAST(NULL AS STRING) AS svc", f"{rule.blocked} AS bl", "syn", "allowed AS ok" if rule.kind != "window" else "true AS ok",
-        "dst_port AS dport" if rule.kind == "sequence" else "CAST(NULL AS INT) AS dport", f"{_SENSITIVE} AS sens" if rule.kind == "group" else "false AS sens",
-        rule.blocked + " AS inside" if rule.kind == "sequence" else "true AS inside", f"{rule.kind == 'sequence'} AS sequence", f"{rule.seconds * 1_000_000}L AS size",
-    )
+def _form(rule: Rule, carry: bool) -> dict[str, str]:
+    """The columns that all rules share, for one rule. inside: whether the event counts in windows (of sequences, blocked ones do)."""
+    sequence = rule.kind == "sequence"
+    service = "service" if "q >=" in rule.having or sequence else "CAST(src_port AS STRING)" if carry else "CAST(NULL AS STRING)"
+    return {
+        "rule": f"'{rule.name}'", "key": _corr(rule.key, "STRING", _NULL), "entity": rule.entity, "proto": "proto" if "proto" in rule.key or "proto" in rule.having else "CAST(NULL AS STRING)",
+        "dst_port": "dst_port" if "dst_port" in rule.having else "CAST(NULL AS INT)", "event_id": "event_id", "event_no": "event_no", "ts_us": "ts_us", "tgt": f"CAST({rule.target} AS STRING)", "port": f"CAST({rule.port} AS INT)",
+        "svc": service, "bl": rule.blocked, "syn": "syn", "ok": "allowed" if rule.kind != "window" else "true", "dport": "dst_port" if sequence else "CAST(NULL AS INT)",
+        "sens": _SENSITIVE if rule.kind == "group" else "false", "inside": rule.blocked if sequence else "true", "sequence": f"{sequence}", "size": f"{rule.seconds * 1_000_000}L",
+    }
+
+
+def members(events: DataFrame, rule: Rule, carry: Iterable[str] = ()) -> DataFrame:
+    """The events that a rule looks at, in the form that all rules share.
+
+    carry: columns of the events that come along. Rules without services then have source ports in their place."""
+    carry = list(carry)
+    return events.where(F.expr(rule.where)).selectExpr(*[f"{sql} AS {name}" for name, sql in _form(rule, bool(carry)).items()], *carry)
 
 
-def _slid(rows: DataFrame, services: bool, sequences: bool) -> DataFrame:
+def members_of(events: DataFrame, chosen: list[Rule], carry: Iterable[str] = ()) -> DataFrame:
+    """The same for many rules, in one pass over the events: a row for each event and rule that looks at it."""
+    if len(chosen) == 1:
+        return members(events, chosen[0], carry)
+    carry = list(carry)
+    forms = [_form(rule, bool(carry)) for rule in chosen]
+
+    def pick(name: str) -> str:
+        by: dict[str, list[str]] = {}
+        for i, form in enumerate(forms):
+            by.setdefault(form[name], []).append(str(i))
+        *some, (last, _) = sorted(by.items(), key=lambda x: len(x[1]))
+        return f"CASE {' '.join(f'WHEN _rule IN ({", ".join(of)}) THEN {sql}' for sql, of in some)} ELSE {last} END" if some else last
+
+    looks = F.array_compact(F.array(*[F.when(F.expr(rule.where), F.lit(i)) for i, rule in enumerate(chosen)]))
+    return events.withColumn("_rule", F.explode(looks)).selectExpr(*[f"{pick(name)} AS {name}" for name in forms[0]], *carry)
+
+
+def _slid(rows: DataFrame, services: bool, sequences: bool, marks: Iterable[str] = ()) -> DataFrame:
     """Each event's window as running sums: an event enters its own time bucket and the next one, and leaves the next one ``size`` later
     (after all events of that time). Of a value (target, port, service) the first of overlapping stays enters, and the last leaves.
 
@@ -169,46 +196,51 @@ def _slid(rows: DataFrame, services: bool, sequences: bool) -> DataFrame:
     rows = rows.withColumns({
         "n": total(F.lit(1)), "b": total(F.col("bl").cast("long")), "s": total(F.col("syn").cast("long")), "ids_sum": total(F.col("event_no")), "first": first,
         "t": F.sum(change("tgt")).over(run), "p": F.sum(change("port")).over(run), "q": F.sum(change("svc")).over(run) if services else F.lit(0).cast("long"),
+        **{f"n_{m}": total(F.col(m).cast("long")) for m in marks},
     })
     return rows.where("step.phase = 0 AND bucket = own AND ok")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, marks: Iterable[str] = ()) -> DataFrame:
     """Each group's aggregates (partial sums first)."""
     place = F.struct("ts_us", "event_id")
     rows = rows.groupBy("rule", "key", "entity", "proto", "dst_port").agg(
         F.count("*").alias("n"), F.count_distinct("tgt").alias("t"), F.count_distinct("port").alias("p"), F.count_distinct("svc").alias("q"), F.count_if("bl").alias("b"), F.count_if("syn").alias("s"), F.count_if("ok").alias("ok"), F.count_if("sens").alias("x"),
         F.min(place).alias("first"), F.max(place).alias("last"), F.sum("event_no").alias("ids_sum"),
+        *[F.count_if(m).alias(f"n_{m}") for m in marks],
     )
     return rows.withColumns({"ts_us": F.col("last.ts_us"), "event_id": F.col("last.event_id"), "related": F.lit(True)})
 
 
-def _fired(windows: DataFrame, chosen: list[Rule]) -> DataFrame:
+def _fired(windows: DataFrame, chosen: list[Rule], marks: Iterable[str] = ()) -> DataFrame:
     windows = windows.withColumns({"first_us": F.col("first.ts_us"), "first_id": F.col("first.event_id")}).withColumn("span", F.expr("(ts_us - first_us) / 1000000.0D"))
     if any(r.kind == "sequence" for r in chosen):  # the allowed event belongs to the signal
-        windows = windows.withColumns({"ids_sum": F.expr("ids_sum + IF(sequence, event_no, 0L)"), "n": F.expr("n + IF(sequence, 1L, 0L)")})
+        windows = windows.withColumns({"ids_sum": F.expr("ids_sum + IF(sequence, event_no, 0L)"), "n": F.expr("n + IF(sequence, 1L, 0L)"), **{f"n_{m}": F.expr(f"n_{m} + IF(sequence AND {m}, 1L, 0L)") for m in marks}})
     case = lambda of: f"CASE rule {' '.join(f'WHEN {chr(39)}{r.name}{chr(39)} THEN {of(r)}' for r in chosen)} END" if len(chosen) > 1 else of(chosen[0])
     return windows.where(F.expr(case(_least))).selectExpr(
         "rule", "entity", f"replace(key, '{_NULL}', '') AS corr", "event_id", "n", "t", "p", "b", "s", "first_us", "ts_us AS last_us", "ids_sum",
-        f"{case(lambda r: r.severity)} AS severity", f"{case(_confidence)} AS confidence", "key", "first_id",
+        f"{case(lambda r: r.severity)} AS severity", f"{case(_confidence)} AS confidence", "key", "first_id", *(["q"] if marks else []), *[f"n_{m}" for m in marks],
     )
 
 
-def evaluate_all(events: DataFrame, chosen: Iterable[Rule]) -> DataFrame:
+def evaluate_all(events: DataFrame, chosen: Iterable[Rule], carry: Iterable[str] = (), marks: dict[str, Column] | None = None) -> DataFrame:
     """Signals (OUT, and key and first_id) of rules over featured events. A signal's events are those of its rule and key from (first_us, first_id) to
     (last_us, event_id); of sequences only the blocked ones and the last. All window and sequence rules share one shuffle.
 
+    marks: names of conditions (over tgt, entity and the carried columns) whose events each signal counts as n_<name>; with them comes q, for
+    rules without services the distinct source ports.
+
     Defined cases: events with null in a key column that ``where`` does not exclude form a group of their own; equal timestamps are
     ordered by event_id; rows with equal time and event_id are events in an order of chance. No events: no signals."""
-    chosen = list(chosen)
-    out = None
+    chosen, marks, out = list(chosen), marks or {}, None
     sliding, groups = [r for r in chosen if r.kind != "group"], [r for r in chosen if r.kind == "group"]
-    for part, counts in ((sliding, lambda x: _slid(x, any("q >=" in r.having for r in sliding), any(r.kind == "sequence" for r in sliding))), (groups, _grouped)):
+    services, sequences = bool(marks) or any("q >=" in r.having for r in sliding), any(r.kind == "sequence" for r in sliding)
+    for part, counts in ((sliding, lambda x: _slid(x, services, sequences, marks)), (groups, lambda x: _grouped(x, marks))):
         if part:
-            rows = members(events, part[0])
-            for rule in part[1:]:
-                rows = rows.unionByName(members(events, rule))
-            one = _fired(counts(rows), part)
+            rows = members_of(events, part, carry)
+            if marks:
+                rows = rows.withColumns({m: F.coalesce(x, F.lit(False)) for m, x in marks.items()})
+            one = _fired(counts(rows), part, marks)
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -217,12 +249,17 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
     return evaluate_all(events, [rule])
 
 
-def rule_sql(rule: Rule, featured: str) -> str:
-    """The same by a self-join, for DuckDB."""
+def rule_sql(rule: Rule, featured: str, marks: dict[str, str] | None = None) -> str:
+    """The same by a self-join, for DuckDB. marks: conditions over the featured columns, {tgt} and {entity}."""
+    marks = marks or {}
     size = rule.seconds * 1_000_000
     sequence = rule.kind == "sequence"
     agg = f"count(*){' + 1' if sequence else ''} AS n, count(DISTINCT b.tgt) AS t, count(DISTINCT b.port) AS p, count(DISTINCT b.service) AS q, count(*) FILTER (WHERE b.bl) AS b, count(*) FILTER (WHERE b.syn) AS s, min(b.ts_us) AS first_us, min((b.ts_us, b.event_id)) AS first_place, CAST(sum(b.event_no){' + any_value(a.event_no)' if sequence else ''} AS BIGINT) AS ids_sum, {'bool_or(b.tgt = a.tgt AND (b.dst_port = a.dst_port OR b.service = a.service))' if sequence else 'true'} AS related"
-    rows = f"SELECT *, {rule.target} AS tgt, {rule.port} AS port, {rule.blocked} AS bl, {rule.entity} AS entity, {_corr(rule.key, 'VARCHAR')} AS corr, {', '.join(f'{k} AS key{i}' for i, k in enumerate(rule.key))} FROM {featured} WHERE {rule.where}"
+    conditions = "".join(f", coalesce({x.format(tgt=rule.target, entity=rule.entity)}, false) AS {m}" for m, x in marks.items())
+    if marks and "q >=" not in rule.having and not sequence:
+        agg = agg.replace("b.service", "b.src_port")
+    agg += "".join(f", count(*) FILTER (WHERE b.{m}){f' + max(CAST(a.{m} AS INT))' if sequence else ''} AS n_{m}" for m in marks)
+    rows = f"SELECT *{conditions}, {rule.target} AS tgt, {rule.port} AS port, {rule.blocked} AS bl, {rule.entity} AS entity, {_corr(rule.key, 'VARCHAR')} AS corr, {', '.join(f'{k} AS key{i}' for i, k in enumerate(rule.key))} FROM {featured} WHERE {rule.where}"
     keys = [*[f"key{i}" for i in range(len(rule.key))], "corr", "proto", "entity"]
     if "dst_port" in rule.having:
         keys.append("dst_port")
@@ -235,5 +272,5 @@ def rule_sql(rule: Rule, featured: str) -> str:
         joined = f"SELECT {', '.join(f'a.{k}' for k in keys)}, a.event_id, a.ts_us, {agg} FROM f a JOIN f b ON {same} AND b.ts_us >= a.ts_us - {size}::BIGINT AND ({order}) {'WHERE a.allowed' if sequence else ''} GROUP BY {', '.join(f'a.{k}' for k in keys)}, a.event_id, a.ts_us"
     return f"""
 WITH f AS MATERIALIZED ({rows}), g AS (SELECT *, (ts_us - first_us) / 1000000.0 AS span FROM ({joined}))
-SELECT '{rule.name}' AS rule, entity, corr, event_id, n, t, p, b, s, first_us, ts_us AS last_us, ids_sum, {rule.severity} AS severity, CAST({_confidence(rule)} AS DOUBLE) AS confidence
+SELECT '{rule.name}' AS rule, entity, corr, event_id, n, t, p, b, s, first_us, ts_us AS last_us, ids_sum, {rule.severity} AS severity, CAST({_confidence(rule)} AS DOUBLE) AS confidence{', q' * bool(marks)}{''.join(f', n_{m}' for m in marks)}
 FROM g WHERE {_least(rule)}"""

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or its warehouse, which a cluster shares as well, where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/netquarry"
+    """This application's folder below ``spark.checkpoint.dir`` of the session; it goes when the application ends.
+
+    Where that setting is unset, a session of one machine gets a folder for it; a cluster, whose machines would share nothing, is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="netquarry-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        _own[spark.sparkContext.applicationId] = base
+    own = f"{base.rstrip('/')}/netquarry/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return own
 
 
 def written(df: DataFrame, name: str) -> str:

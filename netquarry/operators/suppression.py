@@ -27,12 +27,23 @@ class Policy:
 
 
 def within(number: Column, block: str) -> Column:
-    """Whether an IPv4 address (as a number) is in the block."""
-    try:
-        net = ipaddress.IPv4Network(block, strict=False)
-    except ValueError:
+    """Whether an IPv4 address (as a number) is in the block; never, where the block is ``refused``."""
+    if refused((block,)):
         return F.lit(False)
-    return F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False)) if net.prefixlen else F.lit(False)
+    net = ipaddress.IPv4Network(block, strict=False)
+    return F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+
+
+def refused(blocks: tuple[str, ...]) -> list[str]:
+    """Those of the blocks that no test can use: no IPv4 blocks, or all addresses."""
+    out = []
+    for block in blocks:
+        try:
+            usable = ipaddress.IPv4Network(block, strict=False).prefixlen > 0
+        except ValueError:
+            usable = False
+        out += [] if usable else [block]
+    return out
 
 
 def _any(tests: list[Column]) -> Column:
@@ -50,12 +61,29 @@ def number(ip: Column) -> Column:
     return F.when(ip.rlike(f"^{part}([.]{part}){{3}}$"), value)
 
 
+def is_late_reset() -> Column:
+    """Whether an event is the reset of a service's closed connection."""
+    named = lambda c: F.coalesce(F.lower(F.trim(c)) == "blocked by spi", F.lit(False))
+    return (named("action_reason") | named("action")) & (F.col("blocked") | named("action")) & F.coalesce(F.col("src_port").isin(*LATE_PORTS) & (F.col("dst_port") >= EPHEMERAL) & F.col("tcp_flags").isin("RST", "RST,ACK"), F.lit(False))
+
+
+def window_marks(policy: Policy) -> dict[str, Column]:
+    """What a signal has to count of its events (rules.evaluate_all), so that ``window_reason`` tells without looking at them again."""
+    to, of = number(F.col("tgt")), number(F.col("entity"))
+    return {"late": F.col("late_reset"), "to": _any([within(to, b) for b in policy.destinations]), "pair": _any([within(of, a) & within(to, b) for a, b in policy.pairs])}
+
+
+def window_reason(policy: Policy) -> Column:
+    """Why a raw signal with the counts of ``window_marks`` is suppressed, or null; the first reason counts."""
+    late = (F.col("rule") == "spi_anomaly_burst") & (F.col("n_late") == F.col("n")) & (F.col("n") >= LATE_EVENTS) & (F.col("p") == F.col("n")) & (F.col("q") == 1) & (F.col("t") == 1)
+    source = _any([within(number(F.col("entity")), b) for b in policy.sources])
+    return F.when(late, LATE).when(F.col("rule").isin(*policy.rules), "rule").when(source, "source").when(F.col("n_to") > 0, "destination").when(F.col("n_pair") > 0, "pair")
+
+
 def late_resets(signals: DataFrame, rows: DataFrame) -> DataFrame:
     """(signal_id) of inspection bursts that are only resets of one service's closed connections. rows: (signal_id, event columns)."""
     own = rows.join(signals.where("rule = 'spi_anomaly_burst'").select("signal_id"), "signal_id", "left_semi").dropDuplicates(["signal_id", "event_id"])
-    named = lambda c: F.coalesce(F.lower(F.trim(c)) == "blocked by spi", F.lit(False))
-    fits = (named("action_reason") | named("action")) & (F.col("blocked") | named("action")) & F.coalesce(F.col("src_port").isin(*LATE_PORTS) & (F.col("dst_port") >= EPHEMERAL) & F.col("tcp_flags").isin("RST", "RST,ACK"), F.lit(False))
-    one = own.groupBy("signal_id").agg(F.bool_and(fits).alias("fits"), F.count("*").alias("n"), F.count_distinct("dst_port").alias("ports"), F.min("src_port").alias("a"), F.max("src_port").alias("z"), F.count_distinct(F.nullif("dst_ip", F.lit(""))).alias("to"))
+    one = own.groupBy("signal_id").agg(F.bool_and(is_late_reset()).alias("fits"), F.count("*").alias("n"), F.count_distinct("dst_port").alias("ports"), F.min("src_port").alias("a"), F.max("src_port").alias("z"), F.count_distinct(F.nullif("dst_ip", F.lit(""))).alias("to"))
     return one.where(f"fits AND n >= {LATE_EVENTS} AND ports = n AND a = z AND `to` = 1").select("signal_id")
 
 

@@ -154,30 +154,20 @@ def retention_summary(spark, sf_dir):
     return _read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(aged).alias("n_aged"), F.min("o_orderdate").alias("oldest"), F.max("o_orderdate").alias("newest"))
 
 
-def _raw_sql() -> str:
+def raw_sql(marks: dict[str, str] | None = None) -> str:
     """Raw signals of all rules, for DuckDB: each rule's SQL with its key (which corr stands for here) and the first event's id."""
     each = []
     for rule in rules.RULES:
-        sql = rules.rule_sql(rule, "featured").replace("SELECT '" + rule.name + "' AS rule,", "SELECT '" + rule.name + "' AS rule, corr AS key, first_place[2] AS first_id,", 1)
-        each.append(f"SELECT rule, coalesce(entity, '') AS entity, key, first_id, corr, event_id, first_us, last_us, severity, confidence FROM ({sql})")
+        sql = rules.rule_sql(rule, "featured", marks).replace("SELECT '" + rule.name + "' AS rule,", "SELECT '" + rule.name + "' AS rule, corr AS key, first_place[2] AS first_id,", 1)
+        each.append(f"SELECT rule, coalesce(entity, '') AS entity, key, first_id, corr, event_id, first_us, last_us, severity, confidence{', n, p, t, q' * bool(marks)}{''.join(f', n_{m}' for m in marks or ())} FROM ({sql})")
     return " UNION ALL ".join(each)
 
 
-@register("signals_merged", f"WITH featured AS MATERIALIZED (SELECT * FROM {FEATURED}) SELECT * FROM ({signals.merge_sql(_raw_sql())})")
+@register("signals_merged", f"WITH featured AS MATERIALIZED (SELECT * FROM {FEATURED}) SELECT rule, entity, corr, first_us, last_us, n_merged, severity, confidence FROM ({signals.merge_sql(raw_sql())})")
 def signals_merged(spark, sf_dir):
     """Merged signals of all rules."""
-    found = signals.all_signals(scratch.stored(featured_events(spark, sf_dir), "featured"))
-    return signals.merge(signals.numbered(signals.suppress(found))).select("rule", "entity", "corr", "first_us", "last_us", "n_merged", "severity", "confidence")
+    found = signals.active(signals.all_signals(scratch.stored(featured_events(spark, sf_dir), "featured")))
+    return signals.merge(signals.numbered(found)).select("rule", "entity", "corr", "first_us", "last_us", "n_merged", "severity", "confidence")
 
 
-@register("incidents")
-def incidents(spark, sf_dir):
-    """Incidents of all rules' signals; a fold in order of precedence, for which SQL has no form."""
-    events = scratch.stored(featured_events(spark, sf_dir), "featured")
-    runs = scratch.stored(signals.numbered(signals.suppress(signals.all_signals(events))), "runs")
-    merged = scratch.stored(signals.merge(runs), "merged")
-    bridge = scratch.stored(signals.signal_events(events, runs, merged), "bridge")
-    return signals.incidents(merged, scratch.stored(signals.cluster(merged, bridge), "clusters"), bridge, events)
-
-
-from . import campaign_queries, exposure_queries, incident_queries  # noqa: E402,F401
+from . import campaign_queries, chain_queries, exposure_queries, incident_queries  # noqa: E402,F401

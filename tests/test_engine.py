@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.functions.features import with_features
-from netquarry.operators import rules, scratch, signals, store
+from netquarry.operators import rules, scratch, signals, store, suppression
 from netquarry.plans import queries
 from netquarry.plans.lowering import COLUMNS
 
@@ -164,25 +164,26 @@ def listed_signals(df):
         for r in rows:
             if (r.key, r.event_id) in fired:
                 ids = [x for x in rows if x.key == r.key and 0 <= r.ts_us - x.ts_us <= r["size"] and (x.ts_us, x.event_id) <= (r.ts_us, r.event_id) and x.inside]
-                out.append((rule.name, r.entity or "", r.key.replace("\u0001", ""), ids[0].ts_us, r.ts_us, r.event_id, {x.event_id for x in ids} | {r.event_id}))
+                out.append((rule.name, r.entity or "", r.key, ids[0].ts_us, r.ts_us, r.event_id, {x.event_id for x in ids} | {r.event_id}))
     return out
 
 
 def plain_merge(raw):
-    """Each signal of a rule and entity meets the last merged one only."""
+    """Each signal of a rule and key meets the last merged one of these."""
     done = []
-    for r in sorted(raw, key=lambda r: (r[0], r[1], r[3], r[2], r[4], r[5])):
-        if done and done[-1][:2] == [r[0], r[1]] and r[6] & done[-1][4] and r[3] - done[-1][3] <= 300_000_000:
+    for r in sorted(raw, key=lambda r: (*r[:5], r[5])):
+        if done and done[-1][6:] == [r[2]] and done[-1][:2] == [r[0], r[1]] and r[6] & done[-1][4] and r[3] - done[-1][3] <= 300_000_000:
             done[-1][3], done[-1][4], done[-1][5] = max(done[-1][3], r[4]), done[-1][4] | r[6], done[-1][5] + 1
         else:
-            done.append([r[0], r[1], r[3], r[4], set(r[6]), 1])
-    return done
+            done.append([r[0], r[1], r[3], r[4], set(r[6]), 1, r[2]])
+    return [x[:6] for x in done]
 
 
-def plain_clusters(merged, ids):
-    """(signal, anchor) by comparing each signal with all anchors of its entity."""
+def plain_clusters(merged, ids, scope):
+    """(signal, anchor) by comparing each signal with all anchors."""
     names = [n for tier in signals.PRECEDENCE for n in tier]
     key = lambda m: (names.index(m.rule) if m.rule in names else len(names), -signals.SEVERITY.index(m.severity), -m.confidence, m.first_us, m.rule, m.signal_id)
+    families = {r.name: r.family for r in rules.RULES}
     anchors, out = [], {}
     for m in sorted(merged, key=key):
         best = None
@@ -190,7 +191,8 @@ def plain_clusters(merged, ids):
             common = len(ids[a.signal_id] & ids[m.signal_id])
             share = common / min(len(ids[a.signal_id]), len(ids[m.signal_id]))
             gap = max(m.first_us - a.last_us, a.first_us - m.last_us)
-            if a.entity == m.entity and share >= 0.7 and gap <= 300_000_000 and (best is None or (-share, key(a)) < best[0]):
+            exposures = {families[a.rule], families[m.rule]} <= {"firewall_exposure", "firewall_policy"} and ids[a.signal_id] == ids[m.signal_id] and scope[a.signal_id] & scope[m.signal_id]
+            if (a.entity == m.entity and share >= 0.7 or a.entity != m.entity and exposures) and gap <= 300_000_000 and (best is None or (-share, key(a)) < best[0]):
                 best = ((-share, key(a)), a.signal_id)
         if best is None:
             anchors.append(m)
@@ -198,24 +200,85 @@ def plain_clusters(merged, ids):
     return out
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_merging_bridge_clusters_and_incidents(spark, seed):
+CHOSEN += [rules.BY_NAME[n] for n in ("dnat_sensitive_service_exposure", "wan_to_lan_sensitive_service_allowed")]
+
+
+@pytest.mark.parametrize("seed,stretch", [(2, 3_600_000_000), (3, 60_000_000)])
+def test_merging_bridge_clusters_and_incidents(spark, monkeypatch, seed, stretch):
+    monkeypatch.setattr(signals, "HOUR", stretch)  # runs cross the bounds of short stretches
     df = scratch.stored(random_events(spark, 260, seed, 1500), "events")
     raw = listed_signals(df)
-    runs = scratch.stored(signals.numbered(signals.all_signals(df, CHOSEN)), "runs")
-    merged = scratch.stored(signals.merge(runs), "merged")
-    bridge = scratch.stored(signals.signal_events(df, runs, merged, CHOSEN), "bridge")
-    ids = {}
+    found = scratch.stored(signals.all_signals(df, CHOSEN), "raw")
+    assert found.where("reason IS NOT NULL").isEmpty()
+    merged = scratch.stored(signals.merge(signals.numbered(signals.active(found))), "merged")
+    bridge = scratch.stored(signals.signal_events(df, found, merged, CHOSEN), "bridge")
+    ids, scope = {}, {m.signal_id: {m.entity} - {""} for m in merged.collect()}
     for r in bridge.collect():
         ids.setdefault(r.signal_id, set()).add(r.event_id)
+        scope[r.signal_id] |= {r.tgt} - {None, ""}
     rows = merged.collect()
     assert sorted([m.rule, m.entity, m.first_us, m.last_us, sorted(ids[m.signal_id]), m.n_merged] for m in rows) == sorted([*m[:4], sorted(m[4]), m[5]] for m in plain_merge(raw))
     found = scratch.stored(signals.cluster(merged, bridge), "clusters")
-    assert {r.signal_id: r.anchor_id for r in found.collect()} == plain_clusters(rows, ids)
+    assert {r.signal_id: r.anchor_id for r in found.collect()} == plain_clusters(rows, ids, scope)
     incidents = signals.incidents(merged, found, bridge, df).collect()
     assert len(incidents) == len({r.anchor_id for r in found.collect()})
     sequences = [r for r in incidents if r.rule == "blocked_then_allowed_same_service"]
     assert sequences and all(r.n_allowed > 0 and r.severity in ("medium", "high", "critical") for r in sequences)
+    entities = {m.signal_id: m.entity for m in rows}
+    assert any(entities[s] != entities[a] for s, a in ((r.signal_id, r.anchor_id) for r in found.collect()))
+    details = signals.signal_details(merged, bridge).collect()
+    assert all(d.n_events == len(ids[d.signal_id]) and d.n_targets == len({r.tgt for r in bridge.collect() if r.signal_id == d.signal_id} - {None, ""}) and set(d.evidence) <= ids[d.signal_id] and len(d.evidence) == min(3, d.n_events) for d in details[:12])
+
+
+def test_rows_grow_with_the_events_where_two_keys_alternate(spark):
+    chosen = [rules.BY_NAME[n] for n in ("inbound_sensitive_service_allowed", "critical_management_service_exposed")]
+    df = scratch.stored(events(spark, [{"ts_us": i * 1_000_000, "dst_ip": f"10.0.0.{i % 2}", "dst_port": 22, "action": "pass", "inbound_zone": "wan"} for i in range(1200)]), "events")
+    found = signals.correlated(df, chosen)
+    sizes = {k: x.count() for k, x in found.items()}
+    assert sizes["raw"] == 1200 and sizes["merged"] == 2 and sizes["bridge"] == 1200 and sizes["incidents"] == 2, sizes
+    assert signals.shared_events(found["bridge"], ["entity"]).isEmpty()
+
+
+def test_suppression_by_counted_marks(spark):
+    late = [{"ts_us": i * 1_000_000, "src_ip": "45.9.9.9", "src_port": 443, "dst_port": 40_000 + i, "tcp_flags": "RST", "action_reason": "blocked by spi"} for i in range(7)]
+    repeated = [{**x, "src_ip": "45.9.9.8", "dst_port": 40_000} for x in late]
+    probe = lambda src, to: [{"ts_us": i * 1_000_000, "src_ip": src, "dst_port": 22, "dst_ip": to if i == 5 else f"10.0.0.{i}"} for i in range(9)]
+    df = events(spark, [*late, *repeated, *probe("45.1.1.1", "10.0.0.5"), *probe("45.2.0.1", "10.8.0.1"), *probe("45.3.0.1", "10.9.0.2"), *probe("45.4.0.1", "10.8.0.1")])
+    policy = suppression.Policy((), ("45.1.0.0/16", "0.0.0.0/0"), ("10.9.0.0/24",), (("45.2.0.0/16", "10.8.0.0/16"),))
+    got = sorted((r.rule, r.entity, r.n, r.reason) for r in signals.all_signals(df, [rules.BY_NAME[n] for n in ("spi_anomaly_burst", "ssh_probe")], policy).collect())
+    by = {}
+    for rule, entity, n, reason in got:
+        by.setdefault((rule, entity), {})[n] = reason
+    assert set(by["spi_anomaly_burst", "45.9.9.9"].values()) == {suppression.LATE} and set(by["spi_anomaly_burst", "45.9.9.8"].values()) == {None}
+    assert by["ssh_probe", "45.1.1.1"] == {n: "source" for n in range(5, 10)} and by["ssh_probe", "45.2.0.1"] == {5: None, **{n: "pair" for n in range(6, 10)}}
+    assert by["ssh_probe", "45.3.0.1"] == {5: None, **{n: "destination" for n in range(6, 10)}} and set(by["ssh_probe", "45.4.0.1"].values()) == {None}
+    assert suppression.refused(policy.sources) == ["0.0.0.0/0"]
+
+
+def plain_absorb(found):
+    """found: (id, type, entity, first, last, events); the larger first, each against all kept ones, whose events grow."""
+    kept, out = [], {}
+    for x in sorted(found, key=lambda x: (-len(x[5]), x[3], x[0])):
+        fits = [k for k in kept if k[1:3] == list(x[1:3]) and k[3] <= x[4] and x[3] <= k[4] and (k[5] <= x[5] or x[5] <= k[5] or len(k[5] & x[5]) / len(k[5] | x[5]) >= 0.5)]
+        if fits:
+            k = min(fits, key=lambda k: (-len(k[5]), k[3], k[0]))
+            k[3], k[4], k[5] = min(k[3], x[3]), max(k[4], x[4]), k[5] | x[5]
+            out[x[0]] = k[0]
+        else:
+            kept.append(list(x))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlapping_incidents_are_absorbed_as_by_a_plain_fold(spark, seed):
+    rng, found = random.Random(seed), []
+    for i in range(60):
+        first, size = rng.randrange(40), rng.randrange(1, 9)
+        found.append((f"I{i:02}", rng.choice("ab"), rng.choice("xy"), first, first + rng.randrange(12), frozenset(rng.sample(range(14), size))))
+    held = spark.createDataFrame([(x[0], f"E{e}") for x in found for e in x[5]], "incident_id string, event_id string")
+    rows = spark.createDataFrame([(*x[:5], len(x[5])) for x in found], "incident_id string, type string, entity string, first_us long, last_us long, n long")
+    assert {r.incident_id: r.keeper_id for r in signals.overlapping(rows, held).collect()} == plain_absorb(found)
+    assert signals.overlapping(rows.limit(0), held.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("rows,severity", [
@@ -228,11 +291,7 @@ def test_severity_of_incidents(spark, rows, severity):
     df = events(spark, [{**r, "ts_us": i * 100_000} for i, r in enumerate(rows)])
     df = scratch.stored(df, "events")
     chosen = [rules.BY_NAME[n] for n in ("network_scan_horizontal", "rdp_probe", "network_flood_dos", "critical_management_service_exposed", "inbound_sensitive_service_allowed")]
-    runs = scratch.stored(signals.numbered(signals.all_signals(df, chosen)), "runs")
-    merged = scratch.stored(signals.merge(runs), "merged")
-    bridge = scratch.stored(signals.signal_events(df, runs, merged, chosen), "bridge")
-    rank = signals.SEVERITY.index
-    assert max((r.severity for r in signals.incidents(merged, scratch.stored(signals.cluster(merged, bridge), "clusters"), bridge, df).collect()), key=rank) == severity
+    assert max((r.severity for r in signals.correlated(df, chosen)["incidents"].collect()), key=signals.SEVERITY.index) == severity
 
 
 def test_keyset_pages_have_no_gap_and_no_repeat(spark):
