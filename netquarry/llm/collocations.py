@@ -29,7 +29,7 @@ from .shared import stored, table
 from .words import mix
 
 LONGEST, LEAST, TOP, KEPT_PERCENT, UNIT = 3, 10, 2000, 50, 1_000_000
-SHARD_BYTES, BATCH_ROWS, FILTER_BITS, SALTS = 8 << 20, 1 << 17, 1 << 26, 64
+SHARD_BYTES, BATCH_ROWS, FILTER_BITS, SALTS = 4 << 20, 1 << 16, 1 << 26, 64
 #: ASCII letters to lower case, marks and line ends to a line end, a tab to a blank.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _COUNTED = "lang string, phrase string, f long"
@@ -45,18 +45,18 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     for text in texts:
         words = text.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
         words.append(b"\n")
-        ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     ids = ids[ids != 1]  # what stands between two blanks
     return np.where(ids > 0, ids - 1, 0), [b"\n", *list(known)[2:]]
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys, and each one's dense rank from 1 (0 where the key is 0)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     s = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.concatenate((s[:1] > 0, s[1:] != s[:-1])))
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(np.concatenate((s[:1] > 0, s[1:] != s[:-1])), dtype=np.int32)
     return order, rank
 
 
@@ -70,9 +70,9 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         following = np.zeros_like(rank)
         following[:-h] = rank[h:]
         following[rank == 0] = 0
-        order, rank = _ranked(rank * (rank.max(initial=0) + 1) + following)
+        order, rank = _ranked(rank.astype(np.int64) * (int(rank.max(initial=0)) + 1) + following)
         h *= 2
-    lcp = np.zeros(len(ids), np.int64)
+    lcp = np.zeros(len(ids), np.int16)
     going = np.ones(max(0, len(ids) - 1), bool)
     padded = np.concatenate((ids, np.zeros(depth, ids.dtype)))
     for k in range(depth):
