@@ -41,6 +41,10 @@ HOUR = 3_600_000_000
 _FAMILY = {r.name: r.family for r in rules.RULES}
 
 
+def family_of(rule: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in _FAMILY.items() for x in pair])[rule]
+
+
 def all_signals(events: DataFrame, chosen: Iterable[rules.Rule] = rules.RULES, policy: suppression.Policy = suppression.Policy()) -> DataFrame:
     """Every rule's raw signals in one frame (see rules.evaluate_all), each with the reason why it is suppressed, or null. Features should be stored before: each rule reads them."""
     found = rules.evaluate_all(events.withColumn("late_reset", suppression.is_late_reset()), chosen, ["late_reset"], suppression.window_marks(policy))
@@ -129,7 +133,7 @@ def equal_exposures(merged: DataFrame, bridge: DataFrame) -> DataFrame:
     """(a, b, common) of exposure signals of different entities that have exactly the same events, and an entity or target in common.
 
     Equal sets have equal fingerprints, which don't depend on an order; those that do are compared event by event."""
-    family = F.create_map(*[F.lit(x) for pair in _FAMILY.items() for x in pair])[F.col("rule")]
+    family = family_of(F.col("rule"))
     own = merged.where(family.isin(*ASSET_FAMILIES)).select("signal_id", "entity")
     rows = bridge.join(own.select("signal_id"), "signal_id", "left_semi")
     hashed = F.xxhash64("event_id")
@@ -252,7 +256,7 @@ def incidents(merged: DataFrame, clusters: DataFrame, bridge: DataFrame, events:
         F.min(F.when(F.col("anchors"), F.nullif("asset", F.lit("")))).alias("asset"), F.min(F.when(F.col("anchors"), F.nullif("src_ip", F.lit("")))).alias("source"),
     )
     facts = by_dst.groupBy("anchor_id").agg(F.sum("n").alias("n_events"), F.sum("ok").alias("n_allowed"), F.sum("no").alias("n_blocked"), F.count("eff_dst").alias("n_dst"), F.sum("critical").alias("critical"), F.max("ports").alias("ports"), F.min("asset").alias("asset"), F.min("source").alias("source"))
-    family = F.create_map(*[F.lit(x) for pair in _FAMILY.items() for x in pair])[F.col("rule")]
+    family = family_of(F.col("rule"))
     worth = F.when(F.col("critical") > 0, 4).when(F.col("ports") > 0, 3).otherwise(2)
     volume = ((F.col("n_events") > 500) | (F.col("n_dst") > 50)).cast("int")
     raised = F.least(F.lit(4), worth + ((F.col("n_dst") <= 2) & (F.col("ports") >= 2)).cast("int") + volume)

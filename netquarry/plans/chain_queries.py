@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import features_sql, with_features
-from ..operators import entrance, rules, scratch, signals, suppression
+from ..operators import campaigns, entrance, profiles, rules, scratch, selection, signals, suppression
 from .lowering import COLUMNS, canonical_events, canonical_sql
 from .queries import raw_sql, register
 
@@ -136,3 +136,66 @@ def uncorrelated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = signals.correlated(events, policy=POLICY)["bridge"].select("event_id").distinct().withColumn("_held", F.lit(True))
     rows = events.select("event_id", "src_ip").join(held, "event_id", "left").withColumn("_free", F.col("_held").isNull())
     return rows.groupBy("src_ip").agg(F.count("*").alias("n"), F.count_if("_free").alias("n_uncorrelated"), F.min(F.when(F.col("_free"), F.col("event_id"))).alias("first_id"))
+
+
+_HELD = """facts AS (SELECT 'INC-' || substr(anchor_id, 5, 12) AS incident_id, event_id, bool_or(signal_id = anchor_id) AS anchors FROM bridge JOIN clusters USING (signal_id) GROUP BY anchor_id, event_id),
+heads AS (SELECT 'INC-' || substr(c.anchor_id, 5, 12) AS incident_id, o.rule, o.family, CASE WHEN o.family IN ('firewall_exposure', 'firewall_policy') THEN coalesce(a.asset, o.entity) ELSE o.entity END AS primary_entity, s.first_us, s.last_us
+  FROM (SELECT DISTINCT anchor_id FROM clusters) c JOIN own o ON o.signal_id = c.anchor_id JOIN (SELECT anchor_id, min(m.first_us) AS first_us, max(m.last_us) AS last_us FROM clusters JOIN merged m USING (signal_id) GROUP BY anchor_id) s USING (anchor_id)
+  JOIN (SELECT incident_id, min(coalesce(translated_dst_ip, dst_ip)) FILTER (WHERE anchors) AS asset FROM facts JOIN featured USING (event_id) GROUP BY incident_id) a ON a.incident_id = 'INC-' || substr(c.anchor_id, 5, 12))"""
+_PROFILES = f"{_BASE}, {_HELD}, profiles AS MATERIALIZED ({profiles.profiles_sql('heads', 'facts', 'featured')})"
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Incidents before overlapping ones are merged, and their profiles."""
+    events = eligible(spark, sf_dir)
+    found = signals.correlated(events, policy=POLICY)
+    incidents_ = signals.incidents(found["merged"], found["first_clusters"], found["bridge"], events)
+    held = found["bridge"].select("signal_id", "event_id").join(found["first_clusters"], "signal_id").select(F.concat(F.lit("INC-"), F.substring("anchor_id", 5, 12)).alias("incident_id"), "event_id").distinct()
+    return incidents_, profiles.profiles(incidents_, held, events)
+
+
+@register("incident_profiles", f"{_PROFILES} SELECT h.incident_id, h.rule, h.family, strategy, correlation_key, profile FROM heads h LEFT JOIN profiles USING (incident_id)")
+def incident_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of each incident of the engine, or none."""
+    found, own = _profiled(spark, sf_dir)
+    return found.select("incident_id", "rule", "family").join(own, "incident_id", "left")
+
+
+JOB_US, WINDOW_US, TTL_US = 60_000_000, 120_000_000, 300_000_000
+
+
+@register("profile_campaigns", f"""{_PROFILES}, arrivals AS MATERIALIZED (SELECT correlation_key AS key, first_us // {JOB_US} AS job, min(first_us) AS first_us, max(last_us) AS last_us FROM profiles JOIN heads USING (incident_id) GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, (job + 1) * {JOB_US} AS now_us, row_number() OVER (PARTITION BY key ORDER BY job) AS r FROM arrivals),
+s AS (SELECT key, job, r, 'first' AS decision, CAST(1 AS BIGINT) AS generation, first_us AS a, last_us AS z, now_us + {TTL_US} AS e FROM o WHERE r = 1
+UNION ALL SELECT key, job, r, d, CASE WHEN d IN ('stale', 'merge') THEN generation ELSE generation + 1 END, CASE d WHEN 'stale' THEN a WHEN 'merge' THEN least(a, first_us) ELSE first_us END, CASE d WHEN 'stale' THEN z WHEN 'merge' THEN greatest(z, last_us) ELSE last_us END,
+CASE WHEN d = 'stale' THEN e ELSE now_us + {TTL_US} END
+FROM (SELECT o.key, o.job, o.r, o.first_us, o.last_us, o.now_us, s.generation, s.a, s.z, s.e, CASE WHEN s.e <= o.now_us OR o.first_us > s.z + {WINDOW_US} THEN 'new_generation' WHEN o.last_us < s.a - {WINDOW_US} THEN 'stale' ELSE 'merge' END AS d FROM s JOIN o ON o.key = s.key AND o.r = s.r + 1))
+SELECT key, job, decision, generation, a AS campaign_first_us, z AS campaign_last_us FROM s""")
+def profile_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's incidents as arrivals of jobs of a minute, keyed by their profiles, against the state of their campaigns."""
+    found, own = _profiled(spark, sf_dir)
+    rows = own.join(found.select("incident_id", "first_us", "last_us"), "incident_id").groupBy(F.col("correlation_key").alias("key"), F.expr(f"first_us div {JOB_US}").alias("job")).agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    rows = rows.withColumns({"arrival_id": F.lit(""), "version": F.lit("1"), "now_us": (F.col("job") + 1) * JOB_US, "alive": F.lit(True)})
+    return campaigns.replay(rows, WINDOW_US, TTL_US).select("key", "job", "decision", "generation", "campaign_first_us", "campaign_last_us")
+
+
+_STRATA = f"""{_BASE}, mine AS (SELECT 'INC-' || substr(anchor_id, 5, 12) AS incident_id, o.signal_id, o.rule, o.family, o.signal_id = anchor_id AS main, o.last_us % 7 = 0 AS current FROM clusters JOIN own o USING (signal_id))"""
+
+
+@register("selected_signals", f"{_STRATA} {selection.signals_sql('mine', 3)}")
+def selected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three signals of each incident by strata: the anchor, one of the current job (here by time), families and sequences that matter, and others in order."""
+    found = _tables(spark, sf_dir)
+    rows = found["merged"].join(found["first_clusters"], "signal_id")
+    rows = rows.select(F.concat(F.lit("INC-"), F.substring("anchor_id", 5, 12)).alias("incident_id"), "signal_id", "rule", signals.family_of(F.col("rule")).alias("family"), (F.col("signal_id") == F.col("anchor_id")).alias("main"), (F.col("last_us") % 7 == 0).alias("current"))
+    return selection.chosen_signals(rows, 3)
+
+
+@register("selected_events", f"""{_BASE}, held AS (SELECT DISTINCT 'INC-' || substr(anchor_id, 5, 12) AS incident_id, b.event_id, f.ts_us, f.event_no % 3 = 0 AS current FROM bridge b JOIN clusters USING (signal_id) JOIN featured f ON f.event_id = b.event_id) {selection.events_sql('held', 5)}""")
+def selected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five events of each incident: the first of the current job and the first of others have a place, the rest go by time."""
+    events = eligible(spark, sf_dir)
+    found = signals.correlated(events, policy=POLICY)
+    held = found["bridge"].select("signal_id", "event_id").join(found["first_clusters"], "signal_id").select(F.concat(F.lit("INC-"), F.substring("anchor_id", 5, 12)).alias("incident_id"), "event_id").distinct()
+    held = held.join(events.select("event_id", "ts_us", (F.col("event_no") % 3 == 0).alias("current")), "event_id")
+    return selection.chosen_events(held, 5)
