@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.features import features_sql
-from ..operators import campaigns, lifecycle, scratch, sessions
+from ..operators import bundles, campaigns, lifecycle, scratch, sessions
 from ..streaming import campaigns as streams
 from .lowering import COLUMNS, canonical_events, canonical_sql, featured_events
 from .queries import FEATURED, register
@@ -103,6 +104,49 @@ def stream_campaign_decisions(spark, sf_dir):
     return streams.run_available(streams.decisions(stream, WINDOW_US, TTL_US), "campaigns")
 
 
+def bundle_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those incidents with what a bundle keeps: four events as evidence, a type by port, and whether all members' signals are present."""
+    rows = featured_events(spark, sf_dir).withColumns({"job": (F.floor(F.col("event_no") / 250) * 7 % 40).cast("long"), "key": F.concat_ws("|", "src_ip", F.col("dst_port").cast("string"))})
+    few = rows.select("key", "job", "event_id", "action").withColumn("_r", F.row_number().over(W.partitionBy("key", "job").orderBy("event_id"))).where("_r <= 4").groupBy("key", "job").agg(F.array_sort(F.collect_list("event_id")).alias("evidence"))
+    own = arrivals(spark, sf_dir).withColumnRenamed("n", "n_events").join(few, ["key", "job"])
+    place = F.col("job") * 3 % 7
+    return own.withColumns({
+        "now_us": F.col("now_us") + 1_000_000, "place": place, "type": F.concat(F.lit("t"), place.cast("string")), "family": F.concat(F.lit("f"), (place % 2).cast("string")), "entity": F.col("key"), "severity": F.element_at(F.array(*[F.lit(x) for x in bundles.SEVERITY]), (F.col("job") % 5 + 1).cast("int")),
+        "confidence": (F.col("job") % 4).cast("double") / 4, "n_signals": F.col("job") % 3, "complete": F.col("job") % 3 != 1,
+    })
+
+
+_FORGET_US = 400_000_000
+_RANK = "(list_position(['informational', 'low', 'medium', 'high', 'critical'], {x}) - 1)"
+_EVIDENCE = "list_sort(list_concat(list_distinct([{a}[1], {b}[1]]), list_filter(list_sort(list_distinct(list_concat({a}, {b}))), lambda x: x NOT IN ({a}[1], {b}[1]))[1:10 - len(list_distinct([{a}[1], {b}[1]]))]))"
+_BUNDLES = f"""WITH RECURSIVE fe AS MATERIALIZED (SELECT src_ip || '|' || CAST(dst_port AS VARCHAR) AS key, CAST(floor(event_no / 250) AS BIGINT) * 7 % 40 AS job, * FROM {FEATURED}),
+b AS MATERIALIZED (SELECT key, job, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n, list(event_id ORDER BY event_id)[1:4] AS ev, CASE WHEN job >= 30 THEN 'v2' ELSE 'v1' END AS version, job * 100000000 + 1000000 AS now_us, job * 3 % 7 AS place,
+  (['informational', 'low', 'medium', 'high', 'critical'])[job % 5 + 1] AS sev, (job % 4) / 4.0 AS conf, job % 3 AS sig, job % 3 <> 1 AS complete, row_number() OVER (PARTITION BY key ORDER BY job) AS r FROM fe GROUP BY key, job),
+s AS (SELECT key, job, r, 'first' AS d, CAST(1 AS BIGINT) AS g, first_us AS a, last_us AS z, version AS v, now_us + {TTL_US} AS e, place, sev, CAST(conf AS DOUBLE) AS conf, n, CAST(sig AS BIGINT) AS sig, ev, false AS promoted, '' AS changes FROM b WHERE r = 1
+UNION ALL SELECT key, job, r, d, CASE d WHEN 'first' THEN 1 WHEN 'stale' THEN g WHEN 'merge' THEN g ELSE g + 1 END, CASE d WHEN 'stale' THEN a WHEN 'merge' THEN least(a, fu) ELSE fu END, CASE d WHEN 'stale' THEN z WHEN 'merge' THEN greatest(z, lu) ELSE lu END, CASE WHEN d IN ('stale', 'merge') THEN v ELSE version END,
+  CASE WHEN d = 'stale' THEN e ELSE now_us + {TTL_US} END, CASE d WHEN 'stale' THEN place WHEN 'merge' THEN CASE WHEN complete AND p2 < place THEN p2 ELSE place END ELSE p2 END,
+  CASE d WHEN 'stale' THEN sev WHEN 'merge' THEN CASE WHEN up THEN sev2 ELSE sev END ELSE sev2 END, CASE d WHEN 'stale' THEN conf WHEN 'merge' THEN CASE WHEN complete THEN greatest(conf, conf2) ELSE conf END ELSE conf2 END,
+  CASE d WHEN 'stale' THEN n WHEN 'merge' THEN n + n2 ELSE n2 END, CASE d WHEN 'stale' THEN sig WHEN 'merge' THEN sig + sig2 ELSE sig2 END, CASE d WHEN 'stale' THEN ev WHEN 'merge' THEN {_EVIDENCE.format(a='ev', b='ev2')} ELSE ev2 END, d = 'merge' AND complete AND p2 < place,
+  CASE WHEN d = 'merge' THEN concat_ws(',', CASE WHEN n2 > 0 THEN 'events_added' END, CASE WHEN sig2 > 0 THEN 'signals_added' END, CASE WHEN up THEN 'severity_increased' END, CASE WHEN complete AND conf2 > conf THEN 'confidence_changed' END, CASE WHEN complete AND p2 < place THEN 'primary_identity_promoted' END, CASE WHEN fu < a OR lu > z THEN 'time_window_extended' END) ELSE '' END
+FROM (SELECT b.key, b.job, b.r, b.first_us AS fu, b.last_us AS lu, b.version, b.now_us, b.place AS p2, b.sev AS sev2, b.conf AS conf2, b.n AS n2, b.sig AS sig2, b.ev AS ev2, b.complete, b.complete AND {_RANK.format(x='b.sev')} > {_RANK.format(x='s.sev')} AS up, s.g, s.a, s.z, s.v, s.e, s.place, s.sev, s.conf, s.n, s.sig, s.ev,
+  CASE WHEN b.now_us >= s.e + {_FORGET_US} THEN 'first' WHEN b.job % 13 = 5 THEN 'repair' WHEN b.version <> s.v OR s.e <= b.now_us OR b.first_us > s.z + {WINDOW_US} THEN 'new_generation' WHEN b.last_us < s.a - {WINDOW_US} THEN 'stale' ELSE 'merge' END AS d FROM s JOIN b ON b.key = s.key AND b.r = s.r + 1))
+SELECT key, job, key || '-' || CAST(job AS VARCHAR) AS arrival_id, d AS decision, g AS generation, a AS first_us, z AS last_us, 't' || CAST(place AS VARCHAR) AS type, 'f' || CAST(place % 2 AS VARCHAR) AS family, key AS entity, place, sev AS severity, conf AS confidence, n AS n_events, sig AS n_signals, array_to_string(ev, ',') AS evidence, promoted, changes FROM s"""
+
+
+@register("merged_campaigns", _BUNDLES)
+def merged_campaigns(spark, sf_dir):
+    """What each job's incident makes of its campaign's bundle."""
+    return bundles.replay(bundle_arrivals(spark, sf_dir), WINDOW_US, TTL_US, _FORGET_US)
+
+
+@register("stream_merged_campaigns", _BUNDLES)
+def stream_merged_campaigns(spark, sf_dir):
+    """The same by a stateful stream that forgets expired keys."""
+    rows = bundle_arrivals(spark, sf_dir)
+    stream = spark.readStream.schema(rows.schema).parquet(scratch.written(rows, "arrivals"))
+    return streams.run_available(streams.merged(stream, WINDOW_US, TTL_US, _FORGET_US), "bundles")
+
+
 @register("campaign_provenance", f"{_CAMPAIGNS} SELECT key, generation, count(*) AS n_jobs, CAST(max_by(n, job) AS BIGINT) AS current_events, CAST(sum(n) - max_by(n, job) AS BIGINT) AS prior_events FROM s JOIN arrivals USING (key, job) WHERE decision <> 'stale' GROUP BY key, generation")
 def campaign_provenance(spark, sf_dir):
     """How many jobs and events each campaign has, of its last job and of those before."""

@@ -2,8 +2,8 @@
 
 State of a campaign is the state store's, one row a key, and survives a restart from the query's checkpoint. Rows of one key that come in one
 trigger are taken in order of (job, arrival_id); how many that can be is bounded by what a trigger reads (``maxFilesPerTrigger`` of the source).
-Merged campaigns forget keys: arrivals' own clock is the watermark, and when it has passed a state's expiry by ``forget_us`` the state goes. Arrivals must come
-in order of that clock, by trigger; earlier ones than the watermark are dropped.
+Merged campaigns forget keys: arrivals' own clock, less ``late``, is the watermark, and when it has passed a state's expiry by ``forget_us`` the state goes. Triggers must
+come in order of that clock, which begins after the epoch; arrivals that are later than ``late`` are dropped.
 """
 
 from __future__ import annotations
@@ -41,14 +41,13 @@ def decisions(arrivals: DataFrame, window_us: int = campaigns.WINDOW_US, ttl_us:
     return campaigns.usable(arrivals).groupBy("key").applyInPandasWithState(taken, campaigns.DECIDED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def merged(arrivals: DataFrame, window_us: int = campaigns.WINDOW_US, ttl_us: int = campaigns.TTL_US, forget_us: int = campaigns.TTL_US) -> DataFrame:
+def merged(arrivals: DataFrame, window_us: int = campaigns.WINDOW_US, ttl_us: int = campaigns.TTL_US, forget_us: int = campaigns.TTL_US, late: str = "60 seconds") -> DataFrame:
     """A stream of arrivals to a stream of what each makes of its campaign, as ``bundles.replay`` gives it for a table."""
 
     def taken(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in bundles.MERGED.split(", ")]
         if held.hasTimedOut:
             held.remove()
-            yield pd.DataFrame([], columns=names)
             return
         state = None
         if held.exists:
@@ -63,7 +62,7 @@ def merged(arrivals: DataFrame, window_us: int = campaigns.WINDOW_US, ttl_us: in
         held.setTimeoutTimestamp(max((state[0].expires_us + forget_us + 999) // 1000, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
-    known = bundles.usable(arrivals).withColumn("at", F.timestamp_micros("now_us")).withWatermark("at", "0 seconds")
+    known = bundles.usable(arrivals).withColumn("at", F.timestamp_micros("now_us")).withWatermark("at", late)
     return known.groupBy("key").applyInPandasWithState(taken, bundles.MERGED, f"{_STATE}, {_BUNDLE}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
