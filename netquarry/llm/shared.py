@@ -1,4 +1,4 @@
-"""Tables that cut a job's lineage, in the folder that all machines of the cluster share."""
+"""Tables that cut a job's lineage, in the application's folder that all machines of the cluster share; they go when the application ends."""
 
 from __future__ import annotations
 
@@ -7,11 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, the session's warehouse, which a cluster shares as well."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+from ..operators.scratch import folder
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -19,7 +15,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
     by: a column of few values by which the table is partitioned."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/netquarry/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stored, table
+from ..operators.scratch import folder
+from .shared import stored, table
 
 TOKEN_LIMIT = 2048
 #: Words that a task keeps the counts of, and the longest such word.
@@ -160,5 +161,5 @@ def load(spark: SparkSession) -> Model:
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is the folder in spark.netquarry.tokens.cache; where that is unset, each run begins an empty one, so that nothing a run does is owed to an earlier one."""
-    cache = spark.conf.get("spark.netquarry.tokens.cache", None) or f"{shared_folder(spark)}/netquarry/tokens-{uuid.uuid4().hex}"
+    cache = spark.conf.get("spark.netquarry.tokens.cache", None) or f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
     return count_tokens(table(spark, sf_dir, "documents"), load(spark), cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
