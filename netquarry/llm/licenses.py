@@ -4,21 +4,20 @@ A text is cut into passages at blank lines and sentence ends; a passage of sever
 line by line. Passages are bags of word 1-, 2- and 3-grams of a fixed vocabulary
 (those of the templates), and a multinomial logistic regression over these sparse counts gives each licence family, and the
 class of other texts, a probability. A second regression, on the log-odds of the best family over training passages that the
-first has not seen, calibrates it: below 0.5, or if the class of other texts wins, the passage's licence is unknown. Last, the
-passage is compared with the family's templates: as many of its 2-grams must be the template's, or of the template's
-its own, as CONFIRMED says; what isn't confirmed is unknown as well.
+first has not seen, calibrates it. There are two more classes: other texts, and licences that are none of the families. Where other texts win, a passage
+is none. Else it has the licence of its family if that is sure (0.5 at least) and confirmed: as many of its 2-grams must be a template's, or of
+the template's its own, as CONFIRMED says. What is a licence to the model but not sure, not confirmed or of no family is unknown.
 
-Only passages that have one of ANCHORS, or that are like enough to some template to be confirmed, are classified. The others can't be
-confirmed, whatever their family, and without an anchor they don't count as unknown, so their result is "none" all the same. The likeness
-is tested first by a count: each template, and each passage that is compared by its own 2-grams, has at least 3 of these, so at least 2
+Only passages that share vocabulary with the licences are classified: at least 2 of their 2-grams and a share of OVERLAP, or enough of some template to be confirmed. By
+definition others are none. The count is tested first: each template, and each passage that is compared by its own 2-grams, has at least 3 of these, so at least 2
 must be shared; and a line's 2-grams are all those of its passage. No text leaves its row's task but the few passages that are classified.
 
-Training takes the fixed templates, cut into windows, the fixed texts of other kinds, and at most NEGATIVES passages of the
-corpus without an anchor that no template confirms (those with the least hashes, of about 8 * NEGATIVES documents chosen by hash); it learns nothing else from the corpus.
+Training takes the fixed templates, cut into windows, the fixed texts of other kinds, and at most NEGATIVES distinct passages of the
+corpus that share too little to be classified (those with the least hashes, of about 8 * NEGATIVES documents chosen by hash); it learns nothing else from the corpus.
 
 Defined cases: null and empty texts have no passages and the licence "none". Texts are read whole. A document with several licences
-names all, sorted; repeated passages count each time. Repeated rows are judged each for itself; a null doc_id stays. A passage with
-an anchor but without a licence that is found and confirmed counts as unknown. Where a passage of several lines is confirmed whole, its
+names all, sorted; repeated passages count each time. Repeated rows are judged each for itself; a null doc_id stays. Of families that are
+equally likely the first in order is the best. Columns named as those of the result are replaced. Where a passage of several lines is confirmed whole, its
 lines count only for other licences; where not, each line counts, and the whole (as unknown) only if no line does.
 """
 
@@ -97,16 +96,22 @@ TEMPLATES = {
     ],
 }
 OTHER = "other"
-#: Texts with the same words that name no licence of these families.
-OTHERS = [
+#: Licences of no family, and texts with the same words that are no licences.
+UNLISTED = [
     "Licensed under a custom license.", "Released under the terms of an unknown license.", "See the license file for details.", "This work is licensed under the terms stated elsewhere.",
+    "This code may be used, copied, modified and sold by anyone for any purpose at no cost.", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted.",
+    "This software is provided as is, without any express or implied warranty.", "You are free to use this work for any purpose, provided that you give credit to the author.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this document.", "This data may be used for research purposes only and may not be sold.", "Free for personal use, commercial use requires a license from the author.",
+    "Anyone is free to copy, modify, publish, use, compile, sell or distribute this software.", "Use of this software is governed by the terms of the vendor's license agreement.",
+]
+OTHERS = [
     "His driver's license was revoked after the accident.", "The restaurant lost its liquor license last year.", "The copyright office opened a new building.", "She asked for permission to leave the room.",
     "No warranty was given for the used car.", "The shop sells licensed toys and games.", "The redistribution of wealth is a topic of public debate.", "The statue is in the public domain of the city.",
     "You may not use this door except in an emergency.", "The permission slip was signed by the teacher.", "Copyright law protects original works of authors.", "The pilot held a commercial license, version unknown.",
+    "The room may be used by anyone for any purpose at no cost.", "He sold modified copies of the painting to a person of the city.",
 ]
-ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "creative commons", "all rights reserved", "spdx", "gnu ", "cc0", "cc by")
-NEGATIVES, CONFIRMED = 1_000, 0.6
-FAMILIES = (OTHER, *sorted(TEMPLATES))
+NEGATIVES, CONFIRMED, OVERLAP = 1_000, 0.6, 0.4
+FAMILIES = (OTHER, *sorted(TEMPLATES), "unknown")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,13 +119,6 @@ def passages(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"\n\s*\n\s*|(?<=[.!?;])\s+")
 
 
-def anchored(text: Column) -> Column:
-    found = text.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        found = found | text.contains(a)
-    return found
-
-
 def words_of(passage: Column) -> Column:
     return F.array_remove(F.split(passage, r"[^a-z0-9.\u0080-￿]+|\.+(?![a-z0-9])|(?<![a-z0-9])\.+"), "")
 
@@ -135,10 +133,10 @@ def pairs(words: Column) -> Column:
 
 
 def _template_pairs() -> list[list[str]]:
-    """Each fixed template's distinct 2-grams, by the rules of words_of."""
+    """Each fixed template's distinct 2-grams, by the rules of words_of; those of licences of no family come last."""
     word = re.compile(r"[^a-z0-9.\u0080-\uffff]+|\.+(?![a-z0-9])|(?<![a-z0-9])\.+")
     out = []
-    for text in (t for ts in TEMPLATES.values() for t in ts):
+    for text in (t for ts in (*TEMPLATES.values(), UNLISTED) for t in ts):
         words = [w for w in word.split(text.lower()) if w]
         out.append(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}))
     return out
@@ -150,12 +148,17 @@ def shares(own: Column, shared: Column, template: Column) -> Column:
     return F.greatest(share(template), F.when(F.size(own) >= 3, share(own)).otherwise(0.0))
 
 
+def overlaps(own: Column, shared: Column) -> Column:
+    """Whether a passage shares enough with the licences to be unknown."""
+    return (F.size(shared) >= 2) & (F.size(shared) >= OVERLAP * F.size(own))
+
+
 def candidates(text: Column, gated: bool = True) -> Column:
-    """Of a text, an array of (passage, unit: its number, line: 0 for the whole): those that can be confirmed or have an anchor.
+    """Of a text, an array of (passage, unit: its number, line: 0 for the whole): those that can be confirmed or share enough with the licences.
     gated: without it, all that aren't empty."""
     templates = _template_pairs()
     known = sorted({g for t in templates for g in t})
-    listed = F.array(*[F.array(*[F.lit(g) for g in t]) for t in templates])
+    listed = F.array(*[F.array(*[F.lit(g) for g in t]) for t in templates[: -len(UNLISTED)]])
     one_line = lambda p: F.translate(p, "\n", " ")
 
     def with_pairs(parts: Column) -> Column:
@@ -164,10 +167,10 @@ def candidates(text: Column, gated: bool = True) -> Column:
         return F.transform(own, lambda y: F.struct(y["x"].alias("x"), F.array_compact(y["own"]).alias("own"), F.filter(y["own"], lambda g: g.isin(known)).alias("shared")))
 
     def few(y: Column) -> Column:
-        return anchored(y["x"]["passage"]) | (F.size(y["shared"]) >= 2)
+        return F.size(y["shared"]) >= 2
 
     def exact(y: Column) -> Column:
-        return anchored(y["x"]["passage"]) | F.when(F.size(y["shared"]) >= 2, F.exists(listed, lambda t: shares(y["own"], y["shared"], t) >= CONFIRMED)).otherwise(False)
+        return F.when(F.size(y["shared"]) >= 2, overlaps(y["own"], y["shared"]) | F.exists(listed, lambda t: shares(y["own"], y["shared"], t) >= CONFIRMED)).otherwise(False)
 
     whole = F.transform(passages(text), lambda p, u: F.struct(one_line(p).alias("passage"), p.alias("raw"), u.alias("unit")))
     whole = F.filter(with_pairs(whole), few) if gated else F.transform(whole, lambda x: F.struct(x.alias("x")))
@@ -211,7 +214,7 @@ def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """(label: family number, words, whole, weight): the templates and their windows, texts of other kinds, passages of the corpus
     that are no candidates (bounded). Families weigh the same together; whole templates (which are never kept for calibration) weigh more than windows."""
     spark = docs.sparkSession
-    fixed = [(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts] + [(0, t) for t in OTHERS]
+    fixed = [(FAMILIES.index(f), t) for f, ts in (*TEMPLATES.items(), ("unknown", UNLISTED)) for t in ts] + [(0, t) for t in OTHERS]
     rows = spark.createDataFrame(fixed, "label int, text string").select("label", words_of(F.translate("text", _UPPER, _LOWER)).alias("words"))
     size = F.explode(F.filter(F.array(*[F.lit(n) for n in (5, 8, 12, 18)]), lambda n: n < F.size("words")))
     cut = rows.select("label", "words", size.alias("n")).select("label", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at")).select("label", F.slice("words", F.col("at"), F.col("n")).alias("words"))
@@ -219,7 +222,7 @@ def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     cut = cut.groupBy("words").agg(F.min("label").alias("label"), F.max("label").alias("_hi")).select(F.when(F.col("label") == F.col("_hi"), F.col("label")).otherwise(0).alias("label"), "words")
     some = thinned(docs.select("text"), F.col("text"), negatives)
     found = some.select(passages(F.col("text")).alias("_all"), F.transform(F.filter(candidates(F.col("text")), lambda x: x["line"] == 0), lambda x: x["passage"]).alias("_found"))
-    plain = found.select(F.explode(F.array_except(F.transform("_all", lambda p: F.translate(p, "\n", " ")), "_found")).alias("p")).where(F.length("p") > 0).orderBy(F.xxhash64("p"), "p").limit(negatives)
+    plain = found.select(F.explode(F.array_except(F.transform("_all", lambda p: F.translate(p, "\n", " ")), "_found")).alias("p")).where(F.length("p") > 0).distinct().orderBy(F.xxhash64("p"), "p").limit(negatives)
     out = rows.withColumn("whole", F.lit(True)).unionByName(cut.unionByName(plain.select(F.lit(0).alias("label"), words_of(F.col("p")).alias("words"))).withColumn("whole", F.lit(False)))
     out = out.withColumn("weight", F.when(F.col("whole"), 8.0).otherwise(1.0))
     share = out.groupBy("label").agg(F.sum("weight").alias("_all"))  # one row for each family
@@ -228,7 +231,7 @@ def training(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
 
 def learn(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
     spark = docs.sparkSession
-    known = spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "text string").select(words_of(F.translate("text", _UPPER, _LOWER)).alias("words"))
+    known = spark.createDataFrame([(t,) for ts in (*TEMPLATES.values(), UNLISTED) for t in ts], "text string").select(words_of(F.translate("text", _UPPER, _LOWER)).alias("words"))
     terms = sorted(r[0] for r in known.select(F.explode(features(F.col("words"))).alias("g")).distinct().collect())  # of the fixed templates
     vocabulary = CountVectorizerModel.from_vocabulary(terms, "_grams", "_counts")
     rows = training(docs, negatives).withColumn("kept", ~F.col("whole") & (F.pmod(F.xxhash64("words"), F.lit(4)) == 0)).cache()
@@ -246,7 +249,7 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
 
 def scan_licenses(docs: DataFrame, model: Model, text: str = "text", gated: bool = True) -> DataFrame:
     """One row for each passage that is classified, and one for each row without any: the columns of docs, row (a key of the input row), passage,
-    family (the licence, "unknown", or null where the passage does not count), confidence (calibrated), likeness (to the family's templates)."""
+    family (the licence, "unknown" where the model sees a licence that it can't name for sure, or null where the passage does not count), confidence (calibrated), likeness (to the family's templates)."""
     spark = docs.sparkSession
     each = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("_c", F.explode_outer(candidates(F.col(text), gated)))
     each = each.withColumns({"passage": F.col("_c.passage"), "_unit": F.col("_c.unit"), "_line": F.col("_c.line")}).drop("_c")
@@ -254,11 +257,13 @@ def scan_licenses(docs: DataFrame, model: Model, text: str = "text", gated: bool
     known = spark.createDataFrame([(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts], "best int, t string")
     known = known.groupBy("best").agg(F.collect_list(pairs(words_of(F.translate("t", _UPPER, _LOWER)))).alias("_templates"))  # a dozen rows
     each = each.withColumn("_own", pairs(F.col("words"))).join(F.broadcast(known), "best", "left")
-    likeness = F.when(F.col("passage").isNotNull(), F.array_max(F.transform("_templates", lambda t: shares(F.col("_own"), F.col("_own"), t))))
+    likeness = F.when(F.col("passage").isNotNull(), F.coalesce(F.array_max(F.transform("_templates", lambda t: shares(F.col("_own"), F.col("_own"), t))), F.lit(0.0)))
+    vocabulary = F.filter("_own", lambda g: g.isin(sorted({g for t in _template_pairs() for g in t})))
     each = each.withColumns({"likeness": likeness, "confidence": F.when(F.col("passage").isNotNull(), 1 / (1 + F.exp(-(model.slope * _log_odds(F.col("p_best")) + model.intercept))))})
-    sure = (F.col("p_best") > F.col("p_other")) & (F.col("confidence") >= 0.5) & (F.col("likeness") >= CONFIRMED)
+    licence = F.col("p_best") > F.col("p_other")
+    sure = licence & (F.col("best") < len(FAMILIES) - 1) & (F.col("confidence") >= 0.5) & (F.col("likeness") >= CONFIRMED)
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    family = F.when(F.col("passage").isNotNull(), F.when(sure, F.get(names, F.col("best"))).when(anchored(F.col("passage")), "unknown"))
+    family = F.when(F.col("passage").isNotNull(), F.when(sure, F.get(names, F.col("best"))).when(licence & overlaps(F.col("_own"), vocabulary), "unknown"))
     each = each.withColumn("family", family).drop("words", "best", "p_best", "p_other", "_own", "_templates")
     unit = W.partitionBy("row", "_unit")
     of_whole = F.max(F.when((F.col("_line") == 0) & (F.col("family") != "unknown"), F.col("family"))).over(unit)

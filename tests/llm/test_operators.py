@@ -49,7 +49,7 @@ def test_licenses(spark):
     found = licenses.scan_licenses(df, licenses.learn(df)).groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("family")).alias("f")).collect()
     assert len(found) == len(rows)
     got = {r.doc_id: r.f for r in found}
-    assert got[1] == ["mit"] and got[2] == ["apache-2.0"] and got[3] == ["unknown"] and got[4] == got[5] == got[6] == got[None] == [] and got[7] == ["cc-by-nc-4.0", "gpl-3.0"]
+    assert got[1] == ["mit"] and got[2] == ["apache-2.0"] and got[3] == [] and got[4] == got[5] == got[6] == got[None] == [] and got[7] == ["cc-by-nc-4.0", "gpl-3.0"]
     assert licenses.scan_licenses(df.limit(0), licenses.learn(df)).count() == 0
 
 
@@ -63,10 +63,21 @@ def test_hyphenated_and_wrapped_licenses_are_those_of_an_ungated_run(spark):
     got = found(True)
     assert got == found(False)
     of = {i: {f for d, _, f, _ in got if d == i} for i, _ in rows}
-    assert of == {1: {"cc-by-sa-4.0"}, 2: {"mit"}, 3: {"mit"}, 4: {"cc0-1.0"}, 5: {"mit", "gpl-3.0"}, 6: set(), 7: {"unknown"}, 8: set(), 9: set()}
+    assert of == {1: {"cc-by-sa-4.0"}, 2: {"mit"}, 3: {"mit"}, 4: {"cc0-1.0"}, 5: {"mit", "gpl-3.0"}, 6: set(), 7: set(), 8: set(), 9: set()}
     assert len([1 for d, *_ in got if d == 2]) == 1
 
 
+def test_the_model_tells_unlisted_licences_from_other_texts(spark):
+    none = [*licenses.OTHERS, "The driver asked for a warranty and a license.", "Permission was given to the teacher after the accident.", sentence(40)]
+    unknown = ["This code may be used, copied, modified and sold by anyone at no cost.", "This program may be used, copied, modified and sold by anyone for any purpose.", "Licensed under a custom license.", "Permission to use, copy, modify and distribute this program for any purpose is hereby granted."]
+    rows = [(i, x) for i, x in enumerate(none + unknown)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("passage", "words", "best", "p_best", "p_other", "family", "likeness")})
+    got = licenses.scan_licenses(df, licenses.learn(df))
+    of = {r.doc_id: r.family for r in got.where("family IS NOT NULL").collect()}
+    assert of == {len(none) + i: "unknown" for i in range(len(unknown))}, {rows[i][1]: f for i, f in of.items()}
+    assert not any(w in x.lower() for x in unknown[:2] for w in ("licen", "permission", "warrant", "copyright"))
+
+
 # --- Decontamination
 
 
