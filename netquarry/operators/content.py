@@ -1,4 +1,6 @@
-"""Content detectors and entity extraction over text columns: regular expressions of the JVM, one pass, no shuffle but for distinct."""
+"""Content detectors and entity extraction over text columns: regular expressions of the JVM, one pass, no shuffle but for distinct.
+
+Defined cases: null texts have nothing; repeated rows each count; texts of any length are read whole; other columns are not read. No rows: no result."""
 
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ PATTERNS = {
     "lateral_movement": (r"(?i)PSEXESVC", r"(?i)IPC\$"),
     "backup": (r"(?i)backup_agent\.exe",),
 }
+#: The patterns of entities.
 ENTITIES = {
     "ip": r"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3})\b",
     "hash": r"\b([A-Fa-f0-9]{32,64})\b",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ranks of severities in searches.
 SEARCH_RANK = {"none": 0, "informational": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
 
 

@@ -184,15 +184,14 @@ def _incidents(rows: DataFrame) -> DataFrame:
     return rows.groupBy("incident_id", "job_id", "status", "job_status").agg(F.max("ts_us").alias("at_us"))
 
 
-@register("status_transitions", f"""WITH e AS (SELECT incident_id, asked, status, CASE WHEN event_no % 80 < 40 THEN 3 ELSE 1 END AS version FROM {_STORE} WHERE event_no % 40 = 7),
+@register("status_transitions", f"""WITH e AS (SELECT incident_id, arg_max(asked, event_no) AS asked, any_value(status) AS status, CASE WHEN min(event_no) % 80 < 40 THEN 3 ELSE 1 END AS version FROM {_STORE} GROUP BY incident_id),
 f(old, new) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, following in lifecycle.FOLLOWING.items() for b in following)})
 SELECT incident_id, status AS old_status, asked AS new_status, CASE WHEN status = asked THEN 'unchanged' WHEN new IS NOT NULL THEN 'changed' ELSE 'refused' END AS outcome, CASE WHEN new IS NOT NULL THEN asked ELSE status END AS status,
 CAST(version + CASE WHEN new IS NOT NULL THEN 1 ELSE 0 END AS INT) AS version FROM e LEFT JOIN f ON old = status AND new = asked""")
 def status_transitions(spark, sf_dir):
-    """Requests for another status and what comes of them."""
-    rows = _store(spark, sf_dir).where("event_no % 40 = 7")  # one row stands for each incident
-    found = rows.select("incident_id", "status", F.when(F.col("event_no") % 80 < 40, 3).otherwise(1).alias("version"))
-    return lifecycle.transitions(found, rows.select("incident_id", F.col("asked").alias("new_status")))
+    """The last request of each incident for another status and what comes of it."""
+    rows = _store(spark, sf_dir).groupBy("incident_id").agg(F.first("status", ignorenulls=True).alias("status"), F.when(F.min("event_no") % 80 < 40, 3).otherwise(1).alias("version"), F.max_by("asked", "event_no").alias("new_status"))
+    return lifecycle.transitions(rows.select("incident_id", "status", "version"), rows.select("incident_id", "new_status"))
 
 
 @register("source_offsets", f"SELECT incident_id, CASE WHEN count(DISTINCT zone) = 1 AND regexp_matches(min(zone), '^[+-]([01][0-9]|2[0-3]):[0-5][0-9]$') THEN min(zone) END AS \"offset\" FROM {_STORE} GROUP BY incident_id")
@@ -209,7 +208,8 @@ def identity_conflicts(spark, sf_dir):
     return lifecycle.conflicts(canonical_events(spark, sf_dir), again, "event_id", ["src_ip", "dst_port", "inbound_zone"])
 
 
-_AS_OF = {entity: days * lifecycle.DAY_US + 600_000_000 for entity, days in lifecycle.KEPT_DAYS.items()}
+#: Rows of the first three fifths of the table's time are aged.
+_AGED = "(SELECT max(ts_us) * 3 // 5 FROM e)"
 #: Of each entity in SQL: rows (id, at), whether its own status is final, and what open rows protect.
 _OPEN, _OPEN_JOB = "coalesce(status, '') NOT IN ('resolved', 'closed')", "coalesce(job_status, '') <> 'completed'"
 _ENTITIES = {
@@ -221,13 +221,14 @@ _ENTITIES = {
 }
 _HOLDS = "holds AS MATERIALIZED (SELECT unnest([event_id, incident_id, job_id, 'A-' || event_id]) AS id, released_us, until_us FROM e WHERE event_no % 97 = 0 OR event_no % 89 = 0)"
 _RETENTION = f"WITH e AS MATERIALIZED (SELECT * FROM {_STORE}), {_HOLDS}, r AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS entity, id, {final} AS final, id IN ({guard}) IS TRUE AS guarded, id IN (SELECT id FROM holds WHERE released_us IS NULL AND (until_us IS NULL OR until_us > {_AS_OF[name]})) AS kept FROM ({rows}) WHERE at_us < 600000000"
+    f"SELECT '{name}' AS entity, id, {final} AS final, id IN ({guard}) IS TRUE AS guarded, id IN (SELECT id FROM holds WHERE released_us IS NULL AND (until_us IS NULL OR until_us > {lifecycle.KEPT_DAYS[name] * lifecycle.DAY_US} + {_AGED})) AS kept FROM ({rows}) WHERE at_us < {_AGED}"
     for name, (rows, final, guard) in _ENTITIES.items()
 ) + ")"
 
 
 def _retention(spark, sf_dir) -> DataFrame:
     rows = scratch.stored(_store(spark, sf_dir), "store")
+    aged = rows.agg(F.expr("max(ts_us) * 3 div 5")).first()[0] or 0
     named = F.explode(F.array("event_id", "incident_id", "job_id", F.concat(F.lit("A-"), "event_id")))
     marked = rows.where("event_no % 97 = 0 OR event_no % 89 = 0").select(named.alias("id"), "released_us", "until_us")
     holds = marked.withColumn("entity", F.explode(F.array(*[F.lit(x) for x in lifecycle.KEPT_DAYS])))
@@ -243,7 +244,7 @@ def _retention(spark, sf_dir) -> DataFrame:
     )
     out = None
     for entity, table, key, time, guards, status in each:
-        part = lifecycle.retention(table, entity, key, time, _AS_OF[entity], holds, guards, status)
+        part = lifecycle.retention(table, entity, key, time, aged + lifecycle.KEPT_DAYS[entity] * lifecycle.DAY_US, holds, guards, status)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -254,12 +255,12 @@ def retention_classes(spark, sf_dir):
     return _retention(spark, sf_dir)
 
 
-@register("cleanup_verdicts", f"""{_RETENTION}, asked AS (SELECT DISTINCT CASE WHEN event_no % 11 = 0 THEN 'X-' ELSE '' END || event_id AS id, event_no FROM e WHERE ts_us < 900000000)
+@register("cleanup_verdicts", f"""{_RETENTION}, asked AS (SELECT DISTINCT CASE WHEN event_no % 11 = 0 THEN 'X-' ELSE '' END || event_id AS id, event_no FROM e)
 SELECT id, CASE WHEN id NOT IN (SELECT event_id FROM e) THEN 'missing' WHEN id NOT IN (SELECT id FROM r WHERE entity = 'canonical_event' AND NOT guarded AND NOT kept) THEN 'not_eligible' WHEN event_no % 5 = 0 THEN 'not_archived' WHEN event_no % 7 = 0 THEN 'referenced' ELSE 'delete' END AS verdict FROM asked""")
 def cleanup_verdicts(spark, sf_dir):
     """What becomes of events that are to be deleted."""
     rows = _store(spark, sf_dir)
-    asked = rows.where("ts_us < 900000000").select(F.concat(F.when(F.col("event_no") % 11 == 0, "X-").otherwise(""), "event_id").alias("id"))
+    asked = rows.select(F.concat(F.when(F.col("event_no") % 11 == 0, "X-").otherwise(""), "event_id").alias("id"))
     may_go = _retention(spark, sf_dir).where("entity = 'canonical_event' AND candidate")
     of = lambda when: rows.where(when).select(F.col("event_id").alias("id"))
     return lifecycle.cleanup(asked, of("true"), may_go, of("event_no % 5 <> 0"), of("event_no % 7 = 0"))

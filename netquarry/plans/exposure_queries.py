@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.features import features_sql
 from ..operators import exposure, scratch
 from .incident_queries import _ENDS, _NAT, _RELATED
-from .lowering import featured_events
-from .queries import FEATURED, register
+from .lowering import COLUMNS, canonical_sql, featured_events
+from .queries import register
 
+#: A mapping with a pause of 400 seconds after each 200.
+_PAUSED = COLUMNS | {"ts_us": "CAST(floor(no / 10) AS BIGINT) * 1000000 + CAST(floor(no / 2000) AS BIGINT) * 400000000"}
+FEATURED = features_sql(canonical_sql(_PAUSED))
 _STRETCH = "CAST(floor(ts_us / 50000000) AS BIGINT)"
 _ID = f"'EXP-' || src_ip || '-' || CAST(eff_port AS {{string}}) || '-' || CAST({_STRETCH} AS {{string}}) || CASE WHEN {_STRETCH} % 3 = 0 THEN '' WHEN allowed THEN '-a' ELSE '-b' END"
-_MINE = f"sensitive_service IS NOT NULL AND {_STRETCH} % 12 < 4"
+_MINE = "sensitive_service IS NOT NULL"
 _TOLD = "CASE WHEN eff_port % 2 = 0 THEN 'low' ELSE 'critical' END"
 _FACTS = f"""WITH facts AS MATERIALIZED (SELECT {_ID.replace('{string}', 'VARCHAR')} AS incident_id, *, {_TOLD} AS severity FROM {FEATURED} WHERE {_MINE}),
 incidents AS MATERIALIZED (SELECT incident_id, severity AS told, min(ts_us) AS first_us, max(ts_us) AS last_us, 0.5::DOUBLE + CAST(count(*) % 40 AS DOUBLE) / 100 AS confidence, count(*) AS n_events, count(*) FILTER (WHERE allowed) AS n_allowed, count(*) FILTER (WHERE blocked) AS n_blocked FROM facts GROUP BY incident_id, severity),
@@ -26,7 +30,7 @@ n_events, n_allowed, n_blocked, nat_observed, service, CASE WHEN critical THEN '
 
 
 def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = featured_events(spark, sf_dir).where(_MINE).select(F.expr(_ID.replace("{string}", "STRING")).alias("incident_id"), "*", F.expr(_TOLD).alias("severity"), F.lit("firewall_exposure").alias("family"))
+    rows = featured_events(spark, sf_dir, _PAUSED).where(_MINE).select(F.expr(_ID.replace("{string}", "STRING")).alias("incident_id"), "*", F.expr(_TOLD).alias("severity"), F.lit("firewall_exposure").alias("family"))
     rows = scratch.stored(rows, "exposures")
     return rows, rows.groupBy("incident_id", "family", "severity").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), (0.5 + (F.count("*") % 40).cast("double") / 100).alias("confidence"))
 

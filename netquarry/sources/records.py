@@ -21,6 +21,7 @@ ALIASES = {
     "time": ("timestamp", "time", "event_time", "event.created", "start", "@timestamp"),
     "action": ("action", "event_action", "disposition", "status", "deviceAction"),
 }
+#: Letters and names of flags, and protocols.
 FLAGS = {"F": "FIN", "S": "SYN", "R": "RST", "P": "PSH", "A": "ACK", "U": "URG", "E": "ECE", "W": "CWR"}
 PROTOCOLS = ("tcp", "udp", "icmp", "icmpv6", "gre", "esp", "ah")
 _CEF = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
