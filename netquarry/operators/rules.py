@@ -265,7 +265,7 @@ def rule_sql(rule: Rule, featured: str, marks: dict[str, str] | None = None) ->
         keys.append("dst_port")
     if rule.kind == "group":
         agg += f", count(*) FILTER (WHERE b.allowed) AS ok, count(*) FILTER (WHERE b.{_SENSITIVE}) AS x"
-        joined = f"SELECT {', '.join(f'b.{k}' for k in keys)}, max_by(b.event_id, b.event_no) AS event_id, max(b.ts_us) AS ts_us, {agg} FROM f b GROUP BY {', '.join(f'b.{k}' for k in keys)}"
+        joined = f"SELECT {', '.join(f'b.{k}' for k in keys)}, max_by(b.event_id, (b.ts_us, b.event_id)) AS event_id, max(b.ts_us) AS ts_us, {agg} FROM f b GROUP BY {', '.join(f'b.{k}' for k in keys)}"
     else:
         order = "b.bl AND (b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id < a.event_id))" if sequence else "b.ts_us < a.ts_us OR (b.ts_us = a.ts_us AND b.event_id <= a.event_id)"
         same = " AND ".join(f"a.key{i} IS NOT DISTINCT FROM b.key{i}" for i in range(len(rule.key)))

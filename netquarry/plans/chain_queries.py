@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import features_sql, with_features
 from ..operators import campaigns, entrance, profiles, rules, scratch, selection, signals, suppression
+from ..sources import containers, records
 from .lowering import COLUMNS, canonical_events, canonical_sql
 from .queries import raw_sql, register
 
@@ -55,7 +58,9 @@ def _members_sql(rule: rules.Rule) -> str:
 _NAMES = [n for tier in signals.PRECEDENCE for n in tier]
 _FAMILIES = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.family}'" for r in rules.RULES) + " END"
 _LEVEL = "list_position(['informational', 'low', 'medium', 'high', 'critical'], severity)"
-_BASE = f"""WITH RECURSIVE featured AS MATERIALIZED (SELECT * FROM {features_sql(_FIRST)}),
+def _base(source: str) -> str:
+    """Tables of the chain, for DuckDB, over canonical events that rules may see."""
+    return f"""WITH RECURSIVE featured AS MATERIALIZED (SELECT * FROM {features_sql(source)}),
 raw AS MATERIALIZED (SELECT *, {_REASON} AS reason FROM ({raw_sql(_MARKS)})),
 named AS (SELECT *, 'SIG-' || upper(substr(sha256(concat_ws('|', rule, '1.0.0', entity, CASE WHEN n_merged > 1 THEN 'merged ' ELSE '' END || corr, first_us, first_id, last_us, event_id)), 1, 12)) AS signal_id FROM ({signals.merge_sql('SELECT * FROM raw WHERE reason IS NULL')})),
 merged AS MATERIALIZED (SELECT *, {_FAMILIES} AS family, coalesce(list_position({_NAMES}, rule), {len(_NAMES) + 1}) AS place, {_LEVEL} AS level FROM named),
@@ -75,6 +80,9 @@ st AS (SELECT 0 AS round, signal_id, CASE WHEN signal_id NOT IN (SELECT signal_i
 clusters AS MATERIALIZED (SELECT signal_id, anchor_id FROM st WHERE round = (SELECT max(round) FROM st))"""
 
 
+_BASE = _base(_FIRST)
+
+
 @register("suppressed_by_rule", f"WITH featured AS MATERIALIZED (SELECT * FROM {features_sql(_FIRST)}) SELECT rule, reason, count(*) AS n, count(DISTINCT entity) AS n_entities, min(first_us) AS first_us, max(last_us) AS last_us FROM (SELECT *, {_REASON} AS reason FROM ({raw_sql(_MARKS)})) GROUP BY rule, reason")
 def suppressed_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many raw signals of each rule are suppressed, and why (null: not)."""
@@ -82,8 +90,7 @@ def suppressed_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_entities"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
-@register("incidents", f"""{_BASE},
-mine AS (SELECT c.anchor_id, m.* FROM clusters c JOIN own m USING (signal_id)),
+_INCIDENTS = f"""mine AS (SELECT c.anchor_id, m.* FROM clusters c JOIN own m USING (signal_id)),
 best AS (SELECT anchor_id, round(avg(confidence), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY confidence DESC, signal_id) AS r FROM mine) WHERE r <= 3 GROUP BY anchor_id),
 span AS (SELECT anchor_id, min(first_us) AS first_us, max(last_us) AS last_us, count(*) AS n_signals, max(level) - 1 AS level FROM mine GROUP BY anchor_id),
 seen AS (SELECT anchor_id, event_id, bool_or(signal_id = anchor_id) AS anchors FROM bridge JOIN clusters USING (signal_id) GROUP BY anchor_id, event_id),
@@ -95,7 +102,10 @@ judged AS (SELECT o.rule, o.family, o.entity, s.*, f.* EXCLUDE (anchor_id), p.po
 SELECT 'INC-' || substr(anchor_id, 5, 12) AS incident_id, rule, family, entity, CASE WHEN family IN ('firewall_exposure', 'firewall_policy') THEN coalesce(asset, entity) ELSE entity END AS primary_entity, coalesce(source, entity) AS title_source, first_us, last_us, n_signals, n_events,
   n_allowed, n_blocked, n_dst, n_targets, confidence,
   (['informational', 'low', 'medium', 'high', 'critical'])[1 + CASE WHEN family IN ('network_anomaly', 'network_dos') THEN least(4, level + volume) WHEN n_allowed = 0 AND family IN ('network_scanning', 'service_probing', 'lateral_movement_candidate') THEN CASE WHEN n_dst >= 25 THEN 2 ELSE 1 END
-    WHEN n_allowed > 0 THEN least(4, CASE WHEN critical > 0 THEN 4 WHEN ports > 0 THEN 3 ELSE 2 END + CAST(n_dst <= 2 AND ports >= 2 AS INT) + volume) ELSE 1 END] AS severity FROM judged""")
+    WHEN n_allowed > 0 THEN least(4, CASE WHEN critical > 0 THEN 4 WHEN ports > 0 THEN 3 ELSE 2 END + CAST(n_dst <= 2 AND ports >= 2 AS INT) + volume) ELSE 1 END] AS severity FROM judged"""
+
+
+@register("incidents", f"{_BASE}, {_INCIDENTS}")
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents of all rules' active signals, before overlapping ones are merged."""
     events = eligible(spark, sf_dir)
@@ -199,3 +209,78 @@ def selected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = found["bridge"].select("signal_id", "event_id").join(found["first_clusters"], "signal_id").select(F.concat(F.lit("INC-"), F.substring("anchor_id", 5, 12)).alias("incident_id"), "event_id").distinct()
     held = held.join(events.select("event_id", "ts_us", (F.col("event_no") % 3 == 0).alias("current")), "event_id")
     return selection.chosen_events(held, 5)
+
+
+_TEXT = """'"' || CAST({x} AS {string}) || '"'"""
+_FIELDS = {
+    "start": "CAST(ts_us / 1000000 AS BIGINT)", "src": "CASE WHEN parse_status = 'semantically_invalid' THEN '999.1.1.1' ELSE src_ip END", "dst": "dst_ip", "sourcePort": "src_port", "destinationPort": "dst_port", "proto": "protocol", "deviceAction": "action",
+    "deviceActionReason": "action_reason", "tcpFlags": "tcp_flags", "deviceInboundZone": "inbound_zone", "deviceOutboundZone": "outbound_zone", "destinationTranslatedAddress": "translated_dst_ip", "packets": "event_no % 5 + 1", "bytes": "event_no % 5 * 60 + 60", "id": "event_no",
+}
+#: Firewall lines of the chain's events, in SQL that Spark and DuckDB share; some are no records, and some name no address.
+_RAW = "CASE WHEN parse_status = 'failed' THEN 'garbage line ' || CAST(event_no AS {string}) ELSE '{' || " + " || ',' || ".join(f"""'"{name}":' || coalesce({_TEXT.replace('{x}', sql)}, 'null')""" for name, sql in _FIELDS.items()) + " || '}' END"
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, raw, event_no): a line for each event; every twentieth came twice."""
+    rows = canonical_events(spark, sf_dir, CHAIN | {"event_id": "CAST(no AS {string})"})
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("event_no") % 20 == 0, 2).otherwise(1)))
+    return scratch.stored(rows.select(F.lit("lines").alias("source"), F.expr(_RAW.replace("{string}", "STRING")).alias("raw"), "event_no", twice.alias("_n")).drop("_n"), "lines")  # what files would hold
+
+
+_LINES = f"(SELECT *, {_RAW.replace('{string}', 'VARCHAR')} AS raw FROM {canonical_sql(CHAIN | {'event_id': 'CAST(no AS {string})'})})"
+_PARSED = f"(SELECT * EXCLUDE (raw) REPLACE ('EVT-' || substr(sha256('lines'), 1, 8) || '-' || substr(sha256(raw), 1, 16) AS event_id, 'tcp' AS protocol) FROM {_LINES} WHERE parse_status = 'parsed')"
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found, failures = records.parse(raw_lines(spark, sf_dir))
+    found = scratch.stored(found, "parsed")  # each event is parsed once
+    return found.withColumns({"ts_us": F.unix_micros("ts"), "safe_message_excerpt": F.lit(""), "event_outcome": F.lit(None).cast("string"), "parse_status": F.lit("parsed"), "raw_record_hash": F.col("event_id")}), failures
+
+
+@register("parsed_events", f"SELECT event_id, event_no, ts_us, src_ip, dst_ip, src_port, dst_port, protocol, action, action_reason, tcp_flags, inbound_zone, outbound_zone, translated_dst_ip, event_no % 5 + 1 AS packets, event_no % 5 * 60 + 60 AS bytes, CASE WHEN event_no % 20 = 0 THEN 2 ELSE 1 END AS n_lines FROM {_PARSED}")
+def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firewall lines to canonical events, and how many lines each came in."""
+    names = ("event_id", "event_no", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "action_reason", "tcp_flags", "inbound_zone", "outbound_zone", "translated_dst_ip", "packets", "bytes")
+    return _parsed(spark, sf_dir)[0].groupBy(*names).agg(F.count("*").cast("int").alias("n_lines"))
+
+
+@register("ingestion_counts", f"""WITH l AS (SELECT parse_status, ts_us, CASE WHEN event_no % 20 = 0 THEN 2 ELSE 1 END AS n FROM {_LINES})
+SELECT CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) FILTER (WHERE parse_status = 'parsed') AS BIGINT) AS n_parsed, CAST(sum(n) FILTER (WHERE parse_status = 'failed') AS BIGINT) AS n_unsupported, CAST(sum(n) FILTER (WHERE parse_status = 'semantically_invalid') AS BIGINT) AS n_invalid, CAST(sum(n - 1) FILTER (WHERE parse_status = 'parsed') AS BIGINT) AS n_repeated, count(*) FILTER (WHERE parse_status = 'parsed' AND ts_us IS NOT NULL) AS n_eligible FROM l""")
+def ingestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the lines: parsed, refused and why, repeated, seen by the rules."""
+    found, failures = _parsed(spark, sf_dir)
+    once = found.groupBy("event_id").agg(F.count("*").alias("n"), F.max(F.col("ts_us").isNotNull()).alias("timed"))  # equal lines have one id
+    a = once.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_parsed"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"), F.count_if("timed").alias("n_eligible"))
+    b = failures.agg(F.count_if(F.col("reason") == "unsupported").alias("n_unsupported"), F.count_if(F.col("reason") == "semantically_invalid").alias("n_invalid"), F.count("*").alias("n_bad"))
+    return a.join(b).select((F.col("n_parsed") + F.col("n_bad")).alias("n_lines"), "n_parsed", "n_unsupported", "n_invalid", "n_repeated", "n_eligible")  # two rows of totals
+
+
+@register("raw_incidents", f"{_base(f'(SELECT * FROM {_PARSED} WHERE ts_us IS NOT NULL)')}, {_INCIDENTS}")
+def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: raw lines, parsing, first records, eligibility, rules, suppression, incidents."""
+    rows = _parsed(spark, sf_dir)[0]
+    events = scratch.stored(with_features(entrance.eligible(entrance.first_records(rows, F.col("event_no")))), "featured")
+    found = signals.correlated(events, policy=POLICY)
+    return signals.incidents(found["merged"], found["first_clusters"], found["bridge"], events)
+
+
+#: Records of several shapes, with braces, quotes and escapes in their texts, in SQL that Spark and DuckDB share.
+_RECORD = """CASE no % 4 WHEN 0 THEN '{"user":' || CAST(user_id AS {string}) || ',"msg":"a } ' || chr(92) || '" { ] , b"}' WHEN 1 THEN '{"props":{"k":' || CAST(k AS {string}) || ',"deep":{"a":{"b":{"c":1}}}},"tags":["x}",{"y":1}],"ok":true}'
+WHEN 2 THEN '{"type":"' || event_type || '","none":null,"half":0.5}' ELSE '{}' END"""
+_GROUP = 200
+
+
+def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("no"), "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@register("container_fingerprints", """SELECT CASE event_id % 4 WHEN 0 THEN 'msg:str,user:int' WHEN 1 THEN 'ok:bool,props:{deep:{a:{b:dict}},k:int},tags:list' WHEN 2 THEN 'half:float,none:NoneType,type:str' ELSE '' END AS fingerprint, count(*) AS n,
+CAST(sum(length(CASE event_id % 4 WHEN 0 THEN '{"user":' || user_id || ',"msg":"a } ' || chr(92) || '" { ] , b"}' WHEN 1 THEN '{"props":{"k":' || json_extract_string(props, '$.k') || ',"deep":{"a":{"b":{"c":1}}}},"tags":["x}",{"y":1}],"ok":true}' WHEN 2 THEN '{"type":"' || event_type || '","none":null,"half":0.5}' ELSE '{}' END)) AS BIGINT) AS n_chars FROM events GROUP BY 1""")
+def container_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records out of files of JSON arrays, by shape. The arrays (of a bounded number of events each) are written first."""
+    made = _raw_events(spark, sf_dir).select((F.col("no") / _GROUP).cast("long").alias("g"), F.expr(_RECORD.replace("{string}", "STRING")).alias("raw"))
+    arrays = made.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ", "), F.lit("]")).alias("value")).select("value")
+    path = f"{scratch.folder(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.write.text(path)
+    found, _ = containers.read_objects(spark, path)
+    return found.groupBy(containers.fingerprint(F.col("raw")).alias("fingerprint")).agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("n_chars"))

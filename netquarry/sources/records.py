@@ -24,6 +24,12 @@ ALIASES = {
 #: Letters and names of flags, and protocols.
 FLAGS = {"F": "FIN", "S": "SYN", "R": "RST", "P": "PSH", "A": "ACK", "U": "URG", "E": "ECE", "W": "CWR"}
 PROTOCOLS = ("tcp", "udp", "icmp", "icmpv6", "gre", "esp", "ah")
+#: More fields of firewall records.
+FIREWALL_TEXTS = {
+    "inbound_interface": "deviceInboundInterface", "outbound_interface": "deviceOutboundInterface", "inbound_rule_set": "deviceInboundRuleSet", "outbound_rule_set": "deviceOutboundRuleSet",
+    "source_username": "sourceUserName", "translated_src_ip": "sourceTranslatedAddress", "translated_dst_ip": "destinationTranslatedAddress", "event_type": "type",
+}
+FIREWALL_NUMBERS = {"translated_src_port": "sourceTranslatedPort", "translated_dst_port": "destinationTranslatedPort", "bytes": "bytes", "packets": "packets", "duration_ms": "durationMs"}
 _CEF = r"^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
 _SYSLOG_5424 = r"^<(\d{1,4})>[1-9]\d{0,2}\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
 _SYSLOG_3164 = r"^<(\d{1,4})>(?:([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+)?(\S+)\s([^:]+):\s"
@@ -70,6 +76,12 @@ def syslog_time(line: Column) -> Column:
     return F.when(line.rlike(_SYSLOG_5424), timestamp(F.regexp_extract(line, _SYSLOG_5424, 2))).otherwise(old)
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator, so that the optimizer doesn't copy their expressions into all that names them."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_made")
+    return rows.select("*", made).select(*rows.columns, "_made.*")
+
+
 def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, failures) of a frame (source, raw)."""
     field = lambda name: F.get_json_object("raw", "$." + name if "@" not in name else f"$['{name}']")
@@ -87,7 +99,7 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     act = F.lower(field("deviceAction"))
     firewall_action = F.when(act.isin("allow", "pass", "accepted", "accept"), "pass").when(act.rlike("block|deny|drop"), "block").otherwise(act)
     protocol = F.lower(by(field("proto"), ext("proto"), F.lit(None)))
-    rows = raw.withColumn("parser", kind).withColumns({
+    rows = _once(raw.withColumn("parser", kind), {
         "event_id": F.concat(F.lit("EVT-"), F.substring(F.sha2("source", 256), 1, 8), F.lit("-"), F.substring(F.sha2("raw", 256), 1, 16)),
         "ts": by(timestamp(F.coalesce(field("start"), field("end"))), timestamp(F.coalesce(ext("rt"), ext("start"))), timestamp(alias("time")), syslog_time(line)),
         "src_ip": by(field("src"), ext("src"), alias("src_ip")), "dst_ip": by(field("dst"), ext("dst"), alias("dst_ip")),
@@ -95,11 +107,13 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "protocol": F.when(protocol.isin(*PROTOCOLS), protocol).when(protocol.isNotNull(), "other"),
         "action": by(firewall_action, ext("act"), alias("action")), "tcp_flags": F.when(F.col("parser") == "firewall", tcp_flags(field("tcpFlags"))),
         "inbound_zone": F.when(F.col("parser") == "firewall", field("deviceInboundZone")), "outbound_zone": F.when(F.col("parser") == "firewall", field("deviceOutboundZone")),
+        **{name: F.when(F.col("parser") == "firewall", field(of)) for name, of in FIREWALL_TEXTS.items()},
+        **{name: F.when(F.col("parser") == "firewall", field(of).try_cast("long")) for name, of in FIREWALL_NUMBERS.items()},
         # an action that names stateful inspection keeps that as its reason
         "action_reason": F.when(F.col("parser") == "firewall", F.coalesce(field("deviceActionReason"), F.when(act.contains("spi"), act))),
     })
     bad_ip = lambda c: F.col(c).isNotNull() & ~F.col(c).rlike(_V4) & ~F.col(c).rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")
     bad_port = lambda c: F.coalesce(~F.col(c).between(0, 65535), F.lit(False))
     why = F.when(F.octet_length("raw") > MAX_BYTES, "too long").when(F.col("parser").isNull(), "unsupported").when(bad_ip("src_ip") | bad_ip("dst_ip") | bad_port("src_port") | bad_port("dst_port"), "semantically_invalid")
-    rows = rows.withColumn("reason", why)
+    rows = _once(rows, {"reason": why})
     return rows.where("reason IS NULL").drop("raw", "reason"), rows.where("reason IS NOT NULL").select("source", "reason", F.left("raw", F.lit(500)).alias("preview"))
