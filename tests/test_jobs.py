@@ -165,7 +165,7 @@ def test_events_of_both_jobs_are_kept(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["suppressed_by_rule", "incidents", "incident_profiles", "selected_signals", "contract_violations", "uncorrelated_events", "merged_campaigns", "stream_merged_campaigns", "parsed_events", "ingestion_counts", "container_fingerprints", "raw_incidents", "profile_campaigns", "exposure_groups", "cleanup_verdicts", "retention_classes"])
+@pytest.mark.parametrize("name", ["incidents", "raw_incidents", "profile_campaigns", "merged_campaigns", "stream_merged_campaigns", "parsed_events", "ingestion_counts", "container_fingerprints", "exposure_groups", "cleanup_verdicts"])
 def test_chain_queries_agree_with_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
