@@ -37,9 +37,9 @@ _MARKS = {
 _REASON = "CASE WHEN rule = 'spi_anomaly_burst' AND n_late = n AND n >= 2 AND p = n AND q = 1 AND t = 1 THEN 'late_rst_from_established_service' WHEN rule = 'telnet_probe' THEN 'rule' WHEN entity = '45.83.64.5' THEN 'source' WHEN n_to > 0 THEN 'destination' WHEN n_pair > 0 THEN 'pair' END"
 
 
-def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eligible(spark: SparkSession, sf_dir: str, columns: dict[str, str] = CHAIN) -> DataFrame:
     """Featured events that the rules may see, stored."""
-    rows = entrance.eligible(entrance.first_records(canonical_events(spark, sf_dir, CHAIN), F.col("event_no")))
+    rows = entrance.eligible(entrance.first_records(canonical_events(spark, sf_dir, columns), F.col("event_no")))
     return scratch.stored(with_features(rows), "featured")
 
 
@@ -47,7 +47,11 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return signals.correlated(eligible(spark, sf_dir), policy=POLICY)
 
 
-_FIRST = f"(SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY event_id, raw_record_hash ORDER BY event_no) AS _r FROM {canonical_sql(CHAIN)}) WHERE _r = 1 AND ts_us IS NOT NULL AND parse_status NOT IN ('failed', 'unsupported_schema', 'semantically_invalid'))"
+def _first(columns: dict[str, str] = CHAIN) -> str:
+    return f"(SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY event_id, raw_record_hash ORDER BY event_no) AS _r FROM {canonical_sql(columns)}) WHERE _r = 1 AND ts_us IS NOT NULL AND parse_status NOT IN ('failed', 'unsupported_schema', 'semantically_invalid'))"
+
+
+_FIRST = _first()
 
 
 def _members_sql(rule: rules.Rule) -> str:
