@@ -73,20 +73,42 @@ def _keyed(rows: DataFrame, reference: bool, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.nullif(F.upper("protocol"), F.lit("")).alias("_p"), F.explode(F.array_distinct(keys)).alias("_key"))
 
 
+def _by_protocol(keyed: DataFrame, reference: bool) -> DataFrame:
+    """Keys with protocols, so that what fits is equal: a known protocol asks for its own and for unknown ones, an unknown one for all."""
+    known, any_ = F.concat_ws(" ", "_key", "_p"), F.concat("_key", F.lit(" *"))
+    unknown = F.concat("_key", F.lit(" ?"))
+    if reference:
+        keys = F.when(F.col("_p").isNull(), F.array(any_)).otherwise(F.array(known, unknown))
+    else:
+        keys = F.array(F.when(F.col("_p").isNull(), unknown).otherwise(known), any_)
+    return keyed.withColumn("_key", F.explode(keys)).drop("_p")
+
+
 def context(incident_events: DataFrame, candidates: DataFrame, seconds: int = SECONDS, most: int = MOST_CONTEXT) -> DataFrame:
     """(incident_id, event_id, ts_us, place): the candidates that are related to an event of the incident, within ``seconds`` of its extent, and no events of it: the first ``most``.
 
-    An incident's events are first reduced to their distinct ends. Candidates meet them by (key, hour)."""
-    extent = incident_events.groupBy("incident_id").agg(F.min("ts_us").alias("_a"), F.max("ts_us").alias("_b"))
-    ends = incident_events.select("incident_id", *_ENDS).distinct()
-    near = F.expr(f"_a - {seconds}000000L"), F.expr(f"_b + {seconds}000000L")
-    asked = _keyed(ends, True, ["incident_id"]).distinct().join(extent, "incident_id").withColumns({"_a": near[0], "_b": near[1]})
-    hour = lambda c: F.floor(F.col(c) / HOUR)
-    asked = asked.withColumn("_hour", F.explode(F.sequence(hour("_a"), hour("_b"))))
-    told = _keyed(candidates.where("ts_us IS NOT NULL"), False, ["event_id", "ts_us"]).withColumn("_hour", hour("ts_us"))
-    fits = (F.col("a._p") == F.col("c._p")) | F.col("a._p").isNull() | F.col("c._p").isNull()
-    found = asked.alias("a").join(told.alias("c"), (F.col("a._key") == F.col("c._key")) & (F.col("a._hour") == F.col("c._hour")) & fits & F.col("c.ts_us").between(F.col("a._a"), F.col("a._b")))
-    found = found.select("a.incident_id", "c.event_id", "c.ts_us").distinct().join(incident_events.select("incident_id", "event_id"), ["incident_id", "event_id"], "left_anti")
+    An incident's events are first reduced to their distinct keys. Candidates are numbered by time within (key, hour), and an incident takes from its own beginning on as many
+    numbers as it may need: ``most``, and one for each of its own events there. So a busy flow adds as many rows to an incident as that, however many events it has."""
+    hour = lambda c: F.expr(f"({c} - pmod({c}, {HOUR})) div {HOUR}")
+    extent = incident_events.groupBy("incident_id").agg(F.expr(f"min(ts_us) - {seconds}000000L").alias("_a"), F.expr(f"max(ts_us) + {seconds}000000L").alias("_b"))
+    asked = _by_protocol(_keyed(incident_events.select("incident_id", *_ENDS).distinct(), True, ["incident_id"]), True).join(extent, "incident_id")
+    asked = asked.select("incident_id", "_key", F.explode(F.sequence(hour("_a"), hour("_b"))).alias("_hour"), "_a", "_b", F.lit(0).alias("_own"))
+    own = _by_protocol(_keyed(incident_events.where("ts_us IS NOT NULL").select("incident_id", "ts_us", *_ENDS), False, ["incident_id", "ts_us"]), False)
+    none = F.lit(None).cast("long")
+    own = own.select("incident_id", "_key", hour("ts_us").alias("_hour"), none.alias("_a"), none.alias("_b"), F.lit(1).alias("_own"))
+    probes = asked.unionByName(own).groupBy("incident_id", "_key", "_hour").agg(F.max("_a").alias("ts_us"), F.max("_b").alias("_b"), F.sum("_own").alias("_own")).where("ts_us IS NOT NULL")
+    told = _by_protocol(_keyed(candidates.where("ts_us IS NOT NULL"), False, ["event_id", "ts_us"]), False).withColumn("_hour", hour("ts_us"))
+    line = told.withColumn("_is", F.lit(1)).unionByName(probes.withColumn("_is", F.lit(0)), allowMissingColumns=True)
+    key = W.partitionBy("_key", "_hour")
+    order = key.orderBy("ts_us", "_is", "event_id")
+    again = (F.lag("event_id").over(order) == F.col("event_id")) & (F.lag("ts_us").over(order) == F.col("ts_us"))
+    line = line.withColumn("_new", F.when(F.coalesce(again, F.lit(False)), 0).otherwise(F.col("_is")))
+    line = line.withColumns({"_no": F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_new").over(key)})
+    until = F.least(F.col("_no") + most + F.col("_own"), F.col("_all"))
+    wanted = line.where("_is = 0 AND _no < _all").select("incident_id", "_key", "_hour", "_b", F.explode(F.sequence(F.col("_no") + 1, until)).alias("_no"))
+    numbered = line.where("_new = 1").select("_key", "_hour", "_no", "event_id", "ts_us")
+    found = wanted.join(numbered, ["_key", "_hour", "_no"]).where("ts_us <= _b").select("incident_id", "event_id", "ts_us").distinct()
+    found = found.join(incident_events.select("incident_id", "event_id"), ["incident_id", "event_id"], "left_anti")
     return found.withColumn("place", F.row_number().over(W.partitionBy("incident_id").orderBy("ts_us", "event_id"))).where(F.col("place") <= most)
 
 

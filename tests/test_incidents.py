@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from netquarry.functions.features import SERVICES
 from netquarry.operators import relations, rollups, routing
@@ -55,10 +56,29 @@ def test_context_and_answers_are_those_of_all_pairs(spark, seed):
     assert want and {(r.incident_id, r.event_id) for r in found.collect()} == want
     two = {a["incident_id"] for a in rows for b in rows if a["incident_id"] == b["incident_id"] and a["event_id"] < b["event_id"] and related(a, b)}
     assert {r.incident_id for r in relations.answered(frame(rows)).collect()} == two
-    assert relations.context(frame(rows), frame(others).drop("incident_id"), most=1).groupBy("incident_id").count().where("count > 1").isEmpty()
+    when = {c["event_id"]: c["ts_us"] for c in others}
+    for most in (1, 3):
+        got = {(r.incident_id, r.place, r.event_id) for r in relations.context(frame(rows), frame(others + others[:9]).drop("incident_id"), most=most).collect()}
+        assert got == {(i, n, e) for i in {i for i, _ in want} for n, (_, e) in enumerate(sorted((when[e], e) for j, e in want if j == i)[:most], 1)}
     assert relations.context(frame([]), frame(others).drop("incident_id")).isEmpty() and relations.answered(frame([])).isEmpty()
 
 
+def test_first_events_of_a_busy_flow_are_found_past_the_incidents_own(spark):
+    schema = f"event_id string, ts_us long, {ENDS}"
+    busy = [(f"E{i:04}", i * 2_000_000, "45.1.1.1", 50000 + i % 3, "10.0.0.1", 22, None, None, None if i % 50 == 7 else "TCP") for i in range(2500)]  # over an hour's bound
+    every = spark.createDataFrame(busy, schema)
+    own = every.where("substr(event_id, 3, 1) IN ('1', '2')").withColumn("incident_id", F.concat(F.lit("I"), F.substring("event_id", 2, 2)))
+    got = {}
+    for r in relations.context(own, every, most=20).collect():
+        got.setdefault(r.incident_id, []).append((r.place, r.event_id))
+    ids = [r[0] for r in busy]
+    assert sorted(got) == ["I01", "I02", "I11", "I12", "I21", "I22"]
+    for i, found in got.items():
+        mine = [int(e[1:]) for e in ids if e[1:3] == i[1:]]
+        near = [e for e in ids if min(mine) - 150 <= int(e[1:]) <= max(mine) + 150 and int(e[1:]) not in mine]
+        assert sorted(found) == list(enumerate(near[:20], 1))
+
+
 def test_only_two_events_make_an_answer(spark):
     one = [(f"I{i}", e, "10.0.0.1", sp, "45.1.1.1", dp, None, None, "TCP") for i, pairs in enumerate([[(50000, 443)], [(50000, 443), (50001, 443)], [(50000, 443), (50000, 443)], [(50000, 3389), (50001, 3389)]]) for e, (sp, dp) in enumerate(pairs)]
     frame = spark.createDataFrame(one + one, f"incident_id string, event_id long, {ENDS}")  # repeated rows of one event are one event
