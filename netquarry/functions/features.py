@@ -74,6 +74,17 @@ def _valid_v6(ip: str) -> str:
     return f"({ip} LIKE '%:%' AND length({ip}) <= 39 AND (({short}) OR ({{matches}}({ip}, '^{groups}$') AND {colons} = 7)))"
 
 
+def subnet_sql(ip: str, v4: str) -> str:
+    """The /24 of an IPv4 address (v4 is not null) or the /64 of an IPv6 one, in SQL that Spark and DuckDB share; null of other text."""
+    left, right = f"split_part(lower({ip}), '::', 1)", f"split_part(lower({ip}), '::', 2)"
+    groups = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE length({x}) - length(replace({x}, ':', '')) + 1 END)"
+    full = f"(CASE WHEN {ip} LIKE '%::%' THEN {left} || CASE WHEN {left} = '' THEN '' ELSE ':' END || repeat('0:', 8 - {groups(left)} - {groups(right)}) || {right} ELSE lower({ip}) END)"
+    four = " || ':' || ".join(f"coalesce(nullif(regexp_replace(split_part({full}, ':', {i}), '^0+', ''), ''), '0')" for i in range(1, 5))
+    v6 = f"regexp_replace(regexp_replace({four}, '(:0)+$', ''), '^0$', '') || '::/64'"
+    v4_net = " || '.' || ".join(f"split_part({ip}, '.', {i})" for i in range(1, 4)) + " || '.0/24'"
+    return f"CASE WHEN {v4} IS NOT NULL THEN {v4_net} WHEN {ip} LIKE '%:%' THEN {v6} END"
+
+
 def _class_of(number: str, ip: str) -> str:
     """The class of an address of either kind; null of other text."""
     begins = lambda blocks: " OR ".join(f"{{matches}}(lower({ip}), '^{b}$')" for b in blocks)
@@ -109,7 +120,10 @@ FIRM = (0, 1)
 
 LAYERS: tuple[dict[str, str], ...] = (
     {"src_v4": _v4("src_ip"), "dst_v4": _v4("dst_ip"), "trans_v4": _v4("translated_dst_ip")},
-    {"src_class": _class_of("src_v4", "src_ip"), "dst_class": _class_of("dst_v4", "dst_ip"), "trans_class": _class_of("trans_v4", "translated_dst_ip")},
+    {
+        "src_class": _class_of("src_v4", "src_ip"), "dst_class": _class_of("dst_v4", "dst_ip"), "trans_class": _class_of("trans_v4", "translated_dst_ip"),
+        "net24": f"CASE WHEN dst_v4 IS NOT NULL OR coalesce({_valid_v6('dst_ip')}, false) THEN {subnet_sql('dst_ip', 'dst_v4')} END",  # of IPv6 the /64
+    },
     {
         "blocked": f"coalesce(lower(trim(action)) IN {_words(BLOCKED)}, false)",
         "blocked_legacy": f"coalesce(lower(action) IN {_words(BLOCKED_LEGACY)}, false)",
@@ -133,7 +147,6 @@ LAYERS: tuple[dict[str, str], ...] = (
         "eff_service": _service("eff_port"),
         "eff_class": "CASE WHEN coalesce(trim(translated_dst_ip), '') <> '' THEN trans_class ELSE dst_class END",
         "ips_valid": "src_class IS NOT NULL AND dst_class IS NOT NULL",
-        "net24": "CASE WHEN dst_v4 IS NOT NULL THEN split_part(dst_ip, '.', 1) || '.' || split_part(dst_ip, '.', 2) || '.' || split_part(dst_ip, '.', 3) || '.0/24' END",
         "src_usable": _usable("src_class"), "src_public": _public("src_class"), "src_private": _private("src_class"), "dst_private": _private("dst_class"),
         "dst_public": _public("dst_class"), "trans_private": _private("trans_class"),
     },
@@ -157,7 +170,7 @@ LAYERS: tuple[dict[str, str], ...] = (
 
 def with_features(events: DataFrame) -> DataFrame:
     """Adds all derived columns. Null actions, ports, addresses and zones give false (or null services), never null flags.
-    IPv6 addresses have classes as IPv4 ones have (an IPv4 address within an IPv6 one counts as public), but no number and no net24.
+    IPv6 addresses have classes as IPv4 ones have (an IPv4 address within an IPv6 one counts as public), but no number; their net24 is the /64.
 
     Columns of FIRM layers are made by a generator of one row, which the optimizer does not copy into every expression that names them."""
     for i, layer in enumerate(LAYERS):

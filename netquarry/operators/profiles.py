@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.features import subnet_sql
+
 VERSION, MOST = "1", 20
 #: Types of each strategy, services that hold several, and the key's mark.
 SEQUENCES = ("scan_followed_by_allowed_connection", "blocked_then_allowed_same_service", "spi_followed_by_allowed_connection")
@@ -26,17 +28,6 @@ NARROW = ("network_scan_vertical", "low_and_slow_vertical_scan", "internal_later
 SWEEPS, AMBIGUOUS, MARK = ("subnet_sweep",), ("database", "kubernetes", "docker"), "scv"
 
 
-def subnet_sql(ip: str, v4: str) -> str:
-    """The /24 of an IPv4 address (v4 is not null) or the /64 of an IPv6 one, in SQL that Spark and DuckDB share; null of other text."""
-    left, right = f"split_part(lower({ip}), '::', 1)", f"split_part(lower({ip}), '::', 2)"
-    groups = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE length({x}) - length(replace({x}, ':', '')) + 1 END)"
-    full = f"(CASE WHEN {ip} LIKE '%::%' THEN {left} || CASE WHEN {left} = '' THEN '' ELSE ':' END || repeat('0:', 8 - {groups(left)} - {groups(right)}) || {right} ELSE lower({ip}) END)"
-    four = " || ':' || ".join(f"coalesce(nullif(regexp_replace(split_part({full}, ':', {i}), '^0+', ''), ''), '0')" for i in range(1, 5))
-    v6 = f"regexp_replace(regexp_replace({four}, '(:0)+$', ''), '^0$', '') || '::/64'"
-    v4_net = " || '.' || ".join(f"split_part({ip}, '.', {i})" for i in range(1, 4)) + " || '.0/24'"
-    return f"CASE WHEN {v4} IS NOT NULL THEN {v4_net} WHEN {ip} LIKE '%:%' THEN {v6} END"
-
-
 def tokens_sql() -> dict[str, str]:
     """What an event tells a profile, by kind; null: nothing."""
     own = f"eff_service IS NOT NULL AND eff_service NOT IN ({', '.join(map(repr, AMBIGUOUS))})"

@@ -2,8 +2,8 @@
 
 Input: ``facts``, one row for each incident and each of its events: the incident's columns (incident_id, family, severity) and the event's with features.
 
-Defined cases: an incident with any event that isn't blocked is in no group of blocked reconnaissance; sources that are no IPv4 address are in no
-network; an event of several incidents counts once in each result row. No rows: no groups, and a funnel of zeros.
+Defined cases: an incident with any event that isn't blocked is in no group of blocked reconnaissance; sources that are no address are in no network (of IPv4
+the /24, of IPv6 the /64; bursts of fixed source ports are those of IPv4 networks); an event of several incidents counts once in each result row. No rows: no groups, and a funnel of zeros.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.features import subnet_sql
+
 #: Families of the roll-ups, and their limits.
 RECON = ("network_scanning", "service_probing")
 EXPOSURE = ("firewall_exposure", "firewall_policy")
@@ -37,7 +39,7 @@ def recon_groups(rows: DataFrame, seconds: int = SECONDS) -> DataFrame:
     """Wholly blocked reconnaissance by source network, family and scope (its services, or few ports), in runs without a pause of over ``seconds``.
 
     Incidents are reduced to one row for each network before they are put in order."""
-    recon = rows.where(F.col("family").isin(*RECON)).withColumn("cidr", network("src_ip", "src_v4")).select("incident_id", "family", "cidr", "event_id", "ts_us", "src_ip", "dst_ip", "dst_port", "service", "blocked")
+    recon = rows.where(F.col("family").isin(*RECON)).withColumn("cidr", F.when(F.col("src_class").isNotNull(), F.expr(subnet_sql("src_ip", "src_v4")))).select("incident_id", "family", "cidr", "event_id", "ts_us", "src_ip", "dst_ip", "dst_port", "service", "blocked")
     part = recon.groupBy("incident_id", "family", "cidr").agg(
         F.bool_and("blocked").alias("blocked"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.collect_set("service").alias("services"), F.collect_set("dst_port").alias("ports")
     )  # as many services and ports as there are
@@ -47,11 +49,14 @@ def recon_groups(rows: DataFrame, seconds: int = SECONDS) -> DataFrame:
     until = F.max("last_us").over(order.rowsBetween(W.unboundedPreceding, -1))
     part = part.withColumn("_new", (F.col("first_us") > until + seconds * 1_000_000).cast("int")).withColumn("island", F.coalesce(F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
     own = recon.where("cidr IS NOT NULL").select("incident_id", "cidr", "event_id", "ts_us", "src_ip", "dst_ip", "dst_port")
-    return own.join(part.select("incident_id", "cidr", "family", "scope", "island"), ["incident_id", "cidr"]).groupBy("cidr", "family", "scope", "island").agg(
+    found = own.join(part.select("incident_id", "cidr", "family", "scope", "island"), ["incident_id", "cidr"])
+    group = ["cidr", "family", "scope", "island"]
+    few = found.select(*group, "src_ip").distinct().withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("src_ip"))).where(F.col("_r") <= SHOWN)  # an IPv6 network has any number of sources
+    few = few.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("src_ip")), ",").alias("sources"))
+    return found.groupBy(*group).agg(
         F.count_distinct("src_ip").alias("n_sources"), F.count_distinct("event_id").alias("n_events"), F.count_distinct("dst_ip").alias("n_targets"),
         _joined(F.collect_set("dst_port")).alias("ports"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("src_ip")), 1, SHOWN), ",").alias("sources"),  # of a network of 256
-    ).drop("island")
+    ).join(few, group).drop("island")
 
 
 def source_port_clusters(findings: DataFrame, seconds: int = CLUSTER_SECONDS) -> DataFrame:

@@ -192,4 +192,4 @@ def signals_merged(spark, sf_dir):
     return signals.merge(signals.numbered(found)).select("rule", "entity", "corr", "first_us", "last_us", "n_merged", "severity", "confidence")
 
 
-from . import campaign_queries, chain_queries, exposure_queries, fact_queries, incident_queries  # noqa: E402,F401
+from . import campaign_queries, chain_queries, exposure_queries, fact_queries, incident_queries, network_queries  # noqa: E402,F401
