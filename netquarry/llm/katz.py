@@ -25,16 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import bundle, runs, unbundle
 from .shared import stored, table
-from .words import chunks, encoded, mix, word_keys
+from .words import mix, word_keys
 
 K, RESERVED = 5, 1e-4
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+SENT_BYTES = 4 << 20  # of rows that a task of the merge hands on at once
 HOT_WORDS, HOT_SHARE = 10_000, 4
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0x535441525421, 0x454E4421))
 BASE_ADD = 0.1
@@ -89,17 +92,32 @@ def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about BLOCK_BYTES of text and their texts as UTF-8 (null: empty): only one slice's texts are Python objects at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(sizes, dtype=np.int64), 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_BYTES, "right")))
+            part = batch.slice(a, b - a)
+            yield part, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+            a = b
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of _ROW."""
+    kind, target, block, body = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(kind, pa.string()), pa.array(target, pa.int64()), pa.array(block, pa.int64()), pa.array(body, pa.binary())], names=_COLUMNS)
+
+
 def _count_words(parts: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[~batch["held"].to_numpy(bool)]
-            texts = encoded(batch["text"])
-            for at in chunks(texts, BLOCK_BYTES):
-                keys, starts = word_keys(texts[at])
-                u, n = np.unique(np.concatenate((keys, np.full(len(starts) - 1, END))), return_counts=True)
-                p = _range_of(u, parts)
-                cut = runs(p)
-                yield pd.DataFrame([("words", p[a], 0, bundle(np.diff(u[a:b], prepend=np.uint64(0)), n[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)], columns=_COLUMNS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _blocks(x.filter(pc.invert(x.column("held"))) for x in batches):
+            keys, starts = word_keys(texts)
+            u, n = np.unique(np.concatenate((keys, np.full(len(starts) - 1, END))), return_counts=True)
+            p = _range_of(u, parts)
+            cut = runs(p)
+            yield _batch([("words", p[a], 0, bundle(np.diff(u[a:b], prepend=np.uint64(0)), n[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
     return run
 
@@ -117,7 +135,7 @@ def _count_counts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def count_unigrams(docs: DataFrame, parts: int) -> Unigrams:
-    counted = docs.select("text", "held").mapInPandas(_count_words(parts), _ROW).groupBy("target").applyInPandas(_count_counts, "what string, a long, b long")
+    counted = docs.select("text", "held").mapInArrow(_count_words(parts), _ROW).groupBy("target").applyInPandas(_count_counts, "what string, a long, b long")
     counted = stored(counted, "unigrams")
     sums = {(r["what"], r["k"]): (r["a"], r["b"]) for r in counted.where("what != 'hot'").groupBy("what", F.when(F.col("what") == "n", F.col("a")).alias("k")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     words, tokens = sums.get(("all", None), (0, 0))
@@ -173,82 +191,108 @@ def _send(parts: int, hot: np.ndarray):
             rows.append(("grams", int(p[g[0]]), block, body))
         return rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts, known = encoded(batch["text"]), batch["doc_id"].notna().to_numpy()
-            ids, held = batch["doc_id"].fillna(0).to_numpy(np.int64), batch["held"].to_numpy(bool)
-            for at in chunks(texts, BLOCK_BYTES):
-                yield pd.DataFrame(block_rows(block, ids[at], known[at], held[at], texts[at]), columns=_COLUMNS)
-                block += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for block, (rows, texts) in enumerate(_blocks(batches), first):
+            ids, held = rows.column("doc_id"), rows.column("held").to_numpy(zero_copy_only=False)
+            yield _batch(block_rows(block, pc.fill_null(ids, 0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held, texts))
 
     return run
 
 
 def _merge(parts: int, uni: Unigrams):
-    """One partition of words: its bigrams' counts, what their contexts gather, and the documents' sums."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [("block", b, b, x) for b, x in zip(pdf["block"][pdf["kind"] == "block"], pdf["body"][pdf["kind"] == "block"], strict=True)]
-        told = pdf[pdf["kind"] == "grams"]
-        if not len(told):
-            return pd.DataFrame(rows, columns=_COLUMNS)
-        part, blocks, bodies = int(told["target"].iloc[0]), told["block"].to_list(), told["body"].to_list()
-        del told, pdf
-        w, h, train = [], [], []
-        for x in bodies:
-            n_train, ws, wn, hs, hx, per, doc, times = unbundle(x)
-            w.append(np.repeat(np.cumsum(ws, dtype=np.uint64), wn.astype(np.int64)))
-            h.append(np.cumsum(hs, dtype=np.uint64)[hx.astype(np.int64)])
-            train.append(np.add.reduceat(np.where(doc < n_train[0], times, np.uint64(0)), np.concatenate(([0], np.cumsum(per.astype(np.int64))[:-1]))).astype(np.int64))
-        message = np.cumsum([0] + [len(x) for x in w])
-        w, h, train = (np.concatenate(x) for x in (w, h, train))
-        uw, wi = np.unique(w, return_inverse=True)
-        uh, hi = np.unique(h, return_inverse=True)
-        del w, h
-        gram, gi = np.unique(wi * len(uh) + hi, return_inverse=True)
-        c = np.bincount(gi, train).astype(np.int64)
-        cw = np.bincount(wi, train).astype(np.int64)
+    """One partition of words: its bigrams' counts, what their contexts gather, and the documents' sums.
+
+    Messages are kept as they came; words and contexts are numbered by the messages' short lists of distinct keys, so that only
+    small numbers are held for each bigram of each message, and rows are handed on as they are made."""
+
+    def merged(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        told = []
+        for x in batches:
+            for kind, target, block, body in zip(*(x.column(c) for c in _COLUMNS), strict=True):
+                if kind.as_py() == "block":
+                    yield "block", block.as_py(), block.as_py(), body.as_py()
+                else:
+                    told.append((target.as_py(), block.as_py(), memoryview(body.as_buffer()).cast("B")))
+        if not told:
+            return
+        part = told[0][0]
+        ws, hs, wx, hx, train = [], [], [], [], []
+        for _, _, x in told:
+            n_train, w, wn, h, at, per, doc, times = unbundle(x)
+            ws.append(np.cumsum(w, dtype=np.uint64))
+            hs.append(np.cumsum(h, dtype=np.uint64))
+            wx.append(np.repeat(np.arange(len(w), dtype=np.int32), wn.astype(np.int64)))
+            hx.append(at.astype(np.int32))
+            train.append(np.add.reduceat(np.where(doc < n_train[0], times, np.uint64(0)), np.concatenate(([0], np.cumsum(per.astype(np.int64))[:-1]))).astype(np.int32))
+        uw, uh = np.unique(np.concatenate(ws)), np.unique(np.concatenate(hs))
+        message = np.cumsum([0] + [len(x) for x in wx])
+        code = np.empty(message[-1], np.int64)
+        for i, (a, b) in enumerate(zip(message[:-1], message[1:], strict=True)):
+            code[a:b] = np.searchsorted(uw, ws[i])[wx[i]] * len(uh) + np.searchsorted(uh, hs[i])[hx[i]]
+        del ws, hs, wx, hx
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = runs(code)
+        gi = np.empty(len(code), np.int32)
+        gi[order] = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        c = np.add.reduceat(np.concatenate(train)[order], first[:-1], dtype=np.int64)
+        del train, order
+        wi, hi = (x.astype(np.int32) for x in np.divmod(code[first[:-1]], len(uh)))
+        del code, first
+        cw = np.bincount(wi, c, len(uw)).astype(np.int64)
         known_hot = np.isin(uw, uni.hot)
         cw[known_hot] = uni.hot_counts[np.searchsorted(uni.hot, uw[known_hot])]
 
         held = c > 0
-        gw, gh = gram[held] // len(uh), gram[held] % len(uh)
+        gw, gh, gc = wi[held], hi[held], c[held]
         at = runs(gw)
-        rows.append(("counts", part, 0, bundle(np.diff(uw[gw[at[:-1]]], prepend=np.uint64(0)), cw[gw[at[:-1]]], np.diff(at), gh, np.diff(uh, prepend=np.uint64(0)), c[held])))
-        tot = np.bincount(gh, c[held], len(uh)).astype(np.int64)
-        of_r = [np.bincount(gh[c[held] == r], minlength=len(uh)) for r in range(1, K + 1)]
+        yield "counts", part, 0, bundle(np.diff(uw[gw[at[:-1]]], prepend=np.uint64(0)), cw[gw[at[:-1]]], np.diff(at), gh, np.diff(uh, prepend=np.uint64(0)), gc)
+        yield from (("counts of counts", r, int((gc == r).sum()), b"") for r in range(1, K + 2))
+        tot = np.bincount(gh, gc, len(uh)).astype(np.int64)
+        of_r = [np.bincount(gh[gc == r], minlength=len(uh)) for r in range(1, K + 1)]
         mass = np.bincount(gh, uni.p(cw)[gw], len(uh))
+        del held, gw, gh, gc
         some = np.flatnonzero(tot)
         target = _range_of(uh[some], parts)
         cut = runs(target)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             s = some[a:b]
-            rows.append(("contexts", target[a], 0, len(s).to_bytes(8, "little") + mass[s].tobytes() + bundle(np.diff(uh[s], prepend=np.uint64(0)), tot[s], *[m[s] for m in of_r])))
+            yield "contexts", target[a], 0, len(s).to_bytes(8, "little") + mass[s].tobytes() + bundle(np.diff(uh[s], prepend=np.uint64(0)), tot[s], *[m[s] for m in of_r])
+        del tot, of_r, mass, some
 
         # the documents' part: one block's message at a time
         log_p, target = np.log10(uni.p(cw)), _range_of(uh, parts)
         follows = np.where((uw != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)  # each word but the end is the next token's context
         starts = np.where(uh == START, math.log10(max(1, uni.docs)), 0.0)
-        for block, body, a, b in zip(blocks, bodies, message[:-1], message[1:], strict=True):
+        for (_, block, body), a, b in zip(told, message[:-1], message[1:], strict=True):
             *_, per, doc, times = unbundle(body)
-            each = a + np.repeat(np.arange(b - a), per.astype(np.int64))
-            ce, we, he = c[gi[each]], wi[each], hi[each]
+            each = np.repeat(gi[a:b], per.astype(np.int64))
+            ce, we, he = c[each], wi[each], hi[each]
             ids, g = np.unique(doc, return_inverse=True)
             times, seen = times.astype(float), ce > 0
             score = np.where(seen, np.log10(np.maximum(ce, 1)) + math.log10(1 - RESERVED), log_p[we]) - follows[we] - starts[he]
             sums = [np.bincount(g, times * (cw[we] > 0)), *[np.bincount(g, times * (ce == r)) for r in range(1, K + 1)]]
             floats = [np.bincount(g, times * np.log10(cw[we] + BASE_ADD)), np.bincount(g, times * score)]
-            rows.append(("docs", block, block, len(ids).to_bytes(8, "little") + b"".join(x.tobytes() for x in floats) + bundle(ids, *sums)))
+            yield "docs", block, block, len(ids).to_bytes(8, "little") + b"".join(x.tobytes() for x in floats) + bundle(ids, *sums)
             new = np.flatnonzero(~seen)
             new = new[np.argsort(he[new], kind="stable")]  # and so by target
             cut = runs(target[he[new]])
             for x, y in zip(cut[:-1], cut[1:], strict=True):
                 e = new[x:y]
                 hs, hx = np.unique(he[e], return_inverse=True)
-                rows.append(("unseen", target[hs[0]], block, bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, doc[e], times[e])))
-        counts = [("counts of counts", r, int((c == r).sum()), b"") for r in range(1, K + 2)]
-        return pd.DataFrame(rows + counts, columns=_COLUMNS)
+                yield "unseen", target[hs[0]], block, bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, doc[e], times[e])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in merged(list(batches)):
+            rows.append(row)
+            size += len(row[3])
+            if size > SENT_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     return run
 
@@ -326,8 +370,8 @@ def katz_scores(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     uni = count_unigrams(docs, parts)
-    sent = docs.mapInPandas(_send(parts, uni.hot), _ROW)
-    merged = stored(sent.groupBy("target").applyInPandas(_merge(parts, uni), _ROW), "katz-counts", by="kind")
+    sent = docs.mapInArrow(_send(parts, uni.hot), _ROW)
+    merged = stored(sent.groupBy("target").applyInArrow(_merge(parts, uni), _ROW), "katz-counts", by="kind")
     n = {r["r"]: r["n"] for r in merged.where("kind = 'counts of counts'").groupBy(F.col("target").alias("r")).agg(F.sum("block").alias("n")).collect()}
     d = discounts([n.get(r, 0) for r in range(K + 2)])
     backed = stored(merged.where("kind in ('contexts', 'unseen')").groupBy("target").applyInPandas(_weights(d), _ROW), "katz-weights", by="kind")

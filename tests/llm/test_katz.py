@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -74,3 +76,29 @@ def test_empty_table(spark):
 def test_without_training_rows(spark):
     row = katz.katz_scores(spark.createDataFrame([(None, "a b")], "doc_id long, text string"))[0].first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_a_merge_takes_little_memory(monkeypatch):
+    """One partition's messages of several blocks: what is held beside them, and at once handed on, stays small."""
+    words = np.random.Generator(np.random.PCG64(1)).zipf(1.3, 1_000_000) % 100_000
+    ids = np.arange(1000)
+    text = [" ".join(map(str, x)) for x in words.reshape(1000, -1)]
+    docs = katz.pa.record_batch([katz.pa.array(ids), katz.pa.array(text), katz.pa.array(ids % 10 == 0)], names=["doc_id", "text", "held"])
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 1 << 19)
+    monkeypatch.setattr(katz, "SENT_BYTES", 1 << 19)
+    monkeypatch.setattr(katz.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    hot = np.empty(0, np.uint64)
+    uni = katz.Unigrams(len(words), 50_000, 900, katz.discounts([0] * 7), 1e-4, hot, hot.astype(np.int64))
+    sent = list(katz._send(1, hot)([docs]))
+    assert len(sent) > 5
+    size = sum(x.nbytes for x in sent)
+    tracemalloc.start()
+    try:
+        before, most = tracemalloc.get_traced_memory()[0], 0
+        for x in katz._merge(1, uni)(iter(sent)):
+            most = max(most, x.nbytes)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * size  # 12.5 times where whole arrays of keys were held
+    assert most < size / 2
