@@ -38,6 +38,7 @@ from .words import mix, word_keys
 K, RESERVED = 5, 1e-4
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 SENT_BYTES = 4 << 20  # of rows that a task of the merge hands on at once
+UNSEEN_MOST = 1 << 20  # bigrams that training lacks, of one document each, that are held before they are handed on
 HOT_WORDS, HOT_SHARE = 10_000, 4
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0x535441525421, 0x454E4421))
 BASE_ADD = 0.1
@@ -265,23 +266,36 @@ def _merge(parts: int, uni: Unigrams):
         log_p, target = np.log10(uni.p(cw)), _range_of(uh, parts)
         follows = np.where((uw != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)  # each word but the end is the next token's context
         starts = np.where(uh == START, math.log10(max(1, uni.docs)), 0.0)
-        for (_, block, body), a, b in zip(told, message[:-1], message[1:], strict=True):
+        blocks = np.array([x[1] for x in told], np.uint64)
+
+        def unseen(held: list[tuple]) -> Iterator[tuple]:
+            """For each range of contexts one row with what all these messages have there."""
+            m, h, doc, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")  # and so by target
+            cut = runs(target[h[order]])
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                e = order[x:y]
+                hs, hx = np.unique(h[e], return_inverse=True)
+                ms, mx = np.unique(m[e], return_inverse=True)
+                yield "unseen", target[hs[0]], 0, bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, blocks[ms], mx, doc[e], times[e])
+
+        new, n_new = [], 0
+        for i, ((_, block, body), a, b) in enumerate(zip(told, message[:-1], message[1:], strict=True)):
             *_, per, doc, times = unbundle(body)
             each = np.repeat(gi[a:b], per.astype(np.int64))
             ce, we, he = c[each], wi[each], hi[each]
             ids, g = np.unique(doc, return_inverse=True)
-            times, seen = times.astype(float), ce > 0
+            seen = ce > 0
+            new.append((np.full(len(seen) - seen.sum(), i, np.int32), he[~seen], doc[~seen].astype(np.int32), times[~seen].astype(np.int32)))
+            times = times.astype(float)
             score = np.where(seen, np.log10(np.maximum(ce, 1)) + math.log10(1 - RESERVED), log_p[we]) - follows[we] - starts[he]
             sums = [np.bincount(g, times * (cw[we] > 0)), *[np.bincount(g, times * (ce == r)) for r in range(1, K + 1)]]
             floats = [np.bincount(g, times * np.log10(cw[we] + BASE_ADD)), np.bincount(g, times * score)]
             yield "docs", block, block, len(ids).to_bytes(8, "little") + b"".join(x.tobytes() for x in floats) + bundle(ids, *sums)
-            new = np.flatnonzero(~seen)
-            new = new[np.argsort(he[new], kind="stable")]  # and so by target
-            cut = runs(target[he[new]])
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                e = new[x:y]
-                hs, hx = np.unique(he[e], return_inverse=True)
-                yield "unseen", target[hs[0]], block, bundle(np.diff(uh[hs], prepend=np.uint64(0)), hx, doc[e], times[e])
+            n_new += len(new[-1][0])
+            if n_new > UNSEEN_MOST or i == len(told) - 1:
+                yield from unseen(new)
+                new, n_new = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -320,16 +334,25 @@ def _weights(d: np.ndarray):
             left = RESERVED + (1 - RESERVED) * saved
             log = np.log10(left / np.maximum(1 - lower, 1e-300))
             rows.append(("weights", int(pdf["target"].iloc[0]), 0, len(u).to_bytes(8, "little") + log.tobytes() + bundle(np.diff(u, prepend=np.uint64(0)), tot)))
-        for block, x in zip(pdf["block"][pdf["kind"] == "unseen"], pdf["body"][pdf["kind"] == "unseen"], strict=True):
-            hs, hx, doc, times = unbundle(x)
+        if not len(u):
+            return pd.DataFrame(rows, columns=_COLUMNS)
+        found, n_found, bodies = [], 0, pdf["body"][pdf["kind"] == "unseen"].to_list()
+        for j, x in enumerate(bodies):
+            hs, hx, blocks, bx, doc, times = unbundle(x)
             hs = np.cumsum(hs, dtype=np.uint64)
-            add = np.zeros(len(hs))
-            if len(u):
-                at = np.minimum(np.searchsorted(u, hs), len(u) - 1)
-                add = np.where(u[at] == hs, log[at] + np.log10(tot[at]), 0.0)
-            ids, g = np.unique(doc, return_inverse=True)
-            sums = np.bincount(g, times.astype(float) * add[hx.astype(np.int64)])
-            rows.append(("backed", block, block, len(ids).to_bytes(8, "little") + sums.tobytes() + bundle(ids)))
+            at = np.minimum(np.searchsorted(u, hs), len(u) - 1)
+            add = np.where(u[at] == hs, log[at] + np.log10(tot[at]), 0.0)
+            found.append((blocks[bx.astype(np.int64)], doc.astype(np.int32), times.astype(float) * add[hx.astype(np.int64)]))
+            n_found += len(doc)
+            if n_found > UNSEEN_MOST or j == len(bodies) - 1:
+                block, doc, value = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((doc, block))
+                block, doc, value = block[order], doc[order], value[order]
+                cut = runs(block)
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    first = runs(doc[a:b])[:-1]
+                    rows.append(("backed", int(block[a]), int(block[a]), len(first).to_bytes(8, "little") + np.add.reduceat(value[a:b], first).tobytes() + bundle(doc[a:b][first])))
+                found, n_found = [], 0
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return run

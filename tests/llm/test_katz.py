@@ -102,3 +102,28 @@ def test_a_merge_takes_little_memory(monkeypatch):
         tracemalloc.stop()
     assert peak < 8 * size  # 12.5 times where whole arrays of keys were held
     assert most < size / 2
+
+
+def test_unseen_bigrams_of_all_messages_share_rows(monkeypatch):
+    """Bigrams that training lacks are handed on by range of contexts, not by range and message: else rows grow with the cube of the input."""
+    text = [f"w{i} x{i % 7} y{i}" for i in range(400)]
+    docs = katz.pa.record_batch([katz.pa.array(range(400)), katz.pa.array(text), katz.pa.array([i % 2 == 0 for i in range(400)])], names=["doc_id", "text", "held"])
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(katz.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    hot = np.empty(0, np.uint64)
+    uni = katz.Unigrams(800, 500, 200, katz.discounts([0] * 7), 1e-4, hot, hot.astype(np.int64))
+    sent = katz.pa.Table.from_batches(katz._send(3, hot)([docs])).filter(katz.pc.field("target") == 1)
+    rows = [kind for x in katz._merge(3, uni)(iter(sent.to_batches())) for kind in x.column("kind").to_pylist()]
+    assert rows.count("docs") > 30
+    assert 0 < rows.count("unseen") <= 3
+
+
+def test_scores_where_rows_are_handed_on_in_small_lots(spark, monkeypatch):
+    monkeypatch.setattr(katz, "PART_BYTES", 400)
+    monkeypatch.setattr(katz, "UNSEEN_MOST", 2)
+    monkeypatch.setattr(katz, "SENT_BYTES", 50)
+    df = katz.stored(spark.createDataFrame(DOCS, "doc_id long, text string").repartition(5), "docs")
+    got = sorted(tuple(r) for r in katz.katz_scores(df)[0].collect())
+    want = sorted(brute(DOCS))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    np.testing.assert_allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-12)
