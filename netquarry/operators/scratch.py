@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,22 +35,39 @@ def folder(spark: SparkSession) -> str:
     return own
 
 
+#: The most that a table may take, as it lies in shuffles or files, to be sent to all tasks through the driver.
+BROADCAST = 256 << 10
+
+
+def _bytes(text: str) -> int:
+    """A size setting such as 10485760b, 256k or -1, as a number of bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}[unit]
+
+
 @contextlib.contextmanager
-def compiled(spark: SparkSession):
-    """Generated code in methods that the JVM compiles, which it does to 8,000 bytes of bytecode; larger ones would be interpreted for every row."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 8000)))
+def bounded(spark: SparkSession):
+    """Settings for jobs over tables that grow. Joins send nothing larger than BROADCAST through the driver, since it takes many times that in memory; and generated code comes
+    in methods that the JVM compiles, which it does to 8,000 bytes of bytecode: larger ones would be interpreted for every row."""
+    most = {"spark.sql.codegen.hugeMethodLimit": 8000, "spark.sql.autoBroadcastJoinThreshold": BROADCAST, "spark.sql.adaptive.autoBroadcastJoinThreshold": BROADCAST}
+    before = {name: spark.conf.get(name, None) for name in most}
     try:
+        for name, value in most.items():
+            if before[name] is None or _bytes(before[name]) > value:
+                spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def written(df: DataFrame, name: str) -> str:
     """Writes the frame as Parquet; the path."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with compiled(df.sparkSession):
+    with bounded(df.sparkSession):
         df.write.parquet(path)
     return path
 

@@ -53,4 +53,4 @@ SELECT *, 'suspicious_activity' AS verdict FROM h JOIN t USING (src_ip, service,
 def exposure_groups(spark, sf_dir):
     """Exposure incidents that belong together."""
     rows, found = _facts(spark, sf_dir)
-    return exposure.groups(found, rows, scratch.stored(exposure.dispositions(found, rows), "dispositions"))
+    return scratch.stored(exposure.groups(found, rows, scratch.stored(exposure.dispositions(found, rows), "dispositions")), "groups")

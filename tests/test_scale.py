@@ -38,3 +38,15 @@ def test_lean_signals_are_those_of_all_counts(spark):
     names = ("rule", "entity", "key", "event_id", "n", "b", "first_us", "first_id", "last_us", "severity", "confidence")
     rows = lambda lean: sorted(map(tuple, rules.evaluate_all(df, rules.RULES, lean=lean).select(*names).collect()))
     assert rows(True) == rows(False) != []
+
+
+def test_no_join_sends_much_through_the_driver(spark):
+    """Tables of which each row is short, but all are not: their join is by shuffles while stored tables are written, and settings are as before after it."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    with scratch.bounded(spark):
+        assert scratch._bytes(spark.conf.get(name)) <= scratch.BROADCAST
+        a, b = scratch.stored(spark.range(200_000).selectExpr("id", "sha2(CAST(id AS STRING), 256) AS x"), "a"), scratch.stored(spark.range(200_000).selectExpr("id", "sha2(CAST(id AS STRING), 512) AS y"), "b")
+        plan = a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and spark.conf.get(name) == before
+    assert [scratch._bytes(x) for x in ("-1", "10485760b", "256k", "1MB")] == [-1, 10485760, 262144, 1048576]
