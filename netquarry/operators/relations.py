@@ -73,31 +73,41 @@ def _keyed(rows: DataFrame, reference: bool, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.nullif(F.upper("protocol"), F.lit("")).alias("_p"), F.explode(F.array_distinct(keys)).alias("_key"))
 
 
-def _by_protocol(keyed: DataFrame, reference: bool) -> DataFrame:
-    """Keys with protocols, so that what fits is equal: a known protocol asks for its own and for unknown ones, an unknown one for all."""
-    known, any_ = F.concat_ws(" ", "_key", "_p"), F.concat("_key", F.lit(" *"))
-    unknown = F.concat("_key", F.lit(" ?"))
+def _by_protocol(keyed: DataFrame, reference: bool, unknown: bool = True) -> DataFrame:
+    """Keys with protocols, so that what fits is equal: a known protocol asks for its own and for unknown ones, an unknown one for all. unknown: whether
+    the other side has unknown protocols; where it has none, nobody needs to ask for them, or to answer them."""
+    known, any_, none = F.concat_ws(" ", "_key", "_p"), F.concat("_key", F.lit(" *")), F.concat("_key", F.lit(" ?"))
     if reference:
-        keys = F.when(F.col("_p").isNull(), F.array(any_)).otherwise(F.array(known, unknown))
+        keys = F.when(F.col("_p").isNull(), F.array(any_)).otherwise(F.array(known, none) if unknown else F.array(known))
     else:
-        keys = F.array(F.when(F.col("_p").isNull(), unknown).otherwise(known), any_)
+        own = F.when(F.col("_p").isNull(), none).otherwise(known)
+        keys = F.array(own, any_) if unknown else F.array(own)
     return keyed.withColumn("_key", F.explode(keys)).drop("_p")
 
 
+def _unknown(rows: DataFrame) -> bool:
+    return not rows.where(F.coalesce("protocol", F.lit("")) == "").isEmpty()
+
+
 def context(incident_events: DataFrame, candidates: DataFrame, seconds: int = SECONDS, most: int = MOST_CONTEXT) -> DataFrame:
     """(incident_id, event_id, ts_us, place): the candidates that are related to an event of the incident, within ``seconds`` of its extent, and no events of it: the first ``most``.
 
-    An incident's events are first reduced to their distinct keys. Candidates are numbered by time within (key, hour), and an incident takes from its own beginning on as many
-    numbers as it may need: ``most``, and one for each of its own events there. So a busy flow adds as many rows to an incident as that, however many events it has."""
+    An incident's events meet in one task and are reduced to their distinct keys there, before anything is shuffled by key. Candidates are numbered by time within (key, hour), and an incident
+    takes from its own beginning on as many numbers as it may need: ``most``, and one for each of its own events there. So a busy flow adds as many rows to an incident as that, however many
+    events it has. Incidents and candidates are shuffled by (key, hour) once, and meet there."""
     hour = lambda c: F.expr(f"({c} - pmod({c}, {HOUR})) div {HOUR}")
-    extent = incident_events.groupBy("incident_id").agg(F.expr(f"min(ts_us) - {seconds}000000L").alias("_a"), F.expr(f"max(ts_us) + {seconds}000000L").alias("_b"))
-    asked = _by_protocol(_keyed(incident_events.select("incident_id", *_ENDS).distinct(), True, ["incident_id"]), True).join(extent, "incident_id")
-    asked = asked.select("incident_id", "_key", F.explode(F.sequence(hour("_a"), hour("_b"))).alias("_hour"), "_a", "_b", F.lit(0).alias("_own"))
-    own = _by_protocol(_keyed(incident_events.where("ts_us IS NOT NULL").select("incident_id", "ts_us", *_ENDS), False, ["incident_id", "ts_us"]), False)
+    mine = incident_events.select("incident_id", "ts_us", *_ENDS).repartition("incident_id")
+    extent = mine.groupBy("incident_id").agg(F.expr(f"min(ts_us) - {seconds}000000L").alias("_a"), F.expr(f"max(ts_us) + {seconds}000000L").alias("_b"))
+    asking, answering = _unknown(incident_events), _unknown(candidates)
+    ends = mine.groupBy("incident_id", *_ENDS).agg(F.lit(0).alias("_x")).drop("_x")
+    asked = _by_protocol(_keyed(ends, True, ["incident_id"]), True, answering).join(extent, "incident_id")
+    asked = asked.select("incident_id", "_key", F.explode(F.sequence(hour("_a"), hour("_b"))).alias("_hour"), "_a", "_b", F.lit(0).cast("long").alias("_own"))
+    own = mine.where("ts_us IS NOT NULL").withColumn("_hour", hour("ts_us")).groupBy("incident_id", "_hour", *_ENDS).agg(F.count("*").alias("_own"))
+    own = _by_protocol(_keyed(own, False, ["incident_id", "_hour", "_own"]), False, asking)
     none = F.lit(None).cast("long")
-    own = own.select("incident_id", "_key", hour("ts_us").alias("_hour"), none.alias("_a"), none.alias("_b"), F.lit(1).alias("_own"))
+    own = own.select("incident_id", "_key", "_hour", none.alias("_a"), none.alias("_b"), "_own")
     probes = asked.unionByName(own).groupBy("incident_id", "_key", "_hour").agg(F.max("_a").alias("ts_us"), F.max("_b").alias("_b"), F.sum("_own").alias("_own")).where("ts_us IS NOT NULL")
-    told = _by_protocol(_keyed(candidates.where("ts_us IS NOT NULL"), False, ["event_id", "ts_us"]), False).withColumn("_hour", hour("ts_us"))
+    told = _by_protocol(_keyed(candidates.where("ts_us IS NOT NULL"), False, ["event_id", "ts_us"]), False, asking).withColumn("_hour", hour("ts_us"))
     line = told.withColumn("_is", F.lit(1)).unionByName(probes.withColumn("_is", F.lit(0)), allowMissingColumns=True)
     key = W.partitionBy("_key", "_hour")
     order = key.orderBy("ts_us", "_is", "event_id")
@@ -105,9 +115,11 @@ def context(incident_events: DataFrame, candidates: DataFrame, seconds: int = SE
     line = line.withColumn("_new", F.when(F.coalesce(again, F.lit(False)), 0).otherwise(F.col("_is")))
     line = line.withColumns({"_no": F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_new").over(key)})
     until = F.least(F.col("_no") + most + F.col("_own"), F.col("_all"))
-    wanted = line.where("_is = 0 AND _no < _all").select("incident_id", "_key", "_hour", "_b", F.explode(F.sequence(F.col("_no") + 1, until)).alias("_no"))
-    numbered = line.where("_new = 1").select("_key", "_hour", "_no", "event_id", "ts_us")
-    found = wanted.join(numbered, ["_key", "_hour", "_no"]).where("ts_us <= _b").select("incident_id", "event_id", "ts_us").distinct()
+    numbers = F.when(F.col("_is") == 1, F.array("_no")).otherwise(F.sequence(F.col("_no") + 1, until))
+    met = line.where("_new = 1 OR (_is = 0 AND _no < _all)").select("_key", "_hour", "_is", "incident_id", "_b", F.when(F.col("_is") == 1, F.struct("event_id", "ts_us")).alias("_event"), F.explode(numbers).alias("_no"))
+    at = W.partitionBy("_key", "_hour", "_no").orderBy(F.desc("_is")).rowsBetween(W.unboundedPreceding, 0)  # the candidate of that number, then those that want it
+    met = met.withColumn("_event", F.first("_event", ignorenulls=True).over(at)).where("_is = 0 AND _event.ts_us <= _b")
+    found = met.select("incident_id", "_event.event_id", "_event.ts_us").distinct()
     found = found.join(incident_events.select("incident_id", "event_id"), ["incident_id", "event_id"], "left_anti")
     return found.withColumn("place", F.row_number().over(W.partitionBy("incident_id").orderBy("ts_us", "event_id"))).where(F.col("place") <= most)
 

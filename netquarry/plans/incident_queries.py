@@ -131,7 +131,7 @@ def _context(spark, sf_dir, rows):
 @register("incident_context", f"{FACTS}, {_CONTEXT} SELECT incident_id, event_id, ts_us, place FROM context")
 def incident_context(spark, sf_dir):
     """Allowed events that are related to an incident's, the first fifty."""
-    return _context(spark, sf_dir, scratch.stored(facts(spark, sf_dir), "facts")).withColumn("place", F.col("place").cast("long"))
+    return scratch.stored(_context(spark, sf_dir, scratch.stored(facts(spark, sf_dir), "facts")).withColumn("place", F.col("place").cast("long")), "context")
 
 
 _HIGH = "(" + ", ".join(f"'{x}'" for x in routing.HIGH_VALUE) + ")"
