@@ -151,7 +151,7 @@ def _routes(spark, sf_dir, rows):
 @register("incident_routes", f"{FACTS}, {_ROUTES} SELECT * FROM routes")
 def incident_routes(spark, sf_dir):
     """Each incident's route and its reason."""
-    return _routes(spark, sf_dir, scratch.stored(facts(spark, sf_dir), "facts"))
+    return scratch.stored(_routes(spark, sf_dir, scratch.stored(facts(spark, sf_dir), "facts")), "routes")
 
 
 @register("evidence_strength", f"""{FACTS}, e AS (SELECT incident_id, event_id, {_ENDS} FROM facts), back AS (SELECT DISTINCT a.incident_id FROM e a JOIN e c ON a.incident_id = c.incident_id AND a.event_id < c.event_id AND {_RELATED})
