@@ -184,7 +184,7 @@ h AS (SELECT rule, count(*) AS n_incidents, count(DISTINCT entity) AS n_sources,
 SELECT rule, n_incidents, n_sources, first_us, last_us, n_blocked, n_targets, sources, ports FROM h JOIN e USING (rule) JOIN q USING (rule)""")
 def incident_digests(spark, sf_dir):
     rows = scratch.stored(facts(spark, sf_dir), "facts")
-    return routing.digests(incidents(rows), rows, scratch.stored(_routes(spark, sf_dir, rows), "routes"))
+    return scratch.stored(routing.digests(incidents(rows), rows, scratch.stored(_routes(spark, sf_dir, rows), "routes")), "digests")
 
 
 @register("search_incidents_page", f"""{FACTS}, page AS (SELECT * FROM incidents WHERE severity IN ('high', 'low') AND family = 'service_probing' AND confidence BETWEEN 0.5 AND 0.85 AND first_us >= 100000000 AND starts_with(incident_id, 'INC-') AND incident_id IN (SELECT incident_id FROM facts WHERE spi)
