@@ -3,7 +3,7 @@
 import random
 
 from netquarry.operators import rules, scratch, signals, suppression
-from netquarry.plans.chain_queries import POLICY
+from netquarry.plans import queries
 
 from .test_engine import events
 
@@ -21,7 +21,7 @@ def test_a_query_makes_only_the_tables_that_it_asks_for(spark):
 def test_no_address_is_parsed_again_for_each_rule(spark):
     df = scratch.stored(events(spark, _scan(20)), "events")
     plan = lambda policy: signals.all_signals(df, policy=policy)._jdf.queryExecution().optimizedPlan().toString()
-    assert "RLIKE" not in plan(suppression.Policy(destinations=POLICY.destinations, pairs=POLICY.pairs))
+    assert "RLIKE" not in plan(suppression.Policy(destinations=queries.chain_queries.POLICY.destinations, pairs=queries.chain_queries.POLICY.pairs))
 
 
 def test_events_are_copied_only_where_the_next_stretch_begins_within_their_window(spark):
